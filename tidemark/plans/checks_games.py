@@ -1 +1,31 @@
-"""Queries."""
+"""Queries: the wide game-feature plan and the pieces it is made of."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import constants as K
+from tidemark.operators import rows
+from tidemark.plans import bindings as B, features, featuresql as FS
+from tidemark.plans.registry import query, rnd
+from tidemark.session import stage
+
+# The derived games are short, so the sample floors are scaled down with them.
+STARTER_FLOORS, HITTER_FLOORS, REST, TOP = (10, 2), (8, 2), 2, 8
+
+
+def training(spark, d):
+    outcomes = stage(rows.clean_outcomes(B.games(spark, d)), "outcomes")
+    pitches, wide = stage(B.pitches(spark, d), "pitches"), stage(B.lineups_wide(spark, d), "lineups")
+    long = stage(B.lineups_long(spark, d), "slots")
+    return features.build_training_features(
+        outcomes, pitches, wide, long, oaa=B.oaa(spark, d), park=B.park_factors(spark, d),
+        starter_floors=STARTER_FLOORS, hitter_floors=HITTER_FLOORS, rest=REST, top=TOP,
+    )
+
+
+@query("training_features", FS.training_sql(STARTER_FLOORS, HITTER_FLOORS, REST, TOP))
+def training_features(spark, d):
+    df = training(spark, d)
+    names = [n for n, _ in FS.wide_columns()]
+    return df.select("game_id", "game_date", "home_score", "away_score", *[rnd(n, 7).alias(n) for n in names])
