@@ -59,18 +59,23 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
 
 
 def running(ranged: DataFrame, specs: dict[str, tuple[str, str]], order: Sequence[str],
-            partition: Sequence[str] = ()) -> DataFrame:
+            partition: Sequence[str] = (), *, exclusive: Sequence[str] = ()) -> DataFrame:
     """Add running ``sum`` / ``product`` / ``max`` columns over a ranged frame.
 
-    ``specs`` maps output name to ``(kind, input column)``; ``order`` must be the
-    total order within a partition and ``_range`` must follow (partition, order).
+    ``specs`` maps output name to ``(kind, input column)``; outputs named in
+    ``exclusive`` stop before the current row. ``order`` must be the total order
+    within a partition and ``_range`` must follow (partition, order).
     """
     cells = [*partition, BUCKET]
     totals = ranged.groupBy(*cells).agg(*[_REDUCE[k](c).alias(f"_t_{o}") for o, (k, c) in specs.items()])
     before = W.partitionBy(*partition).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     carries = totals.select(*cells, *[_REDUCE[k](f"_t_{o}").over(before).alias(f"_c_{o}") for o, (k, _) in specs.items()])
-    inside = W.partitionBy(*cells).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = ranged.withColumns({f"_l_{o}": _REDUCE[k](c).over(inside) for o, (k, c) in specs.items()})
+    ordered = W.partitionBy(*cells).orderBy(*order)
+
+    def inside(name: str):
+        return ordered.rowsBetween(W.unboundedPreceding, -1 if name in exclusive else W.currentRow)
+
+    local = ranged.withColumns({f"_l_{o}": _REDUCE[k](c).over(inside(o)) for o, (k, c) in specs.items()})
     joined = local.join(carries, cells, "left")
     out = joined.withColumns({o: _combine(k, F.col(f"_c_{o}"), F.col(f"_l_{o}")) for o, (k, _) in specs.items()})
     return out.drop(*[f"_{p}_{o}" for p in "lc" for o in specs])
