@@ -1 +1,208 @@
-"""Queries."""
+"""Queries: run model, calibration and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import constants as K
+from tidemark.operators import calibrate, evaluate, reshape, ridge, scan
+from tidemark.plans import bindings as B, slate as SL, sqlparts as S
+from tidemark.plans.registry import big, query, rnd
+from tidemark.session import stage
+
+
+def _labelled(spark, d):
+    """A probability and a label per game, from the order attributes."""
+    o = B.table(spark, d, "orders")
+    p = F.lit(0.2) + (F.col("o_custkey") % 61) / 100.0
+    return o.select("o_orderkey", p.alias("p_home"), (F.col("o_totalprice") % 1000 < 150 + 700 * p).cast("int").alias("home_win"))
+
+
+_LABELLED = """SELECT o_orderkey, 0.2::DOUBLE + (o_custkey % 61) / 100.0::DOUBLE AS p_home,
+  CAST(o_totalprice % 1000 < 150 + 700 * (0.2::DOUBLE + (o_custkey % 61) / 100.0::DOUBLE) AS INT) AS home_win FROM orders"""
+
+
+@query("regression_metrics", """
+    SELECT l_returnflag, count(*) AS n, round(avg(abs(e)), 6) + 0.0 AS mae, round(sqrt(avg(e * e)), 6) + 0.0 AS rmse, round(1 - sum(e * e) / (var_pop(a) * count(*)), 7) + 0.0 AS r2, round(avg(e), 6) + 0.0 AS bias
+    FROM (SELECT l_returnflag, l_quantity AS a, l_extendedprice / 1500 - l_quantity AS e FROM lineitem) GROUP BY 1""")
+def regression_metrics(spark, d):
+    l = B.table(spark, d, "lineitem").withColumn("p", F.col("l_extendedprice") / 1500)
+    m = evaluate.regression_metrics(l, "l_quantity", "p", ["l_returnflag"])
+    return m.select("l_returnflag", "n", rnd("mae", 6).alias("mae"), rnd("rmse", 6).alias("rmse"), rnd("r2", 7).alias("r2"), rnd("bias", 6).alias("bias"))
+
+
+@query("classification_metrics", f"""
+    SELECT count(*) AS n, round(avg((CAST(p_home > 0.5 AS INT) = home_win)::INT), 9) + 0.0 AS accuracy, round(avg(-(home_win * ln(p_home) + (1 - home_win) * ln(1 - p_home))), 9) + 0.0 AS log_loss,
+      round(avg((p_home - home_win) * (p_home - home_win)), 9) + 0.0 AS brier, round(avg(home_win), 9) + 0.0 AS home_win_rate, round(avg(p_home), 9) + 0.0 AS mean_p_home FROM ({_LABELLED})""")
+def classification_metrics(spark, d):
+    m = evaluate.classification_metrics(_labelled(spark, d), "home_win", "p_home")
+    return m.select("n", *[rnd(c).alias(c) for c in ("accuracy", "log_loss", "brier", "home_win_rate", "mean_p_home")])
+
+
+def _edges(source: str, col: str, n: int) -> str:
+    return f"SELECT list_sort(list_distinct([{', '.join(f'quantile_cont({col}, {i / n!r})' for i in range(n + 1))}])) AS e FROM {source}"
+
+
+def _bucket(col: str) -> str:
+    return f"greatest(len(list_filter(e, lambda x: x < {col})) - 1, 0)"
+
+
+@query("calibration_table", f"""
+    WITH s AS (SELECT p_home + o_orderkey * 1e-9::DOUBLE AS p, home_win FROM ({_LABELLED})), q AS ({_edges('s', 'p', 10)})
+    SELECT CAST({_bucket('p')} AS BIGINT) AS bucket, count(*) AS n, round(avg(p), 3) + 0.0 AS p_mean, round(avg(home_win), 3) + 0.0 AS actual FROM s, q GROUP BY 1""")
+def calibration_table(spark, d):
+    df = _labelled(spark, d).withColumn("p", F.col("p_home") + F.col("o_orderkey") * 1e-9)
+    t = evaluate.calibration_table(df, "p", "home_win")
+    return t.select(big("bucket").alias("bucket"), "n", rnd("p_home_mean", 3).alias("p_mean"), rnd("actual_home_win", 3).alias("actual"))
+
+
+@query("calibration_repeated_edges", f"""
+    WITH s AS (SELECT floor(p_home * 5) AS p, home_win FROM ({_LABELLED})), q AS ({_edges('s', 'p', 10)})
+    SELECT CAST({_bucket('p')} AS BIGINT) AS bucket, count(*) AS n, sum(home_win)::BIGINT AS wins FROM s, q GROUP BY 1""")
+def calibration_repeated_edges(spark, d):
+    df = _labelled(spark, d).withColumn("p", F.floor(F.col("p_home") * 5))
+    t = scan.quantile_bucket(df, "p", 10).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("home_win").alias("wins"))
+    return t.select(big("bucket").alias("bucket"), "n", "wins")
+
+
+@query("stratify", f"""
+    WITH s AS (SELECT l_extendedprice AS f, l_quantity AS t FROM lineitem), q AS ({_edges('s', 'f', 5)})
+    SELECT CAST({_bucket('f')} AS BIGINT) AS bucket, round(min(f), 2) AS bucket_min, round(max(f), 2) AS bucket_max, count(*) AS n, round(avg(t), 2) + 0.0 AS mean_target FROM s, q GROUP BY 1""")
+def stratify(spark, d):
+    t = evaluate.stratify(B.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    return t.select(big("bucket").alias("bucket"), F.round("bucket_min", 2).alias("bucket_min"), F.round("bucket_max", 2).alias("bucket_max"), "n", rnd("mean_target", 2).alias("mean_target"))
+
+
+_Q = (0.0, 0.1, 0.25, 0.5, 0.8, 1.0)
+
+
+@query("exact_quantiles", """
+    SELECT key, n, """ + ", ".join(f"round(quantile_cont(v, {p!r}), 6) + 0.0 AS q{i}" for i, p in enumerate(_Q)).replace("quantile_cont", "quantile_cont") + """
+    FROM (SELECT key, v, count(*) OVER (PARTITION BY key) AS n FROM (SELECT 'price' AS key, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem)) GROUP BY key, n""")
+def exact_quantiles(spark, d):
+    l = B.table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_quantity").alias("quantity"))
+    q = scan.exact_quantiles(scan.melt(l, ["price", "discount", "quantity"]), _Q)
+    return q.select("key", big("n").alias("n"), *[rnd(F.get("q", F.lit(i)), 6).alias(f"q{i}") for i in range(len(_Q))])
+
+
+_SEL = (0.50, 0.55, 0.60, 0.75)
+
+
+@query("selective_accuracy", " UNION ALL ".join(f"""
+    SELECT {t}::DOUBLE AS threshold, count(*) FILTER (WHERE k) AS bets, round(count(*) FILTER (WHERE k) / count(*), 9) + 0.0 AS coverage,
+      round(avg((CAST(p_home > 0.5 AS INT) = home_win)::INT) FILTER (WHERE k), 9) + 0.0 AS accuracy, round(avg(home_win) FILTER (WHERE k AND p_home > 0.5), 9) + 0.0 AS home_accuracy,
+      round(avg(1 - home_win) FILTER (WHERE k AND p_home <= 0.5), 9) + 0.0 AS away_accuracy FROM (SELECT *, abs(p_home - 0.5::DOUBLE) >= {t}::DOUBLE - 0.5::DOUBLE AS k FROM ({_LABELLED})) HAVING count(*) FILTER (WHERE k) > 0""" for t in _SEL))
+def selective_accuracy(spark, d):
+    df = evaluate.selective_accuracy(_labelled(spark, d), "p_home", "home_win", _SEL)
+    return df.select("threshold", "bets", *[rnd(c).alias(c) for c in ("coverage", "accuracy", "home_accuracy", "away_accuracy")])
+
+
+@query("baseline_metrics", f"""
+    SELECT count(*) AS n, round(avg(home_win), 9) + 0.0 AS always_home_accuracy, round(avg(home_win) * (1 - avg(home_win)), 9) + 0.0 AS constant_brier,
+      round(avg((CAST(h < a AS INT) = home_win)::INT) FILTER (WHERE h IS NOT NULL), 9) + 0.0 AS lower_rate_accuracy, count(h) AS lower_rate_n
+    FROM (SELECT *, CASE WHEN o_orderkey % 10 <> 3 THEN (1 - p_home) END AS h, 0.55::DOUBLE AS a FROM ({_LABELLED}))""")
+def baseline_metrics(spark, d):
+    df = _labelled(spark, d).withColumns({"h": F.when(F.col("o_orderkey") % 10 != 3, 1 - F.col("p_home")), "a": F.lit(0.55)})
+    m = evaluate.baseline_metrics(df, "home_win", "h", "a")
+    return m.select("n", *[rnd(c).alias(c) for c in ("always_home_accuracy", "constant_brier", "lower_rate_accuracy")], "lower_rate_n")
+
+
+# --- ridge: two standardised features have a closed form -------------------------------
+
+def _design(spark, d):
+    return B.table(spark, d, "lineitem").select(
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("x1"), (F.col("l_discount") + F.col("l_tax")).alias("x2"),
+        (F.col("l_extendedprice") / 1000).alias("runs"), "l_orderkey")
+
+
+_DESIGN = """base AS (SELECT CASE WHEN l_linenumber <> 3 THEN l_quantity END AS x1, l_discount + l_tax AS x2, l_extendedprice / 1000 AS y FROM lineitem),
+  med AS (SELECT median(x1) AS m1, median(x2) AS m2 FROM base), z AS (SELECT coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2, y FROM base, med),
+  m AS (SELECT count(*) AS n, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, avg(x1) AS u1, avg(x2) AS u2, corr(x1, x2) AS r, covar_pop(x1, y) / stddev_pop(x1) AS b1, covar_pop(x2, y) / stddev_pop(x2) AS b2, avg(y) AS yb FROM z),
+  w AS (SELECT *, ((n + 1) * n * b1 - n * r * n * b2) / ((n + 1) * (n + 1) - n * r * n * r) AS w1, ((n + 1) * n * b2 - n * r * n * b1) / ((n + 1) * (n + 1) - n * r * n * r) AS w2 FROM m)"""
+
+
+@query("ridge_coefficients", f"""WITH {_DESIGN}
+    SELECT 'x1' AS feature, round(m1, 6) + 0.0 AS impute, round(u1, 6) + 0.0 AS mean, round(s1, 6) + 0.0 AS scale, round(w1, 6) + 0.0 AS coef, round(yb, 6) + 0.0 AS intercept, n AS train_n FROM w, med
+    UNION ALL SELECT 'x2', round(m2, 6) + 0.0, round(u2, 6) + 0.0, round(s2, 6) + 0.0, round(w2, 6) + 0.0, round(yb, 6) + 0.0, n FROM w, med""")
+def ridge_coefficients(spark, d):
+    m = ridge.fit_ridge(_design(spark, d), ["x1", "x2"])
+    return m.select("feature", *[rnd(c, 6).alias(c) for c in ("impute", "mean", "scale", "coef", "intercept")], "train_n")
+
+
+@query("ridge_predict", f"""WITH {_DESIGN}
+    SELECT l_orderkey, round(sum(p), 4) + 0.0 AS pred FROM (SELECT l_orderkey, yb + (coalesce(CASE WHEN l_linenumber <> 3 THEN l_quantity END, m1) - u1) / s1 * w1 + (l_discount + l_tax - u2) / s2 * w2 AS p
+      FROM lineitem, w, med) GROUP BY 1""")
+def ridge_predict(spark, d):
+    base = _design(spark, d)
+    scored = ridge.score(base, ridge.fit_ridge(base, ["x1", "x2"]), "p")
+    return scored.groupBy("l_orderkey").agg(F.sum("p").alias("p")).select("l_orderkey", rnd("p", 4).alias("pred"))
+
+
+@query("platt_moments", f"""
+    SELECT count(*) AS n, round(avg(home_win), 6) + 0.0 AS mean_calibrated, round(avg(p_home * home_win), 6) + 0.0 AS mean_p_calibrated FROM ({_LABELLED})""")
+def platt_moments(spark, d):
+    """The fitted curve must reproduce the label's mean and its product with the input."""
+    df = _labelled(spark, d)
+    out = calibrate.apply_platt(df, calibrate.fit_platt(df, "p_home", "home_win"), "p_home")
+    return out.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("p_calibrated"), 6).alias("mean_calibrated"),
+                   rnd(F.avg(F.col("p_home") * F.col("p_calibrated")), 6).alias("mean_p_calibrated"))
+
+
+@query("isotonic", f"""
+    WITH s AS (SELECT round(p_home * 20) / 20 AS p, sum(home_win) AS y, count(*) AS w FROM ({_LABELLED}) GROUP BY 1),
+      blocks AS (SELECT a.p AS lo, b.p AS hi, sum(c.y) / sum(c.w) AS v FROM s a JOIN s b ON a.p <= b.p JOIN s c ON c.p BETWEEN a.p AND b.p GROUP BY 1, 2),
+      floors AS (SELECT s.p, lo, min(v) AS v FROM s JOIN blocks ON lo <= s.p AND hi >= s.p GROUP BY 1, 2)
+    SELECT round(p, 4) + 0.0 AS p, round(least(greatest(max(v), 1e-9), 1 - 1e-9), 7) + 0.0 AS p_calibrated FROM floors GROUP BY p""")
+def isotonic(spark, d):
+    df = _labelled(spark, d).withColumn("p", F.round(F.col("p_home") * 20) / 20)
+    out = calibrate.apply_isotonic(df, calibrate.fit_isotonic(df, "p", "home_win"), "p")
+    return out.groupBy(rnd("p", 4).alias("p")).agg(rnd(F.max("p_calibrated"), 7).alias("p_calibrated"))
+
+
+# --- games with simple features, through the model to a priced slate ---------------------
+
+def featured_games(spark, d):
+    """Games carrying every feature of the baseline set (cheap stand-ins per team and game)."""
+    g = B.games(spark, d)
+    feats = {}
+    for side, other in (("home", "away"), ("away", "home")):
+        t, s = F.col(f"{side}_id"), F.col(f"{side}_score")
+        feats |= {
+            f"{side}_off_xwOBA": 0.28 + (t % 13) / 200.0 + s / 300.0, f"{side}_off_Barrel_pct": 0.05 + (F.col("game_id") % 17) / 400.0,
+            f"{side}_off_HR_pct": 0.02 + (t % 7) / 300.0, f"{side}_off_BB_pct": F.when(F.col("game_id") % 11 != 0, 0.07 + (t % 5) / 200.0),
+            f"{side}_sp_SIERA": 3.2 + (F.col(f"{other}_score") % 5) / 4.0, f"{side}_sp_xwOBA": 0.29 + (F.col("game_id") % 23) / 500.0,
+            f"{side}_sp_Barrel_pct": 0.06 + (t % 9) / 400.0,
+        }
+    return g.withColumns(feats)
+
+
+@query("predict_slate")
+def predict_slate(spark, d):
+    from tidemark.plans.checks_market import slate_input
+
+    games = stage(featured_games(spark, d), "games")
+    model = ridge.train_runs_model(games.where("season_year < 2000"), K.FEATURES_BASELINE)
+    lines = slate_input(spark, d).select("commence_time", "snapshot_ts", "home_id", "away_id", "home_price_american", "away_price_american", "home_book", "away_book")
+    later = games.where("season_year >= 2000").drop("commence_time")
+    return SL.predict_slate(later, model, lines, slate_keys=["game_date"])
+
+
+@query("slate_report")
+def slate_report(spark, d):
+    chosen, _ = SL.slate_report(stage(predict_slate(spark, d), "slate"))
+    return chosen
+
+
+@query("ablation")
+def ablation(spark, d):
+    games = stage(featured_games(spark, d), "games")
+    train = {"one year": games.where("season_year = 1999"), "two years": games.where("season_year IN (1998, 1999)")}
+    small = tuple(f for f in K.FEATURES_BASELINE if f.startswith("opp_") or f == "is_home")
+    out = SL.ablation(train, games.where("season_year = 2000"), {"baseline": K.FEATURES_BASELINE, "pitching": small})
+    return out.select("split", "feature_set", big("n_feat").alias("n_feat"), big("train_n").alias("train_n"), "n", *[rnd(c, 6).alias(c) for c in ("mae", "accuracy", "log_loss", "brier", "mean_p_home", "home_win_rate")])
+
+
+@query("coefficient_table")
+def coefficient_table(spark, d):
+    model = ridge.train_runs_model(featured_games(spark, d), K.FEATURES_BASELINE)
+    return ridge.coefficient_table(model)
