@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.operators import rows
-from tidemark.plans import bindings as B, features, featuresql as FS
-from tidemark.plans.registry import query, rnd
-from tidemark.session import stage
+from tidemark.operators import defense, lineups, reshape, rows
+from tidemark.plans import bindings as B, features, featuresql as FS, sqlparts as S
+from tidemark.plans.registry import big, epoch, query, rnd
+from tidemark.schemas import BOXSCORE_DOC, ODDS_DOC, OUTCOMES_DOC, parse
+from tidemark.session import scratch_path, stage
+from tidemark.sources import documents, tables
 
 # The derived games are short, so the sample floors are scaled down with them.
 STARTER_FLOORS, HITTER_FLOORS, REST, TOP = (10, 2), (8, 2), 2, 8
@@ -29,3 +31,202 @@ def training_features(spark, d):
     df = training(spark, d)
     names = [n for n, _ in FS.wide_columns()]
     return df.select("game_id", "game_date", "home_score", "away_score", *[rnd(n).alias(n) for n in names])
+
+
+# --- line-up projection -----------------------------------------------------------------
+
+def _history(spark, d):
+    """Line-up rows with the opposing starter's hand (hand by pitcher id)."""
+    g, sp = B.games(spark, d), B.pitchers_used(spark, d).select("game_id", "side", "starter_id")
+    starters = reshape.fold_sides(sp, "game_id", ["starter_id"])
+    games = g.join(starters, "game_id")
+    pairs = games.select(F.explode(F.array("home_starter_id", "away_starter_id")).alias("player_id")).dropna().distinct()
+    hands = pairs.withColumn("hand", F.when(F.col("player_id") % 4 == 0, "L").otherwise("R"))
+    return games, hands
+
+
+def _schedule(spark, d):
+    """Every game as if scheduled, its probable pitchers being the actual starters."""
+    games, hands = _history(spark, d)
+
+    def hand(s):
+        return F.when(F.col(f"{s}_starter_id") % 4 == 0, "L").when(F.col(f"{s}_starter_id").isNotNull(), "R")
+
+    return games.select(
+        "game_id", "game_date", "home_id", "home_name", "away_id", "away_name", "game_type", "status",
+        F.col("commence_time").cast("string").alias("game_datetime"),
+        F.col("home_starter_id").alias("home_probable_pitcher_id"), hand("home").alias("home_probable_pitcher_throws"),
+        F.col("away_starter_id").alias("away_probable_pitcher_id"), hand("away").alias("away_probable_pitcher_throws"))
+
+
+_HIST = {
+    "st": "SELECT game_id, side, pitcher_id AS starter_id FROM d_arms WHERE seq = 1",
+    "hs": """SELECT g.game_id, g.game_date, g.home_id, g.away_id, h.starter_id AS h_sp, a.starter_id AS a_sp FROM d_games g LEFT JOIN st h ON g.game_id = h.game_id AND h.side = 'home'
+      LEFT JOIN st a ON g.game_id = a.game_id AND a.side = 'away' WHERE h.game_id IS NOT NULL OR a.game_id IS NOT NULL""",
+    "targets": """SELECT game_id, 'home' AS side, home_id AS team_id, game_date AS as_of, CASE WHEN a_sp IS NULL THEN NULL WHEN a_sp % 4 = 0 THEN 'L' ELSE 'R' END AS hand FROM hs
+      UNION ALL SELECT game_id, 'away', away_id, game_date, CASE WHEN h_sp IS NULL THEN NULL WHEN h_sp % 4 = 0 THEN 'L' ELSE 'R' END FROM hs""",
+    "hist": """SELECT l.game_id AS past_game, l.slot, l.player_id, l.position, t.team_id, t.as_of AS played_on, t.hand AS opp_hand FROM d_long l JOIN targets t ON l.game_id = t.game_id AND l.side = t.side""",
+    "asked": "SELECT DISTINCT team_id, as_of, hand FROM targets",
+    "near": """SELECT t.*, h.past_game, h.slot, h.player_id, h.position, h.played_on, coalesce(h.opp_hand = t.hand, FALSE) AS same FROM asked t JOIN hist h
+      ON t.team_id = h.team_id AND h.played_on < t.as_of AND h.played_on >= t.as_of - 30 AND year(h.played_on) = year(t.as_of)""",
+    "platoon": "SELECT team_id, as_of, hand, count(DISTINCT past_game) FILTER (WHERE same) >= 3 AS used FROM near GROUP BY 1, 2, 3",
+    "pool": """SELECT n.*, used FROM near n JOIN platoon p ON n.team_id = p.team_id AND n.as_of = p.as_of AND n.hand IS NOT DISTINCT FROM p.hand
+      WHERE CASE WHEN used THEN same ELSE played_on >= n.as_of - 14 END""",
+}
+
+
+@query("lineup_pool_facts", B.with_ctes(
+    """SELECT t.team_id, t.as_of, coalesce(t.hand, '') AS hand, coalesce(used, FALSE) AS used_platoon, coalesce(n, 0) AS pool_size FROM asked t
+    LEFT JOIN platoon p ON t.team_id = p.team_id AND t.as_of = p.as_of AND t.hand IS NOT DISTINCT FROM p.hand
+    LEFT JOIN (SELECT team_id, as_of, hand, count(DISTINCT past_game) AS n FROM pool GROUP BY 1, 2, 3) s ON t.team_id = s.team_id AND t.as_of = s.as_of AND t.hand IS NOT DISTINCT FROM s.hand""",
+    "d_long", "d_arms", extra=_HIST))
+def lineup_pool_facts(spark, d):
+    games, hands = _history(spark, d)
+    history = stage(lineups.opposing_history(B.lineups_long(spark, d), games, hands), "history")
+    targets = lineups.slate_targets(_schedule(spark, d)).select("team_id", "as_of", F.coalesce("hand", F.lit("")).alias("hand_key")).distinct()
+    _, facts = lineups.lineup_pool(targets, history)
+    return facts.select("team_id", "as_of", F.col("hand_key").alias("hand"), "used_platoon", big("pool_size").alias("pool_size"))
+
+
+@query("position_start_counts", B.with_ctes(
+    "SELECT team_id, player_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE position = '{p}') AS \"{p}\"" for p in K.POSITION_PRIORITY)
+    + " FROM hist GROUP BY 1, 2", "d_long", "d_arms", extra=_HIST))
+def position_start_counts(spark, d):
+    games, _ = _history(spark, d)
+    history = lineups.opposing_history(B.lineups_long(spark, d), games)
+    return lineups.position_start_counts(history, ["team_id"])
+
+
+@query("modal_pick_slot", B.with_ctes(
+    """SELECT team_id, CAST(slot AS BIGINT) AS slot, player_id, n, last_date FROM (SELECT team_id, slot, player_id, count(*) AS n, max(played_on) AS last_date,
+        row_number() OVER (PARTITION BY team_id, slot ORDER BY count(*) DESC, max(played_on) DESC, player_id) AS rn FROM hist WHERE player_id % 100 % 15 <> 3 GROUP BY 1, 2, 3) WHERE rn = 1""",
+    "d_long", "d_arms", extra=_HIST))
+def modal_pick_slot(spark, d):
+    games, _ = _history(spark, d)
+    history = lineups.opposing_history(B.lineups_long(spark, d), games)
+    used = history.select("player_id").where(F.col("player_id") % 100 % 15 == 3)
+    return lineups.modal_pick(history, ["team_id", "slot"], used).select("team_id", big("slot").alias("slot"), "player_id", "n", "last_date")
+
+
+@query("duplicate_position_demotion", B.with_ctes(
+    f"""SELECT game_id, side, CAST(slot AS BIGINT) AS slot, player_id, CASE WHEN position IN {S.in_list(K.FIELDING)} AND rn > 1 THEN 'DH' ELSE position END AS new_position FROM (
+      SELECT l.*, row_number() OVER (PARTITION BY game_id, side, l.position ORDER BY coalesce(games, 0) DESC, slot) AS rn FROM d_long l LEFT JOIN starts s ON l.player_id = s.player_id AND l.position = s.position)""",
+    "d_long", extra={"starts": FS.DEFENSE_CTES["starts"]}))
+def duplicate_position_demotion(spark, d):
+    long = B.lineups_long(spark, d)
+    out = lineups.demote_duplicates(long, defense.starts_by_position(long))
+    return out.select("game_id", "side", big("slot").alias("slot"), "player_id", "new_position")
+
+
+def projections(spark, d):
+    games, hands = _history(spark, d)
+    return lineups.project_lineups(_schedule(spark, d), stage(B.lineups_long(spark, d), "slots"), games, hands)
+
+
+@query("project_lineups")
+def project_lineups(spark, d):
+    return projections(spark, d)
+
+
+@query("projected_features")
+def projected_features(spark, d):
+    """Projected cards for every game, a third of them overridden by the published card."""
+    pitches, wide = stage(B.pitches(spark, d), "pitches"), stage(B.lineups_wide(spark, d), "lineups")
+    long = stage(B.lineups_long(spark, d), "slots")
+    published = wide.select(
+        "game_id", "home_lineup", "away_lineup", F.col("home_lineup_positions").alias("home_positions"),
+        F.col("away_lineup_positions").alias("away_positions"), "home_starter_id", "away_starter_id")
+    return features.build_projected_features(
+        stage(_schedule(spark, d), "schedule"), stage(projections(spark, d), "cards"), pitches, wide, long, published, oaa=B.oaa(spark, d),
+        park=B.park_factors(spark, d), starter_floors=STARTER_FLOORS, hitter_floors=HITTER_FLOORS, rest=REST, top=TOP)
+
+
+# --- nested documents derived from the tables --------------------------------------------------
+
+@query("boxscore_flatten", B.with_ctes(
+    """SELECT game_id, side, row_number() OVER (PARTITION BY game_id, side ORDER BY slot) AS slot, player_id,
+      CASE WHEN player_id % 5 = 0 THEN 'PH' ELSE 'P' || player_id % 7 END AS position FROM d_long
+    WHERE game_id IN (SELECT game_id FROM d_long GROUP BY 1 HAVING count(DISTINCT side) = 2)""", "d_long"))
+def boxscore_flatten(spark, d):
+    """Box-score documents written as JSON text, parsed back and exploded."""
+    wide = B.lineups_wide(spark, d)
+
+    def player(p):
+        first = F.when(p % 5 != 0, F.array(F.struct(F.concat(F.lit("P"), (p % 7).cast("string")).alias("abbreviation"))))
+        return F.struct(F.struct(F.concat(F.lit("Player "), p.cast("string")).alias("fullName")).alias("person"),
+                        F.struct(F.lit("PH").alias("abbreviation")).alias("position"), first.alias("allPositions"))
+
+    def side(s):
+        ids = F.col(f"{s}_lineup")
+        players = F.map_from_entries(F.transform(F.array_distinct(ids), lambda p: F.struct(F.concat(F.lit("ID"), p.cast("string")), player(p))))
+        return F.struct(F.struct(F.col(f"{s}_team_id").alias("id")).alias("team"), ids.alias("battingOrder"),
+                        F.col(f"{s}_pitchers_used").alias("pitchers"), players.alias("players"))
+
+    text = wide.select("game_id", F.to_json(F.struct(F.lit("x").alias("gameId"), side("home").alias("home"), side("away").alias("away"))).alias("doc"))
+    docs = text.select("game_id", F.from_json("doc", parse(BOXSCORE_DOC)).alias("j")).select("game_id", "j.*")
+    out = reshape.explode_lineups(documents.boxscore_lineups(docs))
+    return out.select("game_id", "side", big("slot").alias("slot"), "player_id", "position")
+
+
+@query("odds_flatten", B.with_ctes(
+    """SELECT game_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_s, book_key, home_price_american, away_price_american, count(*) AS n FROM d_quotes
+    WHERE NOT (book_key = 'other' AND game_id % 2 = 0) GROUP BY ALL""", "d_quotes"))
+def odds_flatten(spark, d):
+    """Snapshot documents written as JSON text and flattened; spread-only books and one-sided quotes drop out."""
+    q = B.quotes(spark, d)
+
+    def outcome(name, price):
+        return F.struct(F.col(name).alias("name"), F.col(price).alias("price"))
+
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    one_sided = (F.col("book_key") == "other") & (F.col("game_id") % 2 == 0)
+    prices = F.when(one_sided, F.array(outcome("home_team", "home_price_american"))).otherwise(
+        F.array(outcome("home_team", "home_price_american"), outcome("away_team", "away_price_american")))
+    markets = F.array(F.struct(F.lit("spreads").alias("key"), F.lit(None).cast("string").alias("last_update"), prices.alias("outcomes")),
+                      F.struct(F.lit("h2h").alias("key"), F.date_format("snapshot_ts", iso).alias("last_update"), prices.alias("outcomes")))
+    book = F.struct(F.col("book_key").alias("key"), F.col("book_title").alias("title"), markets.alias("markets"))
+    game = F.struct(F.col("game_id").cast("string").alias("id"), F.date_format("commence_time", iso).alias("commence_time"), "home_team", "away_team", F.array(book).alias("bookmakers"))
+    text = q.select(F.to_json(F.struct(F.date_format("snapshot_ts", iso).alias("fetched_at_utc"), F.array(game).alias("data"))).alias("doc"))
+    docs = text.select(F.from_json("doc", parse(ODDS_DOC)).alias("j"), F.lit("derived").alias("source")).select("j.*", "source")
+    long = documents.quotes_long(docs)
+    return long.groupBy(big("odds_api_game_id").alias("game_id"), epoch("snapshot_ts").alias("snapshot_s"), "book_key", "home_price_american", "away_price_american").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("outcomes_flatten", B.with_ctes(
+    "SELECT status, count(*) AS n, CAST(sum(home_score) AS BIGINT) AS home FROM d_games GROUP BY 1", "d_games"))
+def outcomes_flatten(spark, d):
+    g = B.games(spark, d)
+    game = F.struct("game_id", F.col("game_date").cast("string").alias("game_date"), "status", "game_type", "home_score", "away_score")
+    text = g.select(F.to_json(F.struct(F.array(game).alias("data"))).alias("doc"))
+    games = documents.outcome_games(text.select(F.from_json("doc", parse(OUTCOMES_DOC)).alias("j")).select("j.*"))
+    return games.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home_score").try_cast("bigint")).alias("home"))
+
+
+@query("incremental_append", """
+    SELECT game_pk, sum(n)::BIGINT AS n FROM (SELECT l_orderkey AS game_pk, count(DISTINCT (l_partkey, l_suppkey, l_linenumber)) AS n
+      FROM lineitem WHERE l_shipdate <= DATE '2001-06-30' GROUP BY 1) GROUP BY 1""")
+def incremental_append(spark, d):
+    l = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game_pk"), F.to_date("l_shipdate").alias("game_date"), "l_partkey", "l_suppkey", "l_linenumber")
+    old, fresh = l.where("game_date <= DATE '2000-06-30'"), l.where("game_date >= DATE '2000-01-01'")
+    both = tables.append_dedupe(old, fresh, ["game_pk", "l_partkey", "l_suppkey", "l_linenumber"], until="2001-06-30")
+    return both.groupBy("game_pk").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("latest_snapshot", """
+    SELECT o_orderpriority, count(*) AS n FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY 1""")
+def latest_snapshot(spark, d):
+    path = scratch_path(spark, "versions")
+    o = B.table(spark, d, "orders").select("o_orderpriority", F.year("o_orderdate").cast("string").alias("snapshot_ts"))
+    tables.write_partitions(o, path, ["snapshot_ts"])
+    return tables.read_latest_snapshot(spark, path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("player_name_upsert", """
+    SELECT c_custkey AS player_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'seen ' || c_mktsegment ELSE c_name END AS name FROM customer""")
+def player_name_upsert(spark, d):
+    c = B.table(spark, d, "customer")
+    known = c.select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"))
+    seen = c.join(B.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select(
+        F.col("c_custkey").alias("player_id"), F.concat(F.lit("seen "), "c_mktsegment").alias("name"))
+    return documents.upsert_player_names(known, seen)

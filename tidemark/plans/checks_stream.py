@@ -1 +1,117 @@
-"""Queries."""
+"""Queries: Structured Streaming jobs drained over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tidemark.plans import bindings as B
+from tidemark.plans.registry import epoch, query, rnd
+from tidemark.session import scratch_path
+from tidemark.streaming import jobs
+
+
+def _stream(spark, sf_dir: str, name: str) -> DataFrame:
+    """One given table as a file stream."""
+    schema = B.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _drain(spark, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    sink = scratch_path(spark, label)
+    jobs.run_available(stream, sink, scratch_path(spark, f"{label}-checkpoint"), mode)
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+def _restage(spark, df: DataFrame, label: str) -> DataFrame:
+    """Write a derived table and stream its files."""
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
+
+@query("stream_daily_counts", f"""
+    SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day_s, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, round(sum(value), 4) + 0.0 AS value
+    FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY 1, 2""")
+def stream_daily_counts(spark, d):
+    ev = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    aggs = {"n": F.count(F.lit(1)), "clicks": F.count_if(F.col("event_type") == "click"), "value": F.sum("value")}
+    out = _drain(spark, jobs.stream_daily_counts(ev, ["user_id"], "ts", aggs, delay="1 day"), "daily")
+    return out.select("user_id", epoch("window_start").alias("day_s"), "n", "clicks", rnd("value", 4).alias("value"))
+
+
+@query("stream_trailing_counts", f"""
+    SELECT event_type, CAST(epoch(w) AS BIGINT) AS window_s, count(*) AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS w FROM events)
+    WHERE w + INTERVAL 7 DAY <= {_CLOSED} GROUP BY 1, 2""")
+def stream_trailing_counts(spark, d):
+    ev = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drain(spark, jobs.stream_daily_counts(ev, ["event_type"], "ts", {"n": F.count(F.lit(1))}, delay="1 day", window="7 days", slide="1 day"), "trailing")
+    return out.select("event_type", epoch("window_start").alias("window_s"), "n")
+
+
+@query("stream_dedupe_append", "SELECT count(DISTINCT (user_id, event_type, CAST(ts AS DATE))) AS n, count(DISTINCT user_id) AS users FROM events")
+def stream_dedupe_append(spark, d):
+    ev = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.to_date("ts"))
+    out = _drain(spark, jobs.stream_dedupe_append(ev, ["user_id", "event_type", "day"], "ts", "60 days"), "dedupe")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("stream_latest_line", B.with_ctes(
+    """SELECT home_team, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_s, home_price_american, away_price_american FROM lines
+    WHERE commence_time <= (SELECT max(commence_time) - INTERVAL 3 DAY FROM d_quotes WHERE book_key <> 'other' AND snapshot_ts <= commence_time - INTERVAL 30 MINUTE)""",
+    "d_quotes", extra={
+        "pre": """SELECT *, max(snapshot_ts) OVER (PARTITION BY commence_time, home_team, away_team) AS chosen FROM d_quotes WHERE book_key <> 'other' AND snapshot_ts <= commence_time - INTERVAL 30 MINUTE""",
+        "lines": """SELECT commence_time, home_team, away_team, chosen AS snapshot_ts, max(home_price_american) AS home_price_american, max(away_price_american) AS away_price_american
+          FROM pre WHERE snapshot_ts = chosen AND abs(home_price_american) <= 500 AND abs(away_price_american) <= 500 GROUP BY 1, 2, 3, 4"""}))
+def stream_latest_line(spark, d):
+    q = _restage(spark, B.quotes(spark, d), "quotes")
+    out = _drain(spark, jobs.stream_latest_line(q), "lines")
+    return out.select("home_team", epoch("snapshot_ts").alias("snapshot_s"), "home_price_american", "away_price_american")
+
+
+_SIGNALS = """SELECT o_custkey AS game_id, CASE WHEN o_orderkey % 3 = 0 THEN 'home' ELSE 'away' END AS recommended, o_orderdate AS rec_ts, o_totalprice AS odds
+  FROM orders WHERE o_orderstatus <> 'P'"""
+
+
+@query("stream_first_signal", f"""
+    SELECT game_id, recommended, odds FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY rec_ts, recommended, odds) AS rn FROM ({_SIGNALS})) WHERE rn = 1""")
+def stream_first_signal(spark, d):
+    o = _stream(spark, d, "orders").where("o_orderstatus <> 'P'")
+    s = o.select(
+        F.col("o_custkey").alias("game_id"), F.to_timestamp(F.lit("2030-01-01 00:00:00")).alias("commence_time"),
+        F.when(F.col("o_orderkey") % 3 == 0, "home").otherwise("away").alias("recommended"),
+        F.col("o_orderdate").cast("timestamp").alias("rec_ts"), F.col("o_totalprice").alias("odds"))
+    return _drain(spark, jobs.stream_first_signal(s), "signals").select("game_id", "recommended", "odds")
+
+
+@query("stream_settle", B.with_ctes(
+    """SELECT game_id, CASE WHEN home_score = away_score THEN 'push' WHEN home_score > away_score THEN 'won' ELSE 'lost' END AS outcome,
+      CASE WHEN home_score = away_score THEN 0 WHEN home_score > away_score THEN 0.8 ELSE -1 END::DOUBLE AS profit_units FROM d_games WHERE status <> 'Postponed'""", "d_games"))
+def stream_settle(spark, d):
+    g = B.games(spark, d)
+    tickets = g.select("game_id", "commence_time", F.lit("home").alias("recommended_side"), F.lit(1.8).alias("decimal_at_rec"), F.lit(1.0).alias("risk_units"))
+    results = g.where("status <> 'Postponed'").select(
+        "game_id", (F.col("commence_time") + F.expr("INTERVAL 3 HOURS")).alias("final_ts"), "home_score", "away_score")
+    joined = jobs.stream_settle(_restage(spark, tickets, "tickets"), _restage(spark, results, "results"))
+    return _drain(spark, joined, "settled").select("game_id", "outcome", rnd("profit_units").alias("profit_units"))
+
+
+@query("stream_ledger_upsert", """SELECT count(*) AS n, count(DISTINCT game_id) AS games FROM (
+    SELECT o_orderkey AS game_id FROM orders WHERE o_orderstatus <> 'P')""")
+def stream_ledger_upsert(spark, d):
+    o = _stream(spark, d, "orders").select(
+        F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("game_date"),
+        (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 20 HOURS")).alias("commence_time"),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise("home").alias("recommended"),
+        F.col("o_custkey").alias("home_id"), F.col("o_custkey").alias("away_id"), F.lit("H").alias("home_name"), F.lit("A").alias("away_name"),
+        F.lit(0.5).alias("p_home"), F.col("o_orderdate").cast("timestamp").alias("snapshot_ts"),
+        *[F.lit(v).alias(n) for n, v in (("home_price_american", 110.0), ("away_price_american", -130.0), ("home_decimal", 2.1), ("away_decimal", 1.77),
+          ("home_fair_p", 0.47), ("away_fair_p", 0.53), ("edge_home", 0.03), ("edge_away", -0.03), ("recommended_ev", 0.05), ("recommended_kelly", 0.005),
+          ("recommended_kelly_pre_daily", 0.005), ("risk_ref_kelly", 0.005), ("risk_units", 1.0))])
+    from tidemark.sources.tables import read_ledger
+
+    root = scratch_path(spark, "ledger-versions")
+    jobs.stream_ledger_upsert(o, root, scratch_path(spark, "ledger-checkpoint"), lambda: "1990-01-01 00:00:00").awaitTermination()
+    return read_ledger(spark, root).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("game_id").alias("games"))
