@@ -30,7 +30,7 @@ def training(spark, d):
 def training_features(spark, d):
     df = training(spark, d)
     names = [n for n, _ in FS.wide_columns()]
-    return df.select("game_id", "game_date", "home_score", "away_score", *[rnd(n).alias(n) for n in names])
+    return df.select("game_id", "game_date", "home_score", "away_score", *[rnd(F.col(n) + FS.SHIFT, FS.DIGITS).alias(n) for n in names])
 
 
 # --- line-up projection -----------------------------------------------------------------
