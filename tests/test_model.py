@@ -80,7 +80,11 @@ def test_platt_and_isotonic(spark):
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)] + [(None, 1)], "p double, y int")
     fit = calibrate.fit_platt(df, "p", "y")
     r = fit.first()
-    assert (r.slope, r.intercept) == pytest.approx((4, -1.5), abs=0.5) and (r.A, r.B, r.train_n) == (-r.slope, -r.intercept, 3000)
+    design, beta = np.column_stack([np.ones_like(p), p]), np.zeros(2)
+    for _ in range(30):  # Newton's method on the same likelihood
+        q = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve(design.T @ (design * (q * (1 - q))[:, None]), design.T @ (y - q))
+    assert (r.intercept, r.slope) == pytest.approx(tuple(beta), abs=1e-5) and (r.A, r.B, r.train_n) == (-r.slope, -r.intercept, 3000)
     out = calibrate.apply_platt(df, fit, "p")
     assert out.where("p IS NULL").first().p_calibrated is None
     iso = calibrate.apply_isotonic(df, calibrate.fit_isotonic(df, "p", "y"), "p").where("p IS NOT NULL").orderBy("p").collect()
