@@ -59,17 +59,22 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
 
 
 def running(ranged: DataFrame, specs: dict[str, tuple[str, str]], order: Sequence[str],
-            partition: Sequence[str] = (), *, exclusive: Sequence[str] = ()) -> DataFrame:
+            partition: Sequence[str] = (), *, exclusive: Sequence[str] = (), totals: dict[str, str] | None = None) -> DataFrame:
     """Add running ``sum`` / ``product`` / ``max`` columns over a ranged frame.
 
     ``specs`` maps output name to ``(kind, input column)``; outputs named in
-    ``exclusive`` stop before the current row. ``order`` must be the total order
-    within a partition and ``_range`` must follow (partition, order).
+    ``exclusive`` stop before the current row, and ``totals`` maps further outputs
+    to the ``specs`` entry whose whole-partition value they carry. ``order`` must be
+    the total order within a partition and ``_range`` must follow (partition, order).
     """
+    totals = totals or {}
     cells = [*partition, BUCKET]
-    totals = ranged.groupBy(*cells).agg(*[_REDUCE[k](c).alias(f"_t_{o}") for o, (k, c) in specs.items()])
+    reduced = ranged.groupBy(*cells).agg(*[_REDUCE[k](c).alias(f"_t_{o}") for o, (k, c) in specs.items()])
     before = W.partitionBy(*partition).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    carries = totals.select(*cells, *[_REDUCE[k](f"_t_{o}").over(before).alias(f"_c_{o}") for o, (k, _) in specs.items()])
+    whole = W.partitionBy(*partition)
+    carries = reduced.select(
+        *cells, *[_REDUCE[k](f"_t_{o}").over(before).alias(f"_c_{o}") for o, (k, _) in specs.items()],
+        *[_REDUCE[specs[o][0]](f"_t_{o}").over(whole).alias(name) for name, o in totals.items()])
     ordered = W.partitionBy(*cells).orderBy(*order)
 
     def inside(name: str):
@@ -92,9 +97,9 @@ def exact_quantiles(long: DataFrame, probabilities: Sequence[float], *, key: str
         .groupBy(F.col(key).alias("_key"), F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(with_ranges(counted, ["_key", "_value"]), {"_upto": ("sum", "_n")}, ["_value"], ["_key"])
-    sizes = counted.groupBy("_key").agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, "_key").withColumn("_from", F.col("_upto") - F.col("_n"))
+    placed = running(
+        with_ranges(counted, ["_key", "_value"]), {"_upto": ("sum", "_n")}, ["_value"], ["_key"], totals={"_size": "_upto"},
+    ).withColumn("_from", F.col("_upto") - F.col("_n"))
 
     picks = []
     for i, p in enumerate(probabilities):

