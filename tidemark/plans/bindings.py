@@ -152,6 +152,17 @@ def pitchers_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("game_id", "side", F.col("p.pitcher").alias("pitchers_used"), F.get("p.pitcher", F.lit(0)).alias("starter_id"))
 
 
+def starters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(game_id, game_date, side, starter_id): the first pitcher of each side, in one aggregate."""
+    g = games(spark, sf_dir).select("game_id", "game_date", "home_id", "away_id")
+    side = F.when(F.col("l_linestatus") == "O", "away").otherwise("home")
+    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("game_id"), side.alias("side")).agg(
+        F.min(F.col("l_linenumber") * 12 + F.col("l_suppkey") % 12).alias("first"))
+    team = F.when(F.col("side") == "home", F.col("home_id")).otherwise(F.col("away_id"))
+    return first.join(g, "game_id").select(
+        "game_id", "game_date", "side", (team * 100 + 50 + F.col("first") % 12).alias("starter_id"))
+
+
 def oaa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fielding table per (player, position) from item counts; catchers and DH have none."""
     from tidemark import constants as K

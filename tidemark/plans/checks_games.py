@@ -37,8 +37,8 @@ def training_features(spark, d):
 
 def _history(spark, d):
     """Line-up rows with the opposing starter's hand (hand by pitcher id)."""
-    g, sp = B.games(spark, d), B.pitchers_used(spark, d).select("game_id", "side", "starter_id")
-    starters = reshape.fold_sides(sp, "game_id", ["starter_id"])
+    g = B.games(spark, d)
+    starters = reshape.fold_sides(B.starters(spark, d), "game_id", ["starter_id"])
     games = g.join(starters, "game_id")
     pairs = games.select(F.explode(F.array("home_starter_id", "away_starter_id")).alias("player_id")).dropna().distinct()
     hands = pairs.withColumn("hand", F.when(F.col("player_id") % 4 == 0, "L").otherwise("R"))

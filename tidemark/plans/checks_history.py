@@ -9,15 +9,13 @@ from tidemark.functions import rates
 from tidemark.operators import asof, counts, history, rows
 from tidemark.plans import bindings as B, sqlparts as S
 from tidemark.plans.registry import big, query, rnd
-from tidemark.session import stage
 
 _SHOW = ("SIERA", "K_pct", "GB_pct", "Barrel_pct", "xwOBA", "PA_cum")
 
 
 def _starters(spark, d):
     """Both starters of every game: (game_id, side, starter_id, game_date)."""
-    g = B.games(spark, d).select("game_id", "game_date")
-    return stage(B.pitchers_used(spark, d).select("game_id", "side", "starter_id").join(g, "game_id"), "starters")
+    return B.starters(spark, d)
 
 
 _STARTERS_SQL = "SELECT a.game_id, side, pitcher_id AS starter_id, game_date FROM d_arms a JOIN d_games USING (game_id) WHERE seq = 1"

@@ -236,7 +236,7 @@ def team_ids_of_names(spark, d):
 def attach_hand(spark, d):
     hands = counts.latest_non_null(B.pitches(spark, d), ["pitcher"], "p_throws", "game_date").select(
         F.col("pitcher").alias("player_id"), F.col("p_throws").alias("hand"))
-    sp = B.pitchers_used(spark, d).where("side = 'home'").select("game_id", F.col("starter_id").alias("sp"))
+    sp = B.starters(spark, d).where("side = 'home'").select("game_id", F.col("starter_id").alias("sp"))
     sp = sp.withColumn("throws", F.when(F.col("game_id") % 3 == 0, "L"))
     return rows.attach_hand(sp, hands, id_col="sp", out="throws").select("game_id", "throws")
 
