@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, langid, mixing, pii, records, toxicity
+from tidemark.llm import bpe, dartminhash, langid, mixing, pii, records, toxicity
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -36,5 +40,5 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op4_toxicity, op5_byte_bpe, op6_source_mix, op8_token_records, op9_personal_data)}
+    op1_language_id, op2_near_duplicates, op4_toxicity, op5_byte_bpe, op6_source_mix, op8_token_records, op9_personal_data)}
 ORACLES: dict[str, str] = {"op6_source_mix": mixing.ORACLE}
