@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, dartminhash, langid, mixing, pii, records, toxicity
+from tidemark.llm import bpe, dartminhash, fingerprints, langid, mixing, neighbours, pages, pii, records, toxicity
 from tidemark.llm.common import table
 
 
@@ -18,6 +19,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,14 +36,23 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.spans_of(table(spark, sf_dir, "documents"))
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.write_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_of(table(spark, sf_dir, "documents"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_near_duplicates, op4_toxicity, op5_byte_bpe, op6_source_mix, op8_token_records, op9_personal_data)}
+    op1_language_id, op2_near_duplicates, op3_neighbours, op4_toxicity, op5_byte_bpe, op6_source_mix, op7_fingerprints,
+    op8_token_records, op9_personal_data, op10_main_text)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op6_source_mix": mixing.ORACLE}
