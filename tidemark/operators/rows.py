@@ -28,11 +28,13 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 
 def leaderboard(df: DataFrame, value: str, n: int, *, floor: tuple[str, float] | None = None,
-                ascending: bool = True, tie: Sequence[str] = ()) -> DataFrame:
-    """Best ``n`` rows by ``value`` among those above a sample floor."""
+                ascending: bool = True, tie: Sequence[str] = (), by: Sequence[str] = (), place: str | None = None) -> DataFrame:
+    """Best ``n`` rows by ``value`` among those above a sample floor, of each group of ``by`` if given, with their ``place``."""
     if floor:
         df = df.where(F.col(floor[0]) >= floor[1])
     lead = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
+    if by:
+        return top_n(df, by, [lead, *map(F.col, tie)], n, place)
     return df.orderBy(lead, *tie).limit(n)
 
 

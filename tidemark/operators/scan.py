@@ -8,11 +8,13 @@ where the cuts fall, never what the result is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-_FAN = 32
+from tidemark.session import stage
+
 _SAMPLE_PER_RANGE = 16
 BUCKET = "_range"
 
@@ -20,7 +22,7 @@ BUCKET = "_range"
 def _range_count(df: DataFrame) -> int:
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(_FAN * _FAN, max(width, spark.sparkContext.defaultParallelism)))
+    return max(2, width, spark.sparkContext.defaultParallelism)
 
 
 def _literal(row, fields) -> Column:
@@ -28,23 +30,30 @@ def _literal(row, fields) -> Column:
 
 
 def with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Add ``_range``: a number that never decreases along ``order`` (ascending)."""
+    """Add ``_range``: a number that never decreases along ``order`` (ascending).
+
+    The frame is staged first, so that its plan runs once. There are as many ranges as shuffle partitions, fewer only
+    where there are fewer rows to cut at.
+    """
+    df = stage(df, "ranged")
     ranges = ranges or _range_count(df)
     keyed = df.select(*order)
-    want = ranges * _SAMPLE_PER_RANGE
-    sample = keyed.orderBy(F.rand(11)).limit(want).collect()
-    if len(sample) < want:  # fewer rows than the sample asks for: one range holds them
+    total = df.count()
+    share = min(1.0, ranges * _SAMPLE_PER_RANGE / max(total, 1))
+    sample = (keyed if share == 1.0 else keyed.sample(share, seed=11)).collect()
+    if not sample:
         return df.withColumn(BUCKET, F.lit(0))
     fields = keyed.schema.fields
     ordered = sorted(sample, key=lambda r: tuple((r[f.name] is not None, r[f.name]) for f in fields))
-    edges = [ordered[i * _SAMPLE_PER_RANGE] for i in range(1, ranges)]
+    edges = [ordered[i * len(ordered) // ranges] for i in range(1, ranges)] if ranges > 1 else ordered[:1]
     key = F.struct(*[F.col(c).alias(c) for c in order])
-    blocks = [edges[i:i + _FAN] for i in range(0, len(edges), _FAN)]
+    fan = math.isqrt(len(edges) - 1) + 1
+    blocks = [edges[i:i + fan] for i in range(0, len(edges), fan)]
     # Two short look-ups instead of one long one: block first, then edge in block.
     heads = F.array(*[_literal(b[0], fields) for b in blocks])
     block = F.greatest(F.size(F.filter(heads, lambda e: e <= key)) - 1, F.lit(0))
     inside = F.get(F.array(*[F.array(*[_literal(e, fields) for e in b]) for b in blocks]), block)
-    return df.withColumn(BUCKET, block * _FAN + F.size(F.filter(inside, lambda e: e <= key)))
+    return df.withColumn(BUCKET, block * fan + F.size(F.filter(inside, lambda e: e <= key)))
 
 
 _REDUCE = {"sum": F.sum, "product": F.product, "max": F.max}

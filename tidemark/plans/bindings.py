@@ -28,14 +28,9 @@ UNCHARGED = ["sac_bunt", "intent_walk", "catcher_interf", "pickoff_1b"]
 BOOKS = ["draftkings", "fanduel", "betmgm", "other"]
 
 
-_FACTS = ("orders", "lineitem", "events")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that comes in fewer files than there are cores is spread over them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in _FACTS and len(df.inputFiles()) < cores else df
+    """A given table, as it is stored; file splits and adaptive execution set the width."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _team(nation: Column) -> Column:

@@ -166,11 +166,12 @@ def run_value_per_100(spark, d):
 
 
 @query("season_leaders", B.with_ctes(
-    f"""SELECT player_id, game_date, CAST(PA_cum AS BIGINT) AS PA_cum, round(SIERA, 9) + 0.0 AS SIERA
-    FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC) AS rn FROM idx WHERE game_year = 1998)
-    WHERE rn = 1 AND PA_cum >= 20 ORDER BY SIERA, player_id LIMIT 15""", "d_pitches", extra=S.index_ctes("idx", "d_pitches", "pitcher")))
+    f"""SELECT * FROM (SELECT game_year, player_id, game_date, CAST(PA_cum AS BIGINT) AS PA_cum, round(SIERA, 9) + 0.0 AS SIERA,
+      row_number() OVER (PARTITION BY game_year ORDER BY SIERA NULLS LAST, player_id) AS place
+    FROM (SELECT *, row_number() OVER (PARTITION BY game_year, player_id ORDER BY game_date DESC) AS rn FROM idx)
+    WHERE rn = 1 AND PA_cum >= 20) WHERE place <= 15""", "d_pitches", extra=S.index_ctes("idx", "d_pitches", "pitcher")))
 def season_leaders(spark, d):
-    index = history.season_index(B.pitches(spark, d), "pitcher").where("game_year = 1998")
-    final = rows.latest_per_group(index, ["player_id"], "game_date")
-    return rows.leaderboard(final, "SIERA", 15, floor=("PA_cum", 20), tie=["player_id"]).select(
-        "player_id", "game_date", big("PA_cum").alias("PA_cum"), rnd("SIERA").alias("SIERA"))
+    index = history.season_index(B.pitches(spark, d), "pitcher")
+    final = rows.latest_per_group(index, ["game_year", "player_id"], "game_date")
+    return rows.leaderboard(final, "SIERA", 15, floor=("PA_cum", 20), tie=["player_id"], by=["game_year"], place="place").select(
+        "game_year", "player_id", "game_date", big("PA_cum").alias("PA_cum"), rnd("SIERA").alias("SIERA"), "place")

@@ -359,19 +359,20 @@ def ledger_clv(spark, d):
 # --- contact formulas ---------------------------------------------------------------
 
 @query("personal_park_factor", B.with_ctes(
-    """SELECT batter, round(CASE WHEN p.bat_side IS NULL OR n = 0 THEN 1.0 ELSE (bb * 0.69 * index_bb / 100 + hbp * 0.72 + s * 0.88 * index_1b / 100 + d * 1.27 * index_2b / 100 + t * 1.62 * index_3b / 100 + h * 2.1 * index_hr / 100) / n END, 7) + 0.0 AS factor
+    """SELECT batter, side AS bat_side, round(CASE WHEN p.bat_side IS NULL OR n = 0 THEN 1.0 ELSE (bb * 0.69 * index_bb / 100 + hbp * 0.72 + s * 0.88 * index_1b / 100 + d * 1.27 * index_2b / 100 + t * 1.62 * index_3b / 100 + h * 2.1 * index_hr / 100) / n END, 7) + 0.0 AS factor
     FROM (SELECT *, bb * 0.69 + hbp * 0.72 + s * 0.88 + d * 1.27 + t * 1.62 + h * 2.1 AS n FROM (SELECT player_id AS batter, sum(BB) AS bb, sum(HBP) AS hbp, sum(_1B) AS s, sum(_2B) AS d, sum(_3B) AS t, sum(HR) AS h FROM dc GROUP BY 1))
-    LEFT JOIN d_park p ON batter // 100 = main_team_id AND bat_side = 'R'""", "d_pitches", "d_park", extra={"dc": S.daily("d_pitches", "batter")}))
+    CROSS JOIN (VALUES ('L'), ('R')) sides(side) LEFT JOIN d_park p ON batter // 100 = main_team_id AND bat_side = side""", "d_pitches", "d_park", extra={"dc": S.daily("d_pitches", "batter")}))
 def personal_park_factor(spark, d):
     from tidemark.operators import counts
 
     n = counts.daily_counts(B.pitches(spark, d), "batter").groupBy("player_id").agg(*[F.sum(c).alias(c) for c in ("BB", "HBP", "_1B", "_2B", "_3B", "HR")])
-    park = features.park_lookup(B.park_factors(spark, d)).where("stand = 'R'")
-    df = n.withColumn("venue", features.team_codes(F.floor(F.col("player_id") / 100))).join(park, "venue", "left")
+    sides = n.withColumn("stand", F.explode(F.array(F.lit("L"), F.lit("R"))))
+    df = sides.withColumn("venue", features.team_codes(F.floor(F.col("player_id") / 100))).join(
+        features.park_lookup(B.park_factors(spark, d)), ["venue", "stand"], "left")
     events = {"BB": F.col("BB"), "HBP": F.col("HBP"), "1B": F.col("_1B"), "2B": F.col("_2B"), "3B": F.col("_3B"), "HR": F.col("HR")}
     factors = {e: F.col(f"park_{e}") for e in ("1B", "2B", "3B", "HR", "BB")}
     factor = contact.personal_park_factor(F.coalesce(F.col("park_found"), F.lit(False)), events, factors)
-    return df.select(F.col("player_id").alias("batter"), rnd(factor, 7).alias("factor"))
+    return df.select(F.col("player_id").alias("batter"), F.col("stand").alias("bat_side"), rnd(factor, 7).alias("factor"))
 
 
 @query("legacy_contact_formulas", """

@@ -69,24 +69,24 @@ def anti_join_orders(spark, d):
 
 
 @query("replace_batch", """
-    SELECT o_orderkey, 'history' AS source FROM orders WHERE o_orderdate < DATE '2001-01-01'
-      AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)
+    SELECT o_orderkey, 'history' AS source FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)
     UNION ALL SELECT o_orderkey, 'batch' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)""")
 def replace_batch(spark, d):
     o = B.table(spark, d, "orders")
     big_items = B.table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey"))
     batch = o.join(big_items, "o_orderkey", "left_semi").select("o_orderkey", F.lit("batch").alias("source"))
-    history = o.where("o_orderdate < DATE '2001-01-01'").select("o_orderkey", F.lit("history").alias("source"))
+    history = o.select("o_orderkey", F.lit("history").alias("source"))
     return rows.replace_batch(history, batch, ["o_orderkey"])
 
 
 @query("tagged_union", """
     SELECT status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (
       SELECT 'done' AS status, o_totalprice FROM orders WHERE o_orderstatus = 'F'
-      UNION ALL SELECT 'open', o_totalprice FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")
+      UNION ALL SELECT 'open', o_totalprice FROM orders WHERE o_orderstatus = 'O'
+      UNION ALL SELECT 'partial', o_totalprice FROM orders WHERE o_orderstatus = 'P') GROUP BY 1""")
 def tagged_union(spark, d):
     o = B.table(spark, d, "orders")
-    both = rows.tagged_union({"done": o.where("o_orderstatus = 'F'"), "open": o.where("o_orderstatus = 'O'")}, "status")
+    both = rows.tagged_union({"done": o.where("o_orderstatus = 'F'"), "open": o.where("o_orderstatus = 'O'"), "partial": o.where("o_orderstatus = 'P'")}, "status")
     return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -231,14 +231,14 @@ def team_ids_of_names(spark, d):
 
 
 @query("attach_hand", B.with_ctes(
-    """SELECT game_id, coalesce(CASE WHEN game_id % 3 = 0 THEN 'L' END, hand) AS throws FROM (SELECT game_id, pitcher_id FROM d_arms WHERE seq = 1 AND side = 'home')
+    """SELECT game_id, side, coalesce(CASE WHEN game_id % 3 = 0 THEN 'L' END, hand) AS throws FROM (SELECT game_id, side, pitcher_id FROM d_arms WHERE seq = 1)
     LEFT JOIN (SELECT pitcher, arg_max(p_throws, game_date) AS hand FROM d_pitches WHERE p_throws IS NOT NULL GROUP BY 1) ON pitcher_id = pitcher""", "d_pitches", "d_arms"))
 def attach_hand(spark, d):
     hands = counts.latest_non_null(B.pitches(spark, d), ["pitcher"], "p_throws", "game_date").select(
         F.col("pitcher").alias("player_id"), F.col("p_throws").alias("hand"))
-    sp = B.starters(spark, d).where("side = 'home'").select("game_id", F.col("starter_id").alias("sp"))
+    sp = B.starters(spark, d).select("game_id", "side", F.col("starter_id").alias("sp"))
     sp = sp.withColumn("throws", F.when(F.col("game_id") % 3 == 0, "L"))
-    return rows.attach_hand(sp, hands, id_col="sp", out="throws").select("game_id", "throws")
+    return rows.attach_hand(sp, hands, id_col="sp", out="throws").select("game_id", "side", "throws")
 
 
 @query("missing_documents", "SELECT o_orderkey AS game_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -315,7 +315,7 @@ def correlation(spark, d):
 
 
 @query("histogram", B.with_ctes(
-    "SELECT least(floor(home_score - away_score + 5), 9) - 5.0 AS bin, count(*) AS n FROM d_games WHERE home_score - away_score BETWEEN -5 AND 5 GROUP BY 1", "d_games"))
+    "SELECT least(floor(home_score - away_score + 9), 17) - 9.0 AS bin, count(*) AS n FROM d_games GROUP BY 1", "d_games"))
 def histogram(spark, d):
     g = B.games(spark, d).withColumn("run_diff", F.col("home_score") - F.col("away_score"))
-    return evaluate.histogram(g, "run_diff", -5, 5)
+    return evaluate.histogram(g, "run_diff", -9, 9)

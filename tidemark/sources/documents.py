@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators import rows
@@ -96,14 +94,12 @@ def upsert_player_names(existing: DataFrame | None, fresh: DataFrame) -> DataFra
 
 
 def read_odds_snapshots(spark: SparkSession, root: str, low: str | None = None, high: str | None = None) -> DataFrame:
-    """Long quotes from ``<root>/<date>/<time>.json``; with both bounds only those
-    date folders are listed."""
-    path = root.rstrip("/")
-    if low is not None and high is not None:
-        first, last = date.fromisoformat(low), date.fromisoformat(high)
-        days = [(first + timedelta(days=i)).isoformat() for i in range((last - first).days + 1)]
-        path = f"{path}/{{{','.join(days)}}}"
-    docs = _documents(spark, path, ODDS_DOC)
+    """Long quotes from ``<root>/<date>/<time>.json`` of the dates within the bounds; no rows if there are none."""
+    from tidemark.sources.tables import folder_exists
+
+    if not folder_exists(spark, root):
+        return quotes_long(spark.createDataFrame([], parse(ODDS_DOC)).withColumn("source", F.lit("")))
+    docs = _documents(spark, root.rstrip("/"), ODDS_DOC)
     folder = F.regexp_extract("_path", r"(\d{4}-\d{2}-\d{2})/[^/]+\.json$", 1)
     if low is not None:
         docs = docs.where(folder >= low)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -36,7 +37,7 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def write_feature_table(df: DataFrame, path: str, season: str = "season_year") -> None:
-    write_partitions(df.repartition(season, F.pmod(F.xxhash64("game_id"), F.lit(32))), path, [season])
+    write_partitions(df.hint("rebalance", season), path, [season])
 
 
 def write_day_partition(games: DataFrame, path: str, day: str, sport: str, fetched_at: Column | None = None) -> None:
@@ -61,32 +62,42 @@ def append_dedupe(existing: DataFrame, fresh: DataFrame, keys: Sequence[str] = K
                   date: str = "game_date", until: str | None = None) -> DataFrame:
     """Existing rows plus fresh rows newer than the stored high-water date, last row per key.
 
-    Fresh rows beat stored ones; inside a batch the later date wins, then a stable hash of the row.
+    Fresh rows beat stored ones; inside a batch the later date wins, then a stable hash of the row. Stored rows are unique
+    already, so only the batch is ordered; of the stored ones those go whose key comes again.
     """
     mark = existing.agg(F.max(F.to_date(date)))
     newer = fresh.where(F.to_date(date) > F.coalesce(mark.scalar(), F.lit("0001-01-01").cast("date")))
     if until is not None:
         newer = newer.where(F.to_date(date) <= F.lit(until).cast("date"))
-    both = existing.withColumn("_batch", F.lit(0)).unionByName(newer.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    present = [k for k in keys if k in both.columns]
-    both = both.withColumn("_tie", F.xxhash64(*existing.columns))
-    return rows.keep_last(both, present, ["_batch", date, "_tie"]).drop("_batch", "_tie")
+    present = [k for k in keys if k in existing.columns or k in newer.columns]
+    newer = newer.withColumns({c: F.lit(None).cast(existing.schema[c].dataType) for c in existing.columns if c not in newer.columns})
+    batch = rows.keep_last(newer.withColumn("_tie", F.xxhash64(*existing.columns)), present, [date, "_tie"]).drop("_tie")
+    same = reduce(lambda a, b: a & b, [F.col(f"_old.{k}").eqNullSafe(F.col(f"_new.{k}")) for k in present])
+    kept = existing.alias("_old").join(batch.select(*present).alias("_new"), same, "left_anti")
+    return kept.unionByName(batch, allowMissingColumns=True)
 
 
-def write_ledger(df: DataFrame, root: str, version: int) -> str:
-    """Write the next ledger version; earlier versions stay readable."""
+def write_ledger(df: DataFrame, root: str, version: int, writer: str = "") -> str:
+    """Write a ledger version; earlier versions stay readable. ``writer`` says who wrote it, for retries."""
     path = f"{root.rstrip('/')}/version={int(version)}"
-    align(df, LEDGER).withColumn("risk_units", F.coalesce("risk_units", F.lit(1.0))).write.mode("overwrite").parquet(path)
+    align(df, LEDGER).withColumns({"risk_units": F.coalesce("risk_units", F.lit(1.0)), "written_by": F.lit(writer)}).write.mode("overwrite").parquet(path)
     return path
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def ledger_versions(spark: SparkSession, root: str) -> DataFrame | None:
+    """All stored versions with their numbers; None if there is no ledger. A ledger that cannot be read is an error."""
+    return spark.read.option("basePath", root).parquet(root) if folder_exists(spark, root) else None
+
+
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """Latest ledger version with defaults filled; an empty ledger when none exists."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        versions = spark.read.option("basePath", root).parquet(root)
-    except AnalysisException:
+    versions = ledger_versions(spark, root)
+    if versions is None:
         return spark.createDataFrame([], parse(LEDGER))
     latest = versions.where(F.col("version") == versions.agg(F.max("version")).scalar())
     return align(latest, LEDGER).withColumn("risk_units", F.coalesce("risk_units", F.lit(1.0)))
