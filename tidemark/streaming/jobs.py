@@ -26,49 +26,94 @@ def stream_odds(spark: SparkSession, root: str) -> DataFrame:
     return quotes_long(docs.withColumn("source", F.col("_metadata.file_path")))
 
 
+_LINE = "commence_time timestamp, home_team string, away_team string, snapshot_ts timestamp, home_price_american double, away_price_american double"
+
+
 def stream_latest_line(quotes: DataFrame, minutes: int = K.CLOSE_MINUTES, delay: str = LATE,
-                       books: Sequence[str] | None = K.DEFAULT_BOOKS, keys: Sequence[str] = odds.GAME_KEYS) -> DataFrame:
-    """Best plausible prices of the latest snapshot before each game's cutoff.
+                       books: Sequence[str] | None = K.DEFAULT_BOOKS) -> DataFrame:
+    """Best plausible prices of the latest snapshot before each game's cutoff: a row whenever a game's line changes.
 
-    State is one row per game, evicted once the watermark passes its start. A NULL
-    price beats nothing but its own snapshot still counts as the latest one.
+    The watermark follows ``snapshot_ts``, so a quote for a far game makes no other quote late. State is one row per game and
+    expires once the watermark has passed the game's start, after which no quote of it is before the cutoff. A NULL price
+    beats nothing but its own snapshot still counts as the latest one: its row has NULL prices. ``newest_line`` gives the
+    state of all games from the rows so far.
     """
-    pre = odds.before_cutoff(odds.quote_filters(quotes, books, None), minutes).withWatermark("commence_time", delay)
+    pre = odds.before_cutoff(odds.quote_filters(quotes, books, None), minutes).withWatermark("snapshot_ts", delay)
     ok = (F.abs("home_price_american") <= K.EXTREME_PRICE) & (F.abs("away_price_american") <= K.EXTREME_PRICE)
-    best = {s: F.max(F.struct("snapshot_ts", F.when(ok, F.col(f"{s}_price_american")).alias("price"))) for s in ("home", "away")}
-    latest = pre.groupBy(*keys).agg(best["home"].alias("_h"), best["away"].alias("_a"))
-    return latest.where(F.col("_h.price").isNotNull()).select(
-        *keys, F.col("_h.snapshot_ts").alias("snapshot_ts"), F.col("_h.price").alias("home_price_american"),
-        F.col("_a.price").alias("away_price_american"))
+    plausible = pre.select(*odds.GAME_KEYS, "snapshot_ts", *[
+        F.when(ok, F.col(f"{s}_price_american")).cast("double").alias(f"{s}_price_american") for s in ("home", "away")])
+    prices = ["home_price_american", "away_price_american"]
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        latest = None if before is None else pd.Timestamp(before[0])
+        best = [None, None] if before is None else list(before[1:])
+        for batch in batches:
+            top = batch["snapshot_ts"].max()
+            if latest is None or top > latest:
+                latest, best = top, [None, None]
+            own = batch[batch["snapshot_ts"] == latest]
+            for i, name in enumerate(prices):
+                most = own[name].max()
+                if pd.notna(most) and (best[i] is None or most > best[i]):
+                    best[i] = float(most)
+        now = (latest.isoformat(), *best)
+        state.update(now)
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[0]).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        if now != before:
+            yield pd.DataFrame({"commence_time": [key[0]], "home_team": [key[1]], "away_team": [key[2]], "snapshot_ts": [latest],
+                                **{n: pd.Series([v], dtype="float64") for n, v in zip(prices, best)}})
+
+    return plausible.groupBy(*odds.GAME_KEYS).applyInPandasWithState(
+        update, _LINE, "snapshot string, home double, away double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest_line(changes: DataFrame) -> DataFrame:
+    """The line of each game from the changes of ``stream_latest_line``; games whose latest snapshot has no plausible price are left out.
+
+    Of changes within one snapshot the later one has the higher prices.
+    """
+    latest = changes.groupBy(*odds.GAME_KEYS).agg(F.max(F.struct("snapshot_ts", "home_price_american")).alias("_h"), F.max(F.struct("snapshot_ts", "away_price_american")).alias("_a"))
+    return latest.where(F.col("_h.home_price_american").isNotNull()).select(
+        *odds.GAME_KEYS, F.col("_h.snapshot_ts").alias("snapshot_ts"), F.col("_h.home_price_american").alias("home_price_american"),
+        F.col("_a.away_price_american").alias("away_price_american"))
 
 
 _SIGNAL = "game_id long, commence_time timestamp, recommended string, rec_ts timestamp, odds double"
 
 
 def stream_first_signal(signals: DataFrame, delay: str = LATE) -> DataFrame:
-    """Freeze the first recommendation of each game until it has started.
+    """Freeze the first recommendation of each game before it has started.
 
-    ``signals``: game_id, commence_time, recommended, rec_ts, odds. The state of a
-    game is one row and expires when the watermark passes its start.
+    ``signals``: game_id, commence_time, recommended, rec_ts, odds. Recommendations from the start on do not count. The
+    state of a game is its latest known start; it expires when the watermark has passed that, as every later row is
+    then either late or from after the start.
     """
+    order = ["rec_ts", "recommended", "odds"]
+
     def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         # One earliest row per Arrow batch: the group is never gathered whole.
-        earliest = None
+        earliest, known = None, state.get[0] if state.exists else None
+        start = None if known is None else pd.Timestamp(known)
         for batch in batches:
-            top = batch.sort_values(["rec_ts", "recommended", "odds"]).head(1)
-            earliest = top if earliest is None else pd.concat([earliest, top]).sort_values(["rec_ts", "recommended", "odds"]).head(1)
-        if state.exists or earliest is None:
+            top = batch.sort_values(order).head(1)
+            earliest = top if earliest is None else pd.concat([earliest, top]).sort_values(order).head(1)
+            latest = batch["commence_time"].max()
+            start = latest if start is None else max(start, latest)
+        if start is None:
             return
-        start = earliest["commence_time"].iloc[0]
         state.update((start.isoformat(),))
-        expires = int(start.timestamp() * 1000)
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield earliest[["game_id", "commence_time", "recommended", "rec_ts", "odds"]]
+        state.setTimeoutTimestamp(max(int(start.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        if known is None and earliest is not None:
+            yield earliest[["game_id", "commence_time", *order]]
 
-    picks = signals.where(F.col("recommended").isin("home", "away")).withWatermark("rec_ts", delay)
+    picks = signals.where(F.col("recommended").isin("home", "away") & (F.col("rec_ts") < F.col("commence_time"))).withWatermark("rec_ts", delay)
     return picks.groupBy("game_id").applyInPandasWithState(
         first, _SIGNAL, "commence string", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -106,28 +151,26 @@ def stream_daily_counts(events: DataFrame, keys: Sequence[str], ts: str, aggrega
 def stream_ledger_upsert(slates: DataFrame, root: str, checkpoint: str, now: Callable[[], str]):
     """Merge every micro-batch of recommendations into the next ledger version.
 
-    The version number is the batch id, so a retried batch rewrites its own output.
+    A version is one more than the largest stored one, whatever the batch number, so a job that starts anew goes on from the
+    stored ledger. Each version names the job and batch that wrote it; a retried batch that is stored already is left alone.
     """
-    from tidemark.sources.tables import read_ledger, write_ledger
+    from tidemark.sources.tables import ledger_versions, read_ledger, write_ledger
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = read_ledger(spark, root)
-        current = current if batch_id == 0 else _before(spark, root, batch_id)
-        merged = ledger.merge_recommendations(current, batch, now()).drop("action")
-        write_ledger(merged, root, batch_id)
+        writer = f"{checkpoint}#{batch_id}"
+        stored, version = ledger_versions(spark, root), 0
+        if stored is not None:
+            newest = stored.agg(F.max("version").alias("top"), F.count_if(F.col("written_by") == writer).alias("own")).first()
+            if newest["own"]:
+                return
+            version = (-1 if newest["top"] is None else newest["top"]) + 1
+        merged = ledger.merge_recommendations(read_ledger(spark, root), batch, now()).drop("action")
+        write_ledger(merged, root, version, writer)
 
     return slates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _before(spark: SparkSession, root: str, version: int) -> DataFrame:
-    """Newest ledger older than ``version``."""
-    from tidemark.operators.ledger import normalise
-
-    versions = spark.read.option("basePath", root).parquet(root).where(F.col("version") < version)
-    return normalise(versions.where(F.col("version") == versions.agg(F.max("version")).scalar()))
-
-
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Drain what has arrived into a Parquet folder and stop."""
     q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
