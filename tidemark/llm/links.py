@@ -1,10 +1,12 @@
 """Near-duplicate classes from banded signatures, without emitting the pairs of a bucket.
 
-Texts that share a band stand in one bucket. In the first round every member of a bucket is compared with one of them; linked
-texts join one class. Later rounds look only at buckets that still hold several classes: four, sixteen, ... of their members,
-chosen by a hash, are compared with the members of other classes, until a bucket is of one class or each member has been
-compared with every member of another class. So no candidate pair between two classes stays unseen, while a bucket of
-thousands of near copies costs a few comparisons for each of them. Similarities are exact, from the whole texts.
+Texts that share a band stand in one bucket. Every member of a bucket is compared with its leader, the member that shares most
+with others; near ones join the leader's class. What can still be missing are links between members of one leader that
+are not of one class. Let A be the shingles of a text, C those of its leader and R their symmetric difference. The difference
+of two members is the difference of their R, and a member far from the leader has a large R, so near members must share more
+than four ninths of the smaller R. That is searched exactly, by an inverted index over a prefix of R, the shingles that
+the leader lacks first: those are rare, so a bucket of thousands of near copies gives few candidates. Leaders with a
+few members have all open pairs compared. All similarities are exact, from the whole texts.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.hashing import chunks, jaccard, shingles
+from tidemark.llm.hashing import chunks, shingles
 from tidemark.session import stage
 
 #: Similarity of the sets of five-word shingles from which two texts are near duplicates.
 SIMILAR = 0.8
-#: Members that are compared with the rest in round ``r``: this to the power ``r``, on average.
-_FAN = 4
+#: Leaders with so many members at most have their open pairs compared without the index.
+_FEW = 8
 
 
 def text_key(text: Column) -> Column:
@@ -29,27 +31,71 @@ def text_key(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.unhex(F.md5(text)))
 
 
-def _chance(key: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 30)) / float(1 << 30)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``a, b`` of keys whose texts are similar."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (``a, b`` and others) with both texts."""
     own = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     other = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    return pairs.join(own, "b").join(other, "a")
+
+
+def _sets(batch: pa.RecordBatch) -> dict[bytes, np.ndarray]:
+    """Sorted shingles of every text of a batch, by key."""
+    text = dict(zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist())) | dict(
+        zip(batch.column("b").to_pylist(), batch.column("text_b").to_pylist()))
+    keys, sets = list(text), {}
+    for low, high in chunks(list(text.values())):
+        own, first = shingles([text[k] for k in keys[low:high]])
+        sets |= {k: np.unique(own[first[i] : first[i + 1]]) for i, k in enumerate(keys[low:high])}
+    return sets
+
+
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, size_a, size_b, apart``: numbers of shingles of two texts, and of shingles that only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            text = dict(zip(a, batch.column("text_a").to_pylist())) | dict(zip(b, batch.column("text_b").to_pylist()))
-            keys, sets = list(text), {}
-            for low, high in chunks(list(text.values())):
-                own, first = shingles([text[k] for k in keys[low:high]])
-                sets |= {k: np.unique(own[first[i] : first[i + 1]]) for i, k in enumerate(keys[low:high])}
-            close = pa.array([jaccard(sets[x], sets[y]) >= least for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(close)
+            sets, found = _sets(batch), []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                found.append((len(sets[x]), len(sets[y]), len(sets[x]) + len(sets[y]) - 2 * common))
+            numbers = np.array(found, dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *map(pa.array, numbers.T)], ["a", "b", "size_a", "size_b", "apart"])
+
+    return _with_texts(pairs.select("a", "b"), texts).mapInArrow(run, "a binary, b binary, size_a long, size_b long, apart long")
+
+
+def _allowed(sizes: Column, least: float) -> Column:
+    """Largest symmetric difference of two sets of together so many elements whose similarity is ``least``."""
+    return sizes * ((1 - least) / (1 + least)) + 1e-9
+
 
-    return (pairs.join(own, "b").join(other, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"))
+def _close(pairs: DataFrame, least: float) -> DataFrame:
+    return pairs.where(F.col("apart") <= _allowed(F.col("size_a") + F.col("size_b"), least)).select("a", "b")
+
+
+def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``leader, key, class, seeks, size, apart, element, place``: the first shingles by which each member differs from its leader.
+
+    Shingles that the leader lacks come first, then the others, both by hash. A member outside the leader's class ``seeks``
+    partners. ``most`` is the last place that the first common shingle of a near pair can have: two members that share ``o`` of
+    their differences share one among the first ``apart - o + 1`` of each.
+    """
+    schema = "leader binary, key binary, class binary, seeks boolean, size long, apart long, element long, place long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in schema.split(", ")]
+        for batch in batches:
+            sets = _sets(batch)
+            for i, (x, y, own_class, seeks, most) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("a", "b", "class", "seeks", "most")))):
+                new, gone = np.setdiff1d(sets[y], sets[x], assume_unique=True), np.setdiff1d(sets[x], sets[y], assume_unique=True)
+                both = np.concatenate([new, gone])[: most + 1].view(np.int64)
+                n = len(both)
+                same = lambda v, t: pa.array([v] * n, t)
+                yield pa.RecordBatch.from_arrays([
+                    same(x, pa.binary()), same(y, pa.binary()), same(own_class, pa.binary()), same(seeks, pa.bool_()), same(len(sets[y]), pa.int64()),
+                    same(len(new) + len(gone), pa.int64()), pa.array(both), pa.array(np.arange(n))], names)
+
+    return _with_texts(pairs, texts).select("a", "b", "class", "seeks", "most", "text_a", "text_b").mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -80,26 +126,44 @@ def group(signed: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFr
 
     ``signed`` has one row for each different text, ``key, bands``; ``texts`` gives ``key, text`` of at least those keys.
     """
-    members = signed.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("head")).where("n > 1")
-    members = stage(members.join(heads, "bucket").select("bucket", "key", "n", F.col("head.key").alias("head")), "buckets")
-    held = stage(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "candidates")
-    pairs = members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    classes = components(verified(pairs, held, least))
-    reach = 1
-    while True:
-        known = members.join(classes, members["key"] == classes["node"], "left").select(
-            "bucket", "key", "n", F.coalesce("class", "key").alias("class"))
-        known = known.where(F.col("n") * 1.0 > (0.0 if reach == 1 else float(reach)))
-        mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
-        known = stage(known.join(mixed, "bucket"), "open-buckets")
-        if known.isEmpty():
-            return classes
-        before, reach = (0 if reach == 1 else reach), reach * _FAN
-        chance = _chance("key")
-        leads = known.where((chance * F.col("n") < reach) & (chance * F.col("n") >= before)).select(
-            "bucket", F.col("key").alias("lead"), F.col("class").alias("lead_class"))
-        met = known.join(leads, (known["bucket"] == leads["bucket"]) & (known["class"] != leads["lead_class"]))
-        pairs = met.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
-        links = verified(pairs, held, least)
-        classes = components(links.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+    rows = signed.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = stage(rows.join(shared, "bucket"), "buckets")
+    weight = rows.groupBy("key").agg(F.sum("n").alias("weight"))
+    heads = rows.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("head")).select("bucket", F.col("head.key").alias("a"))
+    pairs = stage(rows.join(heads, "bucket").where("key <> a").select("a", F.col("key").alias("b")).distinct(), "leaders")
+    wanted = rows.select("key").distinct()
+    held = stage(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
+    pairs = stage(measured(pairs, held), "measured")
+    classes = components(_close(pairs, least))
+
+    def class_of(key: str, name: str) -> DataFrame:
+        return classes.select(F.col("node").alias(key), F.col("class").alias(name))
+
+    known = pairs.join(class_of("b", "class"), "b", "left").join(class_of("a", "own"), "a", "left").select(
+        "a", "b", "size_a", "size_b", "apart", F.coalesce("class", "b").alias("class"), F.coalesce("own", "a").alias("own"))
+    leaders = known.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != F.col("own")).alias("others")).where("others > 0 AND n > 1")
+    known = stage(known.join(leaders, "a").withColumn("seeks", F.col("class") != F.col("own")), "open")
+    if known.isEmpty():
+        return classes
+
+    few = known.where(F.col("n") <= _FEW).select("a", "b", "class")
+    small = few.join(few.select("a", F.col("b").alias("c"), F.col("class").alias("class_c")), "a").where(
+        "b < c AND class <> class_c").select(F.col("b").alias("a"), F.col("c").alias("b"))
+
+    apart, allowed = F.col("apart"), _allowed(F.col("size_a") + F.col("size_b"), least)
+    # A partner of a seeking member shares at least (apart - allowed) / 2 with it, and apart * least / (1 + least) of its own.
+    most = F.when(F.col("seeks"), (apart + allowed) / 2).otherwise(apart / (1 + least) + 1)
+    first = _differences(known.where(F.col("n") > _FEW).withColumn("most", F.floor(most).cast("long")), held)
+    first = stage(first, "differences")
+    mixed = first.groupBy("leader", "element").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("leader", "element")
+    first = first.join(mixed, ["leader", "element"])
+    other = first.where("seeks").select("leader", "element", *[F.col(c).alias(f"{c}_") for c in ("key", "class", "size", "apart", "place")])
+    overlap = (F.col("apart") + F.col("apart_") - _allowed(F.col("size") + F.col("size_"), least)) / 2
+    met = first.join(other, ["leader", "element"]).where(
+        (F.col("class") != F.col("class_")) & (F.col("place") <= F.col("apart") - overlap) & (F.col("place_") <= F.col("apart_") - overlap))
+    large = met.select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b"))
+    more = stage(_close(measured(small.unionByName(large).distinct(), held), least), "more-links")
+    if more.isEmpty():
+        return classes
+    return components(more.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b"))))
