@@ -5,12 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidemark.session import local_session  # noqa: E402
+from tidemark.session import local_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cores=8, shuffle_partitions=4, app="tidemark-tests")
+    session = local_session(cores=8, shuffle_partitions=4, app="tidemark-tests")
+    yield session
+    release(session)
 
 
 @pytest.fixture

@@ -176,3 +176,12 @@ TEAM_CODES = {
 
 # --- append keys -----------------------------------------------------------
 PITCH_DEDUPE_KEYS = ("game_pk", "batter", "pitcher", "balls", "strikes", "description")
+
+# Columns of a priced slate, in order.
+SLATE_COLUMNS = (
+    "game_id", "game_date", "commence_time", "home_id", "away_id", "home_name", "away_name", "home_score", "away_score",
+    "home_runs_pred", "away_runs_pred", "p_home", "snapshot_ts", "n_books", "home_price_american", "away_price_american",
+    "home_book", "away_book", "home_decimal", "away_decimal", "home_implied", "away_implied", "home_fair_p", "away_fair_p",
+    "vig", "edge_home", "edge_away", "ev_home", "ev_away", "kelly_home", "kelly_away", "recommended", "recommended_ev",
+    "recommended_kelly", "recommended_kelly_pre_daily", "risk_ref_kelly", "risk_units", "home_lineup_source", "away_lineup_source",
+)

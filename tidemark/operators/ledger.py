@@ -123,7 +123,8 @@ def final_scores(canonical: DataFrame, fallback: DataFrame | None = None, year:
     cols = ["game_id", F.col("home_score").cast("double").alias("home_score"), F.col("away_score").cast("double").alias("away_score")]
     scores = canonical.select(*cols, year)
     if fallback is not None:
-        scores = scores.unionByName(rows.without(fallback.select(*cols, year), canonical, [year]))
+        seasons = F.broadcast(canonical.select(year).distinct())  # one row per season
+        scores = scores.unionByName(fallback.select(*cols, year).join(seasons, year, "left_anti"))
     return rows.keep_last(scores.dropna(subset=["home_score", "away_score"]), ["game_id"], [year, "home_score", "away_score"]).drop(year)
 
 

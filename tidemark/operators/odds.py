@@ -102,7 +102,8 @@ def with_game_date(lines: DataFrame) -> DataFrame:
 
 
 def join_slate(games: DataFrame, lines: DataFrame, *, require_odds: bool = True) -> DataFrame:
-    """Games with their line on (date, both teams); the later start wins for a repeated pair.
+    """Games with their line on (date, both teams); the later start wins for a repeated pair. Of a repeated game the
+    earliest date counts, then the smallest hash of the row.
 
     With ``require_odds`` off, unmatched games stay with NULL prices.
     """
@@ -113,5 +114,6 @@ def join_slate(games: DataFrame, lines: DataFrame, *, require_odds: bool = True)
     odds = rows.keep_last(dated, keys, ["commence_time", *[c for c in ("snapshot_ts", "home_price_american") if c in keep]])
     g = games.withColumns({"game_date": F.to_date("game_date"), "home_id": F.col("home_id").cast("long"),
                            "away_id": F.col("away_id").cast("long")})
-    g = g.drop(*[c for c in keep if c in g.columns]).dropDuplicates(["game_id"])
+    g = g.drop(*[c for c in keep if c in g.columns])
+    g = rows.keep_first(g.withColumn("_tie", F.xxhash64(*g.columns)), ["game_id"], ["game_date", "_tie"]).drop("_tie")
     return g.join(odds, keys, "inner" if require_odds else "left")

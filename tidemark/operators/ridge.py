@@ -96,8 +96,10 @@ def train_runs_model(games: DataFrame, features: Sequence[str] = K.FEATURES_DEFA
 
 
 def score(stacked: DataFrame, model: DataFrame, out: str = "runs_pred") -> DataFrame:
-    """Linear score as one Column; the parameter table has one row per feature."""
+    """Linear score as one Column; the parameter table has one row per feature, of one feature set."""
     params = sorted(model.collect(), key=lambda r: r["position"])
+    if len({r["feature_set"] for r in params}) != 1:
+        raise ValueError("score takes the parameters of one feature set")
     total = F.lit(params[0]["intercept"])
     for r in params:
         x = F.coalesce(F.col(r["feature"]).cast("double"), F.lit(r["impute"]).cast("double"))

@@ -41,8 +41,8 @@ def _pick(options: list[str], position: Column) -> Column:
     return F.get(F.array(*[F.lit(o) for o in options]), position.cast("int"))
 
 
-def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One game per order, with its final score and both teams."""
+def games(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One game per order, with its final score and both teams; ``keep`` names columns of the order that stay."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     home = F.col("c_nationkey")
     away = (home + 1 + F.col("o_custkey") % 24) % 25
@@ -63,6 +63,7 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(price) % 10).cast("long").alias("home_score"),
         (F.floor(price / 10) % 10).cast("long").alias("away_score"),
         (start + F.make_interval(hours=(18 + F.col("o_orderkey") % 12).cast("int"))).alias("commence_time"),
+        *keep,
     )
 
 
@@ -118,33 +119,48 @@ def lineups_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineups_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per game with line-up, position and pitchers-used arrays (at most 10 and 12 long)."""
+def _sides(arms: DataFrame) -> DataFrame:
+    """Pitchers of each (game, side) in order of first appearance, without their teams."""
+    side = F.when(F.col("l_linestatus") == "O", "away").otherwise("home")
+    first = arms.groupBy(F.col("l_orderkey").alias("game_id"), side.alias("side"), (F.col("l_suppkey") % 12).alias("arm")).agg(
+        F.min("l_linenumber").alias("at"))
+    return first.groupBy("game_id", "side").agg(F.array_sort(F.collect_list(F.struct("at", "arm"))).alias("arms"))
+
+
+def _named(sides: DataFrame, games: DataFrame) -> DataFrame:
+    """Fold both sides into one row and number the players by team; the games are joined once."""
     from tidemark.operators.reshape import fold_sides
 
-    cards = lineups_long(spark, sf_dir).groupBy("game_id", "side").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "player_id", "position"))).alias("c")
-    ).select(
-        "game_id", "side", F.col("c.player_id").alias("lineup"), F.col("c.position").alias("lineup_positions"),
-    )
-    used = pitchers_used(spark, sf_dir)
-    sides = cards.join(used, ["game_id", "side"], "full")
-    g = games(spark, sf_dir).select("game_id", F.col("home_id").alias("home_team_id"), F.col("away_id").alias("away_team_id"))
-    return fold_sides(sides, "game_id", ["lineup", "lineup_positions", "pitchers_used", "starter_id"]).join(g, "game_id")
+    wide = fold_sides(sides, "game_id", [c for c in ("cards", "arms") if c in sides.columns]).join(games, "game_id")
+    out = ["game_id", "home_team_id", "away_team_id"]
+    for side in ("home", "away"):
+        team = F.col(f"{side}_team_id")
+        if "cards" in sides.columns:
+            cards = F.col(f"{side}_cards")
+            out += [F.transform(cards, lambda c: team * 100 + c["pk"] % 15).alias(f"{side}_lineup"),
+                    F.transform(cards, lambda c: _pick(POSITIONS, c["pk"] % 9)).alias(f"{side}_lineup_positions")]
+        used = F.transform(F.col(f"{side}_arms"), lambda a: team * 100 + 50 + a["arm"])
+        out += [used.alias(f"{side}_pitchers_used"), F.get(used, F.lit(0)).alias(f"{side}_starter_id")]
+    return wide.select(*out)
 
 
-def pitchers_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pitchers per (game, side) in order of first appearance; the first one started."""
-    g = games(spark, sf_dir).select("game_id", "home_id", "away_id")
+def _teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return games(spark, sf_dir).select("game_id", F.col("home_id").alias("home_team_id"), F.col("away_id").alias("away_team_id"))
+
+
+def staffs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per game with both teams, starters and pitchers-used arrays (at most 12 long)."""
+    return _named(_sides(table(spark, sf_dir, "lineitem")), _teams(spark, sf_dir))
+
+
+def lineups_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per game with line-up, position and pitchers-used arrays (at most 10 and 12 long)."""
     l = table(spark, sf_dir, "lineitem")
-    side = F.when(F.col("l_linestatus") == "O", "away").otherwise("home")
-    team = F.when(F.col("side") == "home", F.col("home_id")).otherwise(F.col("away_id"))
-    first = l.groupBy(
-        F.col("l_orderkey").alias("game_id"), side.alias("side"), (F.col("l_suppkey") % 12).alias("arm")
-    ).agg(F.min("l_linenumber").alias("at"))
-    return first.join(g, "game_id").withColumn("pitcher", team * 100 + 50 + F.col("arm")).groupBy("game_id", "side").agg(
-        F.array_sort(F.collect_list(F.struct("at", "pitcher"))).alias("p")
-    ).select("game_id", "side", F.col("p.pitcher").alias("pitchers_used"), F.get("p.pitcher", F.lit(0)).alias("starter_id"))
+    slot = F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", 3).otherwise(0)
+    cards = l.groupBy(
+        F.col("l_orderkey").alias("game_id"), F.when(F.col("l_linestatus") == "O", "home").otherwise("away").alias("side"), slot.alias("slot"),
+    ).agg(F.min("l_partkey").alias("pk")).groupBy("game_id", "side").agg(F.array_sort(F.collect_list(F.struct("slot", "pk"))).alias("cards"))
+    return _named(cards.join(_sides(l), ["game_id", "side"], "full"), _teams(spark, sf_dir))
 
 
 def starters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,10 +88,10 @@ def attach_team_ids(spark, d):
 
 def slate_input(spark, d):
     """Every game with a two-sided price and a model probability."""
-    g, o = B.games(spark, d), B.table(spark, d, "orders").select(F.col("o_orderkey").alias("game_id"), "o_custkey", "o_totalprice")
+    g = B.games(spark, d, keep=("o_custkey", "o_totalprice"))
     raw = (F.floor("o_totalprice") % 341 - 170).cast("double")
     home = F.when(raw >= 0, raw + 100).otherwise(raw - 100)
-    return g.join(o, "game_id").select(
+    return g.select(
         "game_id", "game_date", "commence_time", "season_year", "home_id", "away_id", "home_name", "away_name", "home_score", "away_score",
         home.alias("home_price_american"), F.when(raw >= 0, -raw - 118).otherwise(-raw + 82).alias("away_price_american"),
         (F.lit(0.30) + (F.col("o_custkey") % 41) / 100.0).alias("p_home"),

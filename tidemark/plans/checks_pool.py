@@ -18,7 +18,7 @@ _NEEDS = ("d_pitches", "d_arms")
     """SELECT game_id, pitcher_id, game_date, team_id, side, is_starter, hand AS p_throws, pitches, CAST(outs AS BIGINT) AS outs, round(ip, 9) + 0.0 AS "IP" FROM app""",
     *_NEEDS, extra={k: v for k, v in FS.pool_ctes(REST, TOP).items() if k in ("hands", "app")}))
 def appearances(spark, d):
-    df = bullpen.appearances(B.pitches(spark, d), B.lineups_wide(spark, d))
+    df = bullpen.appearances(B.pitches(spark, d), B.staffs_wide(spark, d))
     return df.select("game_id", "pitcher_id", "game_date", "team_id", "side", "is_starter", "p_throws",
                      big("pitches").alias("pitches"), big("outs").alias("outs"), rnd("IP").alias("IP"))
 
@@ -26,7 +26,7 @@ def appearances(spark, d):
 @query("trailing_pool_topn", B.with_ctes(
     "SELECT team_id, game_date, pitcher_id, round(ip, 9) + 0.0 AS ip FROM pool", *_NEEDS, extra=FS.pool_ctes(REST, TOP)))
 def trailing_pool_topn(spark, d):
-    worked = stage(bullpen.appearances(B.pitches(spark, d), B.lineups_wide(spark, d)), "appearances")
+    worked = stage(bullpen.appearances(B.pitches(spark, d), B.staffs_wide(spark, d)), "appearances")
     df = bullpen.top_pool(worked, bullpen.pool_dates(worked), top=TOP, rest=REST)
     return df.select("team_id", "game_date", "pitcher_id", rnd("ip").alias("ip"))
 
@@ -38,6 +38,6 @@ _POOL = [f"{h}_{f}{s}" for h in "RL" for s in ("", "_30d") for f in K.RELIEVER_F
     f"SELECT team_id, game_date, pool_size, R_pool_size, L_pool_size, {S.rounded(_POOL)} FROM pens", *_NEEDS, extra=FS.pool_ctes(REST, TOP)))
 def pool_composites(spark, d):
     pitches = stage(B.pitches(spark, d), "pitches")
-    df = bullpen.bullpen_features(pitches, B.lineups_wide(spark, d), top=TOP, rest=REST)
+    df = bullpen.bullpen_features(pitches, B.staffs_wide(spark, d), top=TOP, rest=REST)
     return df.select("team_id", "game_date", *[big(c).alias(c) for c in ("pool_size", "R_pool_size", "L_pool_size")],
                      *[rnd(c).alias(c) for c in _POOL])

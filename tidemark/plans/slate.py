@@ -10,15 +10,6 @@ from tidemark import constants as K
 from tidemark.functions.rates import pythag
 from tidemark.operators import bets, evaluate, odds, reshape, ridge
 
-SLATE_COLUMNS = (
-    "game_id", "game_date", "commence_time", "home_id", "away_id", "home_name", "away_name", "home_score", "away_score",
-    "home_runs_pred", "away_runs_pred", "p_home", "snapshot_ts", "n_books", "home_price_american", "away_price_american",
-    "home_book", "away_book", "home_decimal", "away_decimal", "home_implied", "away_implied", "home_fair_p", "away_fair_p",
-    "vig", "edge_home", "edge_away", "ev_home", "ev_away", "kelly_home", "kelly_away", "recommended", "recommended_ev",
-    "recommended_kelly", "recommended_kelly_pre_daily", "risk_ref_kelly", "risk_units", "home_lineup_source", "away_lineup_source",
-)
-
-
 def predict_games(games: DataFrame, model: DataFrame, *, home_bonus: float = K.HOME_RUNS_BONUS,
                   exponent: float = K.PYTHAG_EXPONENT) -> DataFrame:
     """Add projected runs and the home win probability."""
@@ -27,11 +18,18 @@ def predict_games(games: DataFrame, model: DataFrame, *, home_bonus: float = K.H
 
 
 def price_slate(predicted: DataFrame, lines: DataFrame, *, require_odds: bool = True, **betting) -> DataFrame:
-    """Join the lines, annotate both sides and keep the slate columns present."""
+    """Join the lines, annotate both sides and keep the slate columns present.
+
+    With ``require_odds`` off, games without both prices stay, their betting columns NULL.
+    """
     joined = odds.join_slate(predicted, lines, require_odds=require_odds)
-    priced = joined.where(F.col("home_price_american").isNotNull() & F.col("away_price_american").isNotNull())
-    annotated = bets.annotate_bets(priced, **betting)
-    return annotated.select(*[c for c in SLATE_COLUMNS if c in annotated.columns])
+    both = F.col("home_price_american").isNotNull() & F.col("away_price_american").isNotNull()
+    annotated = bets.annotate_bets(joined.where(both), **betting)
+    slate = annotated.select(*[c for c in K.SLATE_COLUMNS if c in annotated.columns])
+    if require_odds:
+        return slate
+    unpriced = joined.where(~both)
+    return slate.unionByName(unpriced.select(*[c for c in slate.columns if c in unpriced.columns]), allowMissingColumns=True)
 
 
 def predict_slate(games: DataFrame, model: DataFrame, lines: DataFrame, *, home_bonus: float = K.HOME_RUNS_BONUS,
