@@ -25,15 +25,19 @@ from tidemark.operators.rows import top_n
 class Settings:
     """``directions`` projections, of which ``share`` must collide; a window reaches ``width`` times the radius to either side."""
 
-    directions: int = 96
-    share: float = 0.78
+    directions: int = 64
+    share: float = 0.79
     width: float = 1.35
     growth: float = 1.1
-    first_radius: float = 0.5  # of the largest norm
+    start: float = 0.9  # first radius, as a share of the usual distance of the k-th neighbour
     block: int = 4096
     query_block: int = 2048
     seed: int = 5
 
+    def __post_init__(self):
+        if not 0 < self.directions < 256:  # collisions are counted in bytes
+            raise ValueError("between 1 and 255 directions")
+
 
 class Block:
     """Vectors of one block, in double precision, with the sorted arrays of their projections."""
@@ -44,55 +48,68 @@ class Block:
         lack = np.sqrt(np.maximum(largest**2 - (vectors**2).sum(axis=1), 0))
         self._directions = np.random.default_rng(settings.seed).normal(size=(d + 1, settings.directions))
         places = np.column_stack([vectors, lack]) @ self._directions
-        self._order = np.argsort(places, axis=0, kind="stable").T.copy()
-        self._sorted = np.take_along_axis(places.T, self._order, axis=1)
+        order = np.argsort(places, axis=0, kind="stable").T
+        self._sorted = np.take_along_axis(places.T, order, axis=1)
+        # Place of each vector in each sorted array; unsigned, so that one comparison tells whether it lies in a window.
+        self._place = np.empty(order.shape, dtype=np.uint16 if n <= 1 << 16 else np.uint32)
+        np.put_along_axis(self._place, order, np.broadcast_to(np.arange(n, dtype=self._place.dtype), order.shape), axis=1)
         self._enough = int(np.ceil(settings.share * settings.directions))
-        self._base = (np.arange(settings.directions) * n)[None, :]
+
+    def _first_radius(self, queries: np.ndarray, norm: np.ndarray, k: int) -> float:
+        """Where widening starts: somewhat below the usual distance of the k-th neighbour, from a few queries; it saves empty rounds."""
+        some = np.linspace(0, len(queries) - 1, min(len(queries), 16)).astype(int)
+        scores = self.vectors @ queries[some].T / norm[some]
+        rank = min(k, len(self.vectors)) - 1
+        kth = -np.partition(-scores, rank, axis=0)[rank]
+        return self.settings.start * float(np.median(np.sqrt(np.maximum(2 * self.largest**2 - 2 * self.largest * kth, 0)))) + 1e-9 * self.largest
 
     def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query rows and exact inner products of everything verified; ``own`` is the query's row in the block, or -1."""
+        """For each query the best verified rows, ``k`` besides its own and all ties, with their inner products; ``own`` is the query's row in the block, or -1."""
         n, m = len(self.vectors), self.settings.directions
         norm = np.sqrt((queries**2).sum(axis=1))
-        scaled = queries * (self.largest / norm)[:, None]
-        centre = scaled @ self._directions[:-1]
-        counts = np.zeros((len(queries), n), dtype=np.int16)
+        centre = (queries * (self.largest / norm)[:, None]) @ self._directions[:-1]
         rows: list[list[np.ndarray]] = [[] for _ in queries]
         scores: list[list[np.ndarray]] = [[] for _ in queries]
         done = np.zeros((len(queries), n), dtype=bool)
-        low = np.empty((len(queries), m), dtype=np.int64)
-        for j in range(m):
-            low[:, j] = np.searchsorted(self._sorted[j], centre[:, j])
-        high = low.copy()
-        flat = self._order.ravel()
+        shifted, inside = np.empty_like(self._place), np.empty(self._place.shape, dtype=bool)
         active = np.arange(len(queries))
-        radius = self.settings.first_radius * self.largest
+        radius = self._first_radius(queries, norm, k)
         while len(active):
             reach = self.settings.width * radius
-            new_low, new_high = np.empty((len(active), m), np.int64), np.empty((len(active), m), np.int64)
+            low, high = np.empty((len(active), m), np.int64), np.empty((len(active), m), np.int64)
             for j in range(m):
-                new_low[:, j] = np.searchsorted(self._sorted[j], centre[active, j] - reach, side="left")
-                new_high[:, j] = np.searchsorted(self._sorted[j], centre[active, j] + reach, side="right")
-            start = np.concatenate([new_low + self._base, high[active] + self._base], axis=1)
-            size = np.concatenate([low[active] - new_low, new_high - high[active]], axis=1)
-            low[active], high[active] = new_low, new_high
-            wide = ((new_low == 0) & (new_high == n)).all(axis=1)
+                low[:, j] = np.searchsorted(self._sorted[j], centre[active, j] - reach, side="left")
+                high[:, j] = np.searchsorted(self._sorted[j], centre[active, j] + reach, side="right")
+            wide = (high - low == n).all(axis=1)
+            size = (high - low).astype(self._place.dtype) if n < np.iinfo(self._place.dtype).max else high - low
             left = []
             for i, q in enumerate(active.tolist()):
-                ends = np.cumsum(size[i])
-                at = np.repeat(start[i] - (ends - size[i]), size[i]) + np.arange(ends[-1])
-                counts[q] += np.bincount(flat[at], minlength=n).astype(np.int16)
-                fresh = np.flatnonzero((counts[q] >= self._enough) & ~done[q])
+                if wide[i]:
+                    fresh = np.flatnonzero(~done[q])
+                else:
+                    np.subtract(self._place, low[i][:, None].astype(self._place.dtype), out=shifted)
+                    np.less(shifted, size[i][:, None], out=inside)
+                    fresh = np.flatnonzero((np.einsum("ij->j", inside.view(np.uint8)) >= self._enough) & ~done[q])
                 if len(fresh):
                     done[q, fresh] = True
                     rows[q].append(fresh)
-                    scores[q].append((self.vectors[fresh] * queries[q]).sum(axis=1))
+                    scores[q].append(self.vectors[fresh] @ queries[q])
                 if wide[i] or self._settled(scores[q], rows[q], own[q], k, norm[q], radius):
                     continue
                 left.append(q)
             active = np.array(left, dtype=np.int64)
             radius *= self.settings.growth
-        empty = np.zeros(0, np.int64), np.zeros(0)
-        return [(np.concatenate(r), np.concatenate(s)) if r else empty for r, s in zip(rows, scores)]
+        return [self._best(rows[q], scores[q], queries[q], k + 1) for q in range(len(queries))]
+
+    def _best(self, rows: list[np.ndarray], scores: list[np.ndarray], query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that can be among the ``k`` best, all ties included, scored in one fixed order of summation, so equal vectors have equal scores."""
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0)
+        found, score = np.concatenate(rows), np.concatenate(scores)
+        if len(found) > k:
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            found = found[score >= least - 1e-9 * max(1.0, abs(least))]
+        return found, (self.vectors[found] * query).sum(axis=1)
 
     def _settled(self, scores: list[np.ndarray], rows: list[np.ndarray], own: int, k: int, norm: float, radius: float) -> bool:
         found = sum(map(len, scores))
