@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as K
 from tidemark.operators import calibrate, evaluate, reshape, ridge, scan
 from tidemark.plans import bindings as B, slate as SL, sqlparts as S
-from tidemark.plans.registry import big, query, rnd
+from tidemark.plans.registry import big, epoch, query, rnd
 from tidemark.session import stage
 
 
@@ -176,33 +176,110 @@ def featured_games(spark, d):
     return g.withColumns(feats)
 
 
-@query("predict_slate")
-def predict_slate(spark, d):
+# Two features, so that SQL can restate a fit; a slate is scored with a parameter table that is given.
+PAIR = ("off_HR_pct", "opp_sp_SIERA")
+_GIVEN = [("given", PAIR[0], 0, 0.03, 0.03, 0.01, 0.25, 4.5, 0, 4.5, 3.0), ("given", PAIR[1], 1, 3.7, 3.7, 0.5, 0.6, 4.5, 0, 4.5, 3.0)]
+_STACKED = """
+    SELECT game_id, season_year, 'home' AS side, home_score AS y, 0.02::DOUBLE + (home_id % 7) / 300.0::DOUBLE AS x1, 3.2::DOUBLE + (home_score % 5) / 4.0::DOUBLE AS x2 FROM d_games
+    UNION ALL SELECT game_id, season_year, 'away', away_score, 0.02::DOUBLE + (away_id % 7) / 300.0::DOUBLE, 3.2::DOUBLE + (away_score % 5) / 4.0::DOUBLE FROM d_games"""
+_FITS = """
+    SELECT *, ((n + 1) * n * b1 - n * r * n * b2) / ((n + 1) * (n + 1) - n * r * n * r) AS w1, ((n + 1) * n * b2 - n * r * n * b1) / ((n + 1) * (n + 1) - n * r * n * r) AS w2
+    FROM (SELECT season_year, count(*) AS n, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, avg(x1) AS u1, avg(x2) AS u2, corr(x1, x2) AS r,
+            covar_pop(x1, y) / stddev_pop(x1) AS b1, covar_pop(x2, y) / stddev_pop(x2) AS b2, avg(y) AS yb FROM stacked GROUP BY 1)"""
+
+
+def _win(h: str, a: str) -> str:
+    return f"pow(greatest({h}, 1e-9), {K.PYTHAG_EXPONENT}) / (pow(greatest({h}, 1e-9), {K.PYTHAG_EXPONENT}) + pow(greatest({a}, 1e-9), {K.PYTHAG_EXPONENT}))"
+
+
+def _slate_ctes() -> dict[str, str]:
+    from tidemark.plans.checks_market import bets_sql
+
+    parts = bets_sql("game_date")
+    return {
+        "stacked": _STACKED,
+        "runs": f"""SELECT game_id, max(p) FILTER (WHERE side = 'home') + {K.HOME_RUNS_BONUS} AS hr, max(p) FILTER (WHERE side = 'away') AS ar
+          FROM (SELECT *, 4.5 + (x1 - 0.03) / 0.01 * 0.25 + (x2 - 3.7) / 0.5 * 0.6 AS p FROM stacked) GROUP BY 1""",
+        "lines": f"""SELECT *, row_number() OVER (PARTITION BY ny, home_id, away_id ORDER BY commence_time DESC, hp DESC) AS rn
+          FROM (SELECT *, CAST(timezone('America/New_York', timezone('UTC', commence_time)) AS DATE) AS ny FROM ({parts['s0']}))""",
+        **parts,
+        "s0": f"""SELECT g.game_id, g.game_date, l.commence_time, g.home_name, g.away_name, hr, ar, hp, ap, {_win('hr', 'ar')} AS p_home
+          FROM d_games g JOIN runs USING (game_id) JOIN lines l ON rn = 1 AND ny = g.game_date AND l.home_id = g.home_id AND l.away_id = g.away_id""",
+    }
+
+
+def priced_slate(spark, d):
+    """All games, scored with the given parameters, with the line of their New York date and teams, and the bets on them."""
     from tidemark.plans.checks_market import slate_input
+    from tidemark.schemas import MODEL
 
-    games = stage(featured_games(spark, d), "games")
-    model = ridge.train_runs_model(games.where("season_year < 2000"), K.FEATURES_BASELINE)
+    model = spark.createDataFrame(_GIVEN, MODEL)
     lines = slate_input(spark, d).select("commence_time", "snapshot_ts", "home_id", "away_id", "home_price_american", "away_price_american", "home_book", "away_book")
-    later = games.where("season_year >= 2000").drop("commence_time")
-    return SL.predict_slate(later, model, lines, slate_keys=["game_date"])
+    return SL.predict_slate(stage(featured_games(spark, d).drop("commence_time"), "games"), model, stage(lines, "lines"), slate_keys=["game_date"])
 
 
-@query("slate_report")
-def slate_report(spark, d):
-    chosen, _ = SL.slate_report(stage(predict_slate(spark, d), "slate"))
-    return chosen
+_PRICED = {"hr": "home_runs_pred", "ar": "away_runs_pred", "p_home": "p_home", "hp": "home_price_american", "ap": "away_price_american", "hd": "home_decimal",
+           "hf": "home_fair_p", "vig": "vig", "edge_home": "edge_home", "edge_away": "edge_away", "ev_home": "ev_home", "ev_away": "ev_away",
+           "kelly_home": "kelly_home", "kelly_away": "kelly_away", "rev": "recommended_ev", "rk": "recommended_kelly",
+           "pre": "recommended_kelly_pre_daily", "ref": "risk_ref_kelly", "units": "risk_units"}
 
 
-@query("ablation")
+@query("predict_slate", B.with_ctes(
+    "SELECT game_id, CAST(epoch(commence_time) AS BIGINT) AS start_s, rec AS recommended, " + ", ".join(
+        f"round(CAST({k} AS DOUBLE), 8) + 0.0 AS {n}" for k, n in _PRICED.items()) + " FROM annotated", "d_games", extra=_slate_ctes()))
+def predict_slate(spark, d):
+    return priced_slate(spark, d).select("game_id", epoch("commence_time").alias("start_s"), "recommended", *[rnd(n, 8).alias(n) for n in _PRICED.values()])
+
+
+@query("slate_report", B.with_ctes(
+    """SELECT 'bets' AS report, row_number() OVER (ORDER BY rev DESC, game_id) AS place, game_id, away_name || ' @ ' || home_name AS game, upper(rec) AS verdict,
+      round(CASE rec WHEN 'home' THEN p_home ELSE 1 - p_home END, 8) + 0.0 AS p FROM annotated WHERE rec <> ''
+    UNION ALL SELECT 'slate', row_number() OVER (ORDER BY commence_time, game_id), game_id, away_name || ' @ ' || home_name,
+      CASE WHEN rec <> '' THEN 'bet ' || upper(rec) ELSE 'no bet' END, round(p_home, 8) + 0.0 FROM annotated""", "d_games", extra=_slate_ctes()))
+def slate_report(spark, d):
+    """Both tables of the report, each row with its place in the table's order."""
+    from tidemark.operators import scan
+
+    chosen, full = SL.slate_report(stage(priced_slate(spark, d), "slate"))
+
+    def placed(df, order):
+        one = df.withColumn("one", F.lit(1))
+        return scan.running(scan.with_ranges(one, order), {"place": ("sum", "one")}, order)
+
+    bets = placed(chosen.withColumn("first", -F.col("ev")), ["first", "game_id"]).select(
+        F.lit("bets").alias("report"), big("place").alias("place"), "game_id", "game", F.col("side").alias("verdict"), rnd("model_p", 8).alias("p"))
+    slate = placed(full, ["commence_time", "game_id"]).select(
+        F.lit("slate").alias("report"), big("place").alias("place"), "game_id", "game", "verdict", rnd("p_home", 8).alias("p"))
+    return bets.unionByName(slate)
+
+
+@query("ablation", B.with_ctes(
+    """SELECT CAST(season_year AS VARCHAR) AS split, 'pair' AS feature_set, CAST(2 AS BIGINT) AS n_feat, CAST(any_value(fit_n) AS BIGINT) AS train_n, count(*) AS n,
+      round(avg(abs(h - hs)) / 2 + avg(abs(a - aws)) / 2, 6) + 0.0 AS mae, round(avg(((p > 0.5) = (hs > aws))::INT), 6) + 0.0 AS accuracy,
+      round(avg(-ln(CASE WHEN hs > aws THEN p ELSE 1 - p END)), 6) + 0.0 AS log_loss, round(avg(pow(p - (hs > aws)::INT, 2)), 6) + 0.0 AS brier,
+      round(avg(p), 6) + 0.0 AS mean_p_home, round(avg((hs > aws)::INT), 6) + 0.0 AS home_win_rate
+    FROM scored GROUP BY season_year""", "d_games", extra={
+        "stacked": _STACKED, "fits": _FITS, "last": "SELECT max(season_year) AS top FROM d_games",
+        "sides": f"""SELECT f.season_year, f.n AS fit_n, game_id, side, y, yb + (x1 - u1) / s1 * w1 + (x2 - u2) / s2 * w2 + CASE WHEN side = 'home' THEN {K.HOME_RUNS_BONUS} ELSE 0 END AS pred
+          FROM stacked s JOIN last ON s.season_year = top JOIN fits f ON f.season_year < top""",
+        "folded": """SELECT season_year, fit_n, game_id, max(y) FILTER (WHERE side = 'home') AS hs, max(y) FILTER (WHERE side = 'away') AS aws,
+          max(pred) FILTER (WHERE side = 'home') AS h, max(pred) FILTER (WHERE side = 'away') AS a FROM sides GROUP BY 1, 2, 3""",
+        "scored": f"SELECT *, {_win('h', 'a')} AS p FROM folded"}))
 def ablation(spark, d):
+    """One model for each season before the last, all scored on the last."""
     games = stage(featured_games(spark, d), "games")
-    train = {"one year": games.where("season_year = 1999"), "two years": games.where("season_year IN (1998, 1999)")}
-    small = tuple(f for f in K.FEATURES_BASELINE if f.startswith("opp_") or f == "is_home")
-    out = SL.ablation(train, games.where("season_year = 2000"), {"baseline": K.FEATURES_BASELINE, "pitching": small})
+    seasons = sorted(r[0] for r in games.select("season_year").distinct().collect())
+    train = {str(y): games.where(F.col("season_year") == y) for y in seasons[:-1]}
+    out = SL.ablation(train, games.where(F.col("season_year") == seasons[-1]), {"pair": PAIR})
     return out.select("split", "feature_set", big("n_feat").alias("n_feat"), big("train_n").alias("train_n"), "n", *[rnd(c, 6).alias(c) for c in ("mae", "accuracy", "log_loss", "brier", "mean_p_home", "home_win_rate")])
 
 
-@query("coefficient_table")
+@query("coefficient_table", f"""WITH {_DESIGN}
+    SELECT feature, round(coef, 6) + 0.0 AS coef_std, row_number() OVER (ORDER BY abs(coef) DESC, feature) AS place FROM (
+      SELECT 'x1' AS feature, w1 AS coef FROM w UNION ALL SELECT 'x2', w2 FROM w)""")
 def coefficient_table(spark, d):
-    model = ridge.train_runs_model(featured_games(spark, d), K.FEATURES_BASELINE)
-    return ridge.coefficient_table(model)
+    table = ridge.coefficient_table(ridge.fit_ridge(_design(spark, d), ["x1", "x2"]))
+    ordered = table.select("feature_set", F.struct(F.abs("coef_std").alias("size"), "feature", "coef_std").alias("row"))
+    # One row per feature of a model, so the list is short; it keeps the order of the table.
+    listed = ordered.groupBy("feature_set").agg(F.reverse(F.array_sort(F.collect_list("row"))).alias("rows"))
+    return listed.select(F.posexplode("rows").alias("at", "row")).select("row.feature", rnd("row.coef_std", 6).alias("coef_std"), big(F.col("at") + 1).alias("place"))
