@@ -97,7 +97,9 @@ def piece_cache(path: str) -> PieceCache:
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
         def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            found = []
+            for i in range(0, len(pieces), 10_000):  # what the library returns is large beside the ids
+                found += [e.ids for e in tokenizer.encode_batch_fast(pieces[i : i + 10_000], add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64)
 
         _caches[path] = PieceCache(encode)
