@@ -8,7 +8,7 @@ from tidemark import constants as K
 from tidemark.operators import defense, lineups, reshape, rows
 from tidemark.plans import bindings as B, features, featuresql as FS, sqlparts as S
 from tidemark.plans.registry import big, epoch, query, rnd
-from tidemark.schemas import BOXSCORE_DOC, ODDS_DOC, OUTCOMES_DOC, parse
+from tidemark.schemas import BOXSCORE_DOC, EVENTS, OAA, ODDS_DOC, OUTCOMES_DOC, PARK_FACTORS, align, parse
 from tidemark.session import scratch_path, stage
 from tidemark.sources import documents, tables
 
@@ -230,3 +230,47 @@ def player_name_upsert(spark, d):
     seen = c.join(B.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select(
         F.col("c_custkey").alias("player_id"), F.concat(F.lit("seen "), "c_mktsegment").alias("name"))
     return documents.upsert_player_names(known, seen)
+
+
+# --- tables written to the shared folder and read back ---------------------------------------
+
+@query("event_seasons", B.with_ctes(
+    "SELECT game_year, p_throws, count(*) AS n, count(bb_type) AS contacts, round(sum(launch_speed), 3) + 0.0 AS speed FROM d_pitches GROUP BY 1, 2", "d_pitches"))
+def event_seasons(spark, d):
+    path = scratch_path(spark, "event-log")
+    pitches = stage(B.pitches(spark, d), "pitches")
+    tables.write_partitions(align(pitches, EVENTS), path, ["game_year"])
+    years = [r[0] for r in pitches.select("game_year").distinct().collect()]
+    return tables.read_events(spark, path, years).groupBy("game_year", "p_throws").agg(
+        F.count(F.lit(1)).alias("n"), F.count("bb_type").alias("contacts"), rnd(F.sum("launch_speed"), 3).alias("speed"))
+
+
+@query("feature_table_roundtrip", B.with_ctes(
+    "SELECT game_id, season_year, home_id, home_score, CAST(epoch(commence_time) AS BIGINT) AS start_s FROM d_games", "d_games"))
+def feature_table_roundtrip(spark, d):
+    path = scratch_path(spark, "feature-table")
+    games = B.games(spark, d)
+    for _ in range(2):  # writing again replaces the seasons, it does not add to them
+        tables.write_feature_table(games, path)
+    return spark.read.parquet(path).select("game_id", "season_year", "home_id", "home_score", epoch("commence_time").alias("start_s"))
+
+
+@query("reference_tables", B.with_ctes(
+    """SELECT 'fielding' AS tab, player_id AS id, position_abbrev AS part, outs_above_average AS value FROM d_oaa
+    UNION ALL SELECT 'park', main_team_id, bat_side, CAST(index_hr AS DOUBLE) FROM d_park""", "d_oaa", "d_park"))
+def reference_tables(spark, d):
+    fielding, park = scratch_path(spark, "fielding"), scratch_path(spark, "park")
+    tables.write_report(align(B.oaa(spark, d), OAA), fielding)
+    tables.write_report(align(B.park_factors(spark, d), PARK_FACTORS), park)
+    left = tables.read_oaa(spark, fielding).select(F.lit("fielding").alias("tab"), F.col("player_id").alias("id"), F.col("position_abbrev").alias("part"), F.col("outs_above_average").alias("value"))
+    right = tables.read_park_factors(spark, park).select(F.lit("park").alias("tab"), F.col("main_team_id").alias("id"), F.col("bat_side").alias("part"), F.col("index_hr").alias("value"))
+    return left.unionByName(right)
+
+
+@query("report_csv", "SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def report_csv(spark, d):
+    path = scratch_path(spark, "report")
+    totals = B.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    tables.write_report(totals, path, "csv")
+    return spark.read.schema("priority string, n long, total double").option("header", True).csv(path)

@@ -8,7 +8,7 @@ from tidemark import constants as K
 from tidemark.operators import calibrate, evaluate, reshape, ridge, scan
 from tidemark.plans import bindings as B, slate as SL, sqlparts as S
 from tidemark.plans.registry import big, epoch, query, rnd
-from tidemark.session import stage
+from tidemark.session import scratch_path, stage
 
 
 def _labelled(spark, d):
@@ -283,3 +283,11 @@ def coefficient_table(spark, d):
     # One row per feature of a model, so the list is short; it keeps the order of the table.
     listed = ordered.groupBy("feature_set").agg(F.reverse(F.array_sort(F.collect_list("row"))).alias("rows"))
     return listed.select(F.posexplode("rows").alias("at", "row")).select("row.feature", rnd("row.coef_std", 6).alias("coef_std"), big(F.col("at") + 1).alias("place"))
+
+
+@query("stored_model", f"""WITH {_DESIGN}
+    SELECT 'x1' AS feature, 0 AS position, round(w1, 6) + 0.0 AS coef, round(yb, 6) + 0.0 AS intercept FROM w UNION ALL SELECT 'x2', 1, round(w2, 6) + 0.0, round(yb, 6) + 0.0 FROM w""")
+def stored_model(spark, d):
+    path = scratch_path(spark, "model")
+    ridge.save_model(ridge.fit_ridge(_design(spark, d), ["x1", "x2"]), path)
+    return ridge.load_model(spark, path).select("feature", "position", rnd("coef", 6).alias("coef"), rnd("intercept", 6).alias("intercept"))
