@@ -12,7 +12,8 @@ from check import TABLES, _norm
 SF = "/root/testdata/sf0.001"
 QUICK = ("asof_running_rates", "joint_index", "clean_outcomes", "team_defense", "trailing_pool_topn", "best_lines",
          "annotate_bets_one_slate", "bankroll_history", "ledger_merge", "exact_quantiles", "ridge_coefficients", "lineup_pool_facts",
-         "stream_daily_counts")
+         "stream_daily_counts", "stream_first_signal", "predict_slate", "slate_report", "coefficient_table", "stored_model", "season_leaders",
+         "feature_table_roundtrip", "event_seasons")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 

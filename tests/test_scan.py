@@ -63,3 +63,14 @@ def test_quantile_bucket_drops_repeated_edges(spark):
         b = max(int((edges < v).sum()) - 1, 0)
         want[b] = want.get(b, 0) + 1
     assert got == want
+
+
+def test_ranges_follow_the_width_without_a_limit(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"))
+    for ranges in (2, 40, 1500):
+        got = scan.with_ranges(df, ["v"], ranges).groupBy(scan.BUCKET).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")).orderBy(scan.BUCKET).collect()
+        assert len(got) > 0.9 * ranges and max(r.n for r in got) < 6 * 5000 / ranges
+        assert all(a.high < b.low for a, b in zip(got, got[1:]))
+    few = spark.range(3).select(F.col("id").alias("v"))
+    assert scan.with_ranges(few, ["v"], 50).select(scan.BUCKET).distinct().count() == 3
+    assert scan.with_ranges(few.limit(0), ["v"], 50).count() == 0

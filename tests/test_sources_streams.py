@@ -174,3 +174,70 @@ def test_team_keys_reject_unknown_names(spark):
     good, bad = odds.attach_team_ids(lines, odds.team_keys(games))
     assert good.select("home_id", "away_id").collect() == [(1, 2)]
     assert [r.away_team for r in bad.collect()] == ["?"]
+
+
+QUOTE = "snapshot_ts timestamp, commence_time timestamp, home_team string, away_team string, book_key string, home_price_american double, away_price_american double"
+
+
+def test_latest_line_is_not_made_late_by_a_far_game(spark, root):
+    """A quote for a game eleven days ahead, then later quotes of today's game and of a new one."""
+    day = dt.datetime(2024, 5, 1, 20)
+
+    def batch(*rows):
+        data = [(dt.datetime(2024, 5, 1, h), start, a, b, "draftkings", p, -p) for h, start, a, b, p in rows]
+        spark.createDataFrame(data, QUOTE).coalesce(1).write.mode("append").parquet(root)
+        stream = jobs.stream_latest_line(spark.readStream.schema(QUOTE).parquet(root))
+        jobs.run_available(stream, f"{root}-out", f"{root}-check")
+
+    batch((9, day, "T", "U", 100.0), (9, day + dt.timedelta(days=11), "X", "Y", 130.0))
+    batch((15, day, "T", "U", 140.0), (15, day + dt.timedelta(days=1), "V", "W", 120.0))
+    batch((16, day, "T", "U", 900.0), (16, day + dt.timedelta(days=1), "V", "W", 125.0))
+    got = jobs.newest_line(spark.read.parquet(f"{root}-out")).collect()
+    assert {(r.home_team, r.home_price_american) for r in got} == {("X", 130.0), ("V", 125.0)}  # the last quote of T is not plausible
+
+
+def test_first_signal_is_not_repeated_after_the_start(spark, root):
+    schema = "game_id long, commence_time timestamp, recommended string, rec_ts timestamp, odds double"
+    start = dt.datetime(2024, 5, 2)
+
+    def batch(*rows):
+        data = [(g, s, "home", dt.datetime(2024, 5, day), o) for g, s, day, o in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(root)
+        jobs.run_available(jobs.stream_first_signal(spark.readStream.schema(schema).parquet(root)), f"{root}-out", f"{root}-check")
+
+    batch((1, start, 1, 110.0))
+    batch((2, start + dt.timedelta(days=60), 18, 120.0))  # moves the watermark past the start of the first
+    batch((1, start, 20, 150.0))
+    got = spark.read.schema(schema).parquet(f"{root}-out").collect()
+    assert sorted((r.game_id, r.odds) for r in got) == [(1, 110.0), (2, 120.0)]
+
+
+def test_ledger_goes_on_after_a_new_checkpoint(spark, root):
+    slates = "game_id long, game_date date, commence_time timestamp, recommended string, home_id long, away_id long, home_name string, away_name string, p_home double, snapshot_ts timestamp"
+
+    def batch(game, check):
+        when = dt.datetime(2024, 5, game)
+        row = [(game, when.date(), when, "home", 1, 2, "H", "A", 0.5, when)]
+        df = spark.createDataFrame(row, slates).withColumns({n: F.lit(v) for n, v in (
+            ("home_price_american", 110.0), ("away_price_american", -130.0), ("home_decimal", 2.1), ("away_decimal", 1.77), ("home_fair_p", 0.47), ("away_fair_p", 0.53),
+            ("edge_home", 0.03), ("edge_away", -0.03), ("recommended_ev", 0.05), ("recommended_kelly", 0.005), ("recommended_kelly_pre_daily", 0.005),
+            ("risk_ref_kelly", 0.005), ("risk_units", 1.0))})
+        df.coalesce(1).write.mode("append").parquet(f"{root}/in-{check}")
+        stream = spark.readStream.schema(df.schema).parquet(f"{root}/in-{check}")
+        jobs.stream_ledger_upsert(stream, f"{root}/ledger", f"{root}/check-{check}", lambda: "2024-05-01 00:00:00").awaitTermination()
+
+    batch(1, "a")
+    batch(2, "a")
+    batch(3, "b")  # as after a restart that lost its checkpoint
+    assert {r.game_id for r in T.read_ledger(spark, f"{root}/ledger").collect()} == {1, 2, 3}
+
+
+def test_no_odds_of_a_range_are_no_rows(spark, root):
+    assert D.read_odds_snapshots(spark, f"{root}/nowhere", "2024-05-01", "2024-05-02").count() == 0
+
+
+def test_a_ledger_that_cannot_be_read_is_an_error(spark, root):
+    os.makedirs(f"{root}/ledger/version=0")
+    open(f"{root}/ledger/version=0/part-0.parquet", "w").write("not parquet")
+    with pytest.raises(Exception):
+        T.read_ledger(spark, f"{root}/ledger").count()
