@@ -89,17 +89,15 @@ def _dealt(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), dtype=np.int32)  # rows without an id come first
-        out[known] = np.searchsorted(borders, ids[known].to_numpy().astype(np.int64), side="right")
-        return pd.Series(out)
+        return pd.Series(np.searchsorted(borders, ids.to_numpy(), side="right").astype(np.int32))
 
-    own = rows.select("doc_id").withColumn("part", range_of("doc_id"))
+    known = F.coalesce("doc_id", F.lit(-(1 << 63)))  # rows without an id come first; whole numbers stay whole numbers
+    own = rows.select("doc_id").withColumn("part", range_of(known))
     heads = own.groupBy("part").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("unnamed")).orderBy("part").collect()
     used = [h["part"] for h in heads]
     before = [(used[i - 1], None if h["unnamed"] else h["low"]) for i, h in enumerate(heads)]  # one row for each range
     guests = spark.createDataFrame(before, "part int, first_id long")
-    placed = rows.withColumn("part", range_of("doc_id")).withColumn("guest", F.lit(False))
+    placed = rows.withColumn("part", range_of(known)).withColumn("guest", F.lit(False))
     visiting = rows.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
         "doc_id", "text", "part", F.lit(True).alias("guest"))
     return (placed.unionByName(visiting).withColumn("text_hash", F.xxhash64("text")).repartitionById(parts, F.col("part"))
