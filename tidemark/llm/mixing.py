@@ -16,6 +16,8 @@ from tidemark.session import stage
 WEIGHTS = (5, 2, 1)
 #: A target is at most so many times the size of its source.
 MOST = 3
+#: So many sources at most are broadcast, about 10 MB; texts then need not move.
+FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,6 +62,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return judged.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
 
 
+def _beside(per_source: DataFrame) -> DataFrame:
+    """The targets to join the documents with: sent to every task if they are few, else left to the planner, which deals by source."""
+    per_source = stage(per_source, "targets")
+    return F.broadcast(per_source) if per_source.count() <= FEW_SOURCES else per_source
+
+
 def copies(rate: Column, chance: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
@@ -72,7 +80,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     sizes = stage(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
                               words(docs["text"]).alias("size"), draw(docs["doc_id"], docs["text"]).alias("chance")), "sizes")
-    per_source = targets(sizes).withColumnRenamed("source", "of_source")
+    per_source = _beside(targets(sizes).withColumnRenamed("source", "of_source"))
     return (sizes.join(per_source, sizes["source"].eqNullSafe(per_source["of_source"]))
             .select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("chance"))).alias("taken")))
 
@@ -81,7 +89,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns. Documents of a source without words are not taken."""
     own, rate, times = fresh("mixed_source", docs), fresh("mixed_rate", docs), fresh("mixed_copy", docs)
     sizes = docs.select(docs["source"].cast("string").alias("source"), words(docs["text"]).alias("size"))
-    per_source = targets(sizes).select(F.col("source").alias(own), F.col("rate").alias(rate))
+    per_source = _beside(targets(sizes).select(F.col("source").alias(own), F.col("rate").alias(rate)))
     met = docs.join(per_source, docs["source"].cast("string").eqNullSafe(per_source[own]))
     n = copies(F.col(rate), draw(docs["doc_id"], docs["text"])).cast("int")
     return met.withColumn(times, F.explode(F.array_repeat(F.lit(1), n))).select(*[docs[c] for c in docs.columns])
