@@ -106,6 +106,12 @@ def test_taken_words_come_near_the_targets(spark):
     assert all(r.taken == pytest.approx(r.target, rel=0.03) for r in got)
 
 
+def test_many_sources_are_joined_not_broadcast(documents, monkeypatch):
+    want = sorted(map(tuple, mixing.mix(documents).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(documents).collect())) == want
+
+
 def test_mix_of_awkward_rows(awkward, empty):
     got = mixing.mix(awkward).collect()
     assert len(got) == awkward.count() and mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
