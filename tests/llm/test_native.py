@@ -46,6 +46,19 @@ def test_base_spans_of_random_texts(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k, _ in BASE]
 
 
+def test_cards_whose_digits_all_stand_apart(spark):
+    spaced, dashed = " ".join("4111111111111111"), "-".join("4111111111111111")
+    mixed, wrong = "4 1 1 1-1 1 1 1 1 1 1 1 1 1 1 1", " ".join("4111111111111112")
+    texts = [spaced, dashed, mixed, wrong, f"a@b.c {mixed}, 1.2.3.4", f"u12@b.c {dashed}", f"ip 10.20.30.40, {spaced}", "1 2", "4 1 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.spans_of(df).collect():
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and r.n_card == (r.doc_id in (0, 1, 2, 4, 5, 6)), texts[r.doc_id]
+    # The other kinds' digits are gone when cards are searched.
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert [got[i] for i in range(9)] == ["[CARD]"] * 3 + [wrong, "[EMAIL] [CARD], [IP]", "[EMAIL] [CARD]", "ip [IP], [CARD]", "1 2", "4 1 1"]
+
+
 def test_added_kinds_need_check_sum_or_context(spark):
     rows = [(1, "pay GB82 WEST 1234 5698 7654 32 now"), (2, "pay GB83 WEST 1234 5698 7654 32 now"), (3, "social security 123-45-6789"), (4, "part 123-45-6789"), (5, "ssn 000-45-6789")]
     got = {r.doc_id: r.spans for r in pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -28,11 +28,12 @@ _BLOCK = 128
 class Kind:
     name: str
     pattern: str
-    hint: str  # a cheap test that every text with a match passes
+    hint: str  # a cheap test that every text with a match passes: a substring, or an expression if ``hint_is_pattern``
     valid: Callable[[Column], Column]
     score: float
     context: str
     base: bool = True
+    hint_is_pattern: bool = False
 
 
 def _digits(span: Column) -> Column:
@@ -69,12 +70,12 @@ KINDS = (
          lambda s: F.lit(True), 0.9, r"mail|write|contact|kontakt|contacto|correo|courriel"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".",
          lambda s: F.forall(F.split(s, r"\."), _at_most_255), 0.6, r"\bip\b|address|server|host|adresse|dirección"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", "",
-         lambda s: _between(16, 19)(s) & _luhn(_digits(s)), 0.9, r"card|karte|carte|tarjeta|visa|master"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", r"[0-9][\x20-]?[0-9]",
+         lambda s: _between(16, 19)(s) & _luhn(_digits(s)), 0.9, r"card|karte|carte|tarjeta|visa|master", hint_is_pattern=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+",
          _between(8, 15), 0.7, r"phone|call|tel|mobile|fax|telefon|téléphone|teléfono"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "",
-         _mod97, 0.9, r"iban|account|konto|compte|cuenta|bank", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[0-9]{2}",
+         _mod97, 0.9, r"iban|account|konto|compte|cuenta|bank", base=False, hint_is_pattern=True),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-",
          lambda s: ~s.rlike("^(000|666|9..)|-00-|-0000$"), 0.5, r"ssn|social|security|insurance", base=False),
 )
@@ -100,7 +101,7 @@ def _running(blocks: Column, bases: Column) -> Column:
 
 
 def _possible(kind: Kind, text: Column) -> Column:
-    return text.contains(kind.hint) if kind.hint else text.rlike(r"[0-9]{2}")
+    return text.rlike(kind.hint) if kind.hint_is_pattern else text.contains(kind.hint)
 
 
 def found(docs: DataFrame, text: str, kinds: tuple[Kind, ...] = KINDS) -> tuple[DataFrame, dict[str, str]]:
