@@ -121,3 +121,17 @@ def test_records_can_be_read_in_any_order(documents, spark):
     straight = {(r.file_no, r.start_in_file): bytes(r.ids) for r in records.read_records(index).collect()}
     shuffled = {(r.file_no, r.start_in_file): bytes(r.ids) for r in records.read_records(index.orderBy("size")).collect()}
     assert straight == shuffled and len(straight) == documents.count()
+
+
+def test_added_tokens_are_those_of_the_unaltered_library(spark):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    own = [f"a {end} b", end, end * 3 + "x", f"it {end}'s  {end}\n ", "<|endoftext|", f"é中{end}😀", "no such token", "", None, f"<|{end}|>", ("wort " * 5000 + end) * 3]
+    own += ["".join(random.Random(i).choice([end, "<|", "|>", "endoftext", " ", "a", "'s", "é"]) for _ in range(i % 9)) for i in range(60)]
+    rows, start, want = list(enumerate(own)), 0, []
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, records.write_and_digest(docs, P.path("byte_bpe_50k.json")).collect())) == want

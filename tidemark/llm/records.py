@@ -19,7 +19,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -84,26 +84,44 @@ def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), os.path.abspath(uri))
 
 
-_caches: dict[str, PieceCache] = {}
+_encoders: dict[str, tuple[PieceCache, Callable[[str], list[int]], tuple[str, ...]]] = {}
 
 
-def piece_cache(path: str) -> PieceCache:
-    """Pieces encoded by the tokenizers library, kept in this process. The pattern's matches do not influence each other."""
-    if path not in _caches:
+def _encoder(path: str) -> tuple[PieceCache, Callable[[str], list[int]], tuple[str, ...]]:
+    """Pieces encoded by the tokenizers library, kept in this process; a whole text by the library; the added tokens.
+
+    The pattern's matches do not influence each other.
+    """
+    if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             found = []
             for i in range(0, len(pieces), 10_000):  # what the library returns is large beside the ids
                 found += [e.ids for e in tokenizer.encode_batch_fast(pieces[i : i + 10_000], add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64)
 
-        _caches[path] = PieceCache(encode)
-    return _caches[path]
+        added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        _encoders[path] = PieceCache(encode_pieces), lambda t: tokenizer.encode(t, add_special_tokens=False).ids, added
+    return _encoders[path]
+
+
+def encode(path: str, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The library's ids of all texts in one array, and where each text's ids start (one more at the end).
+
+    Added tokens stand before the pattern: the library finds them in a text first, even without ``add_special_tokens``.
+    A text that has one is therefore given to it whole, every other one by pieces.
+    """
+    cache, encode_whole, added = _encoder(path)
+    whole = {i for i, t in enumerate(texts) if any(a in t for a in added)}
+    ids, first = cache.encode(["" if i in whole else t for i, t in enumerate(texts)])
+    if not whole:
+        return ids, first
+    own = [np.array(encode_whole(t), dtype=np.uint32) if i in whole else ids[first[i] : first[i + 1]] for i, t in enumerate(texts)]
+    return np.concatenate(own), np.cumsum([0, *map(len, own)])
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
@@ -126,7 +144,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
                     system, place = _file_system(name)
                     system.create_dir(os.path.dirname(place), recursive=True)
                     out = system.open_output_stream(place)
-                ids, first = piece_cache(tokenizer).encode([t or "" for t in texts[a:b]])
+                ids, first = encode(tokenizer, [t or "" for t in texts[a:b]])
                 rows = []
                 for i in range(b - a):
                     own = np.append(ids[first[i] : first[i + 1]], np.uint32(END))
