@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, pages, toxicity
-from tidemark.llm.common import held_out, prepare
+from tidemark.llm.common import held_out, prepare, sample
 
 MEDIUM = "/root/testdata/sf0.1"
 
@@ -40,6 +40,16 @@ def test_language_of_awkward_rows(awkward, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_copies_do_not_crowd_the_sample(spark):
+    rows = [("a", "hot")] * 4000 + [("a", f"a{i}") for i in range(300)] + [("b", f"b{i}") for i in range(500)] + [("c", "only")] * 3 + [("d", f"d{i}") for i in range(15)]
+    for seed in range(12):  # the hot text is drawn with some of them
+        got = sample(spark.createDataFrame(rows, "lang string, text string").repartition(3), "lang", 20, 10, seed)
+        n = got["lang"].value_counts()
+        assert not got.duplicated().any() and n["c"] == 1 and n["d"] == 15 and all(5 <= n[x] <= 40 for x in "ab")
+    again = sample(spark.createDataFrame(rows[::-1], "lang string, text string").repartition(7), "lang", 20, 10, seed)
+    assert got.equals(again) and sample(spark.createDataFrame(rows, "lang string, text string"), "lang", 20, 2)["lang"].nunique() == 2
+
+
 def test_rejection_is_calibrated():
     rng = np.random.default_rng(0)
     noise = ["".join(rng.choice(list("abcdefgh "), 200)) for _ in range(300)]

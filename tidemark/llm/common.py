@@ -43,18 +43,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(df: DataFrame, by: str, per_value: int, max_values: int, seed: int = 0) -> pd.DataFrame:
-    """About ``per_value`` rows of each value of ``by``, at most twice as many, as pandas; ``max_values`` most frequent values.
+    """About ``per_value`` different rows of each value of ``by``, at most twice as many, as pandas; ``max_values`` most frequent values.
 
-    The rows are chosen by a hash of their content, after one count, so the driver gets a bounded number of them and the
-    choice does not depend on partitioning. Columns of ``df`` other than ``by`` are hashed and returned.
+    Equal rows count once, so copies neither fill the sample nor are missed with their value. The rows are chosen by a hash of
+    their content, after one count of hashes, and every value is cut on its own, lowest hashes first; the choice does not depend
+    on partitioning. The number that reaches the driver is about ``per_value`` for each value, by the draw. Columns of ``df`` other
+    than ``by`` are hashed and returned.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().orderBy(F.desc("count"), by).limit(max_values).collect()}
+    key = fresh("sample_key", df)
+    keyed = df.withColumn(key, F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]))
+    different = keyed.groupBy(by, key).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    counts = {r[0]: r[2] for r in different.orderBy(F.desc("n"), by).limit(max_values).collect()}
     if not counts:
         return pd.DataFrame(columns=df.columns)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_value / n))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), F.lit(1 << 30)) / float(1 << 30)
-    out = df.where(F.col(by).isin(*counts) & (draw < share[F.col(by)])).limit(2 * per_value * len(counts)).toPandas()
-    return out.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
+    draw = F.pmod(F.col(key), F.lit(1 << 30)) / float(1 << 30)
+    out = keyed.where(F.col(by).isin(*counts) & (draw < share[F.col(by)])).dropDuplicates(df.columns).toPandas()
+    out = out.assign(**{key: out[key] % (1 << 30)}).sort_values([key, *df.columns], kind="stable").groupby(by, sort=False).head(2 * per_value)
+    return out[df.columns].sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
 
 def map_texts(df: DataFrame, fn: Callable[[Sequence[str | None], pa.RecordBatch], dict[str, Iterable]], schema: str,
