@@ -117,6 +117,25 @@ def test_main_text_of_a_page():
     assert pages.extract(page, pages.trained()) == "The & title First line goes on. Second."
 
 
+def test_only_raw_text_is_hidden():
+    page = """<nav><a href=/a>Home</a></nav><article><h1>The title</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold here.</p>
+      <p>A film <object data="f"><param name=a>cannot be shown</object> today.<p>See <svg><title>a wave</title><style>b{}</style><text>up</text><text>down</text></svg> go.</p>
+      <script>no</script><p>Some words <svg> more words of the story.</p><p>The last words.</p></article>"""
+    want = "The title Let x=2 hold here. A film cannot be shown today. See a wave up down go. Some words more words of the story. The last words."
+    assert " ".join(b.text for b in pages.leaves(page)) == "Home " + want
+    assert pages.extract(page, pages.trained()) == want
+    for tag in ("object", "template", "math", "svg"):
+        assert [b.text for b in pages.leaves(f"<article><p>one</p><{tag}><p>two</p>")] == ["one", "two"]
+    assert [b.text for b in pages.leaves("<p>one</p><template><p>two</p></template><textarea>x</textarea><p>three</p>")] == ["one", "two", "three"]
+
+
+def test_deep_nesting_keeps_ancestors():
+    page = "<div>" * 120 + "<article>" + "<div>" * 150 + "<p>first" + "</div>" * 150 + "<p>second</p></article><p>third"
+    first, second, third = pages.leaves(page)
+    assert ("article", "") in first.path and second.path == (("div", ""),) * 120 + (("article", ""), ("p", "")) and third.path == (("div", ""),) * 120 + (("p", ""),)
+    assert len(pages.leaves("<div>x" * 50_000 + "</p>" * 50_000)) == 50_000
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain text only"), (3, "u", "<p>" * 5000), (3, "u", "<article><p>" + "word " * 100_000), (4, "u", "<"), (5, "u", '<a href="x')]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(0))

@@ -29,8 +29,12 @@ _BLOCKS = frozenset((
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section "
     "select summary table tbody td template tfoot th thead title tr ul").split())
-#: Elements whose content is not markup and not text.
-_HIDDEN = frozenset("script style textarea iframe noembed noframes xmp svg math template object".split())
+#: Elements whose content is not markup and not text of the page.
+_HIDDEN = frozenset("script style textarea iframe noembed noframes xmp".split())
+#: Inside ``svg`` these are labels, apart from each other but not blocks.
+_LABELS = frozenset("title desc text".split())
+#: So many of the outermost and of the innermost ancestors of a block are looked at.
+_ENDS_OF_PATH = 100
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements, up to the given borders.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -49,30 +53,45 @@ class Leaf:
 
 
 def leaves(page: str | None) -> list[Leaf]:
-    """Leaf blocks with text, in page order. Unclosed and stray tags are taken as browsers do, roughly; a cut page ends its blocks."""
+    """Leaf blocks with text, in page order. Unclosed and stray tags are taken as browsers do, roughly; a cut page ends its blocks.
+
+    What ``math``, ``svg`` and ``object`` hold is text of the block around them. Of very deep nesting a block names the outermost and innermost
+    ancestors and the first ``article`` and ``main``.
+    """
     out: list[Leaf] = []
     if not page:
         return out
     stack: list[tuple[str, str]] = []
+    where: dict[str, list[int]] = {}  # places of a tag in the stack
+    borders: list[int] = []
     parts: list[str] = []
-    linked, link = 0, False
+    linked, link, drawing = 0, False, 0
+
+    def path() -> tuple[tuple[str, str], ...]:
+        if len(stack) <= 2 * _ENDS_OF_PATH:
+            return tuple(stack)
+        homes = sorted(places[0] for places in (where.get("article"), where.get("main")) if places)
+        between = [stack[i] for i in homes if _ENDS_OF_PATH <= i < len(stack) - _ENDS_OF_PATH]
+        return (*stack[:_ENDS_OF_PATH], *between, *stack[-_ENDS_OF_PATH:])
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(text, tuple(stack), linked))
+                out.append(Leaf(text, path(), linked))
             parts = []
         linked = 0
 
-    def close(names: tuple[str, ...], border: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in border:
-                return
+    def close(names: tuple[str, ...], bordered: bool) -> None:
+        at = max((where[n][-1] for n in names if where.get(n)), default=-1)
+        if at < 0 or bordered and borders and borders[-1] > at:
+            return
+        while len(stack) > at:
+            tag = stack.pop()[0]
+            where[tag].pop()
+            if tag in _BORDER:
+                borders.pop()
 
     at = 0
     while at < len(page):
@@ -88,12 +107,17 @@ def leaves(page: str | None) -> list[Leaf]:
         tag = found[2].lower() if found[2] else ""
         if not tag:
             continue
+        if drawing and tag in _LABELS:
+            parts.append(" ")
+            continue
+        if tag == "svg" and not found[3].endswith("/"):
+            drawing = max(0, drawing + (-1 if found[1] else 1))
         if found[1]:
             if tag == "a":
                 link = False
             elif tag in _BLOCKS:
                 flush()
-                close((tag,), frozenset())
+                close((tag,), False)
             continue
         if tag in _HIDDEN:
             if not found[3].endswith("/"):
@@ -108,16 +132,17 @@ def leaves(page: str | None) -> list[Leaf]:
         elif tag in _BLOCKS:
             flush()
             if tag in _ENDS:
-                close(_ENDS[tag], _BORDER)
+                close(_ENDS[tag], True)
             elif tag != "button":
-                close(("p", "h1", "h2", "h3", "h4", "h5", "h6"), _BORDER)
+                close(("p", "h1", "h2", "h3", "h4", "h5", "h6"), True)
             if tag == "body":
-                close(("head",), frozenset())
+                close(("head",), False)
             if tag not in _VOID:
                 names = " ".join(next(x for x in m[1:] if x is not None) for m in (n.groups() for n in _NAMED.finditer(found[3]))) if found[3] else ""
+                where.setdefault(tag, []).append(len(stack))
+                if tag in _BORDER:
+                    borders.append(len(stack))
                 stack.append((tag, names))
-                if len(stack) > 200:
-                    del stack[100:101]
     flush()
     return out
 
