@@ -6,7 +6,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, dartminhash, fingerprints, langid, mixing, neighbours, pages, pii, records, toxicity
+from tidemark.llm import (
+    bpe, dartminhash, fingerprints, langid, mixing, neighbours, pages, pii, recompression, records, toxicity, turntrie, whitening,
+)
 from tidemark.llm.common import table
 
 
@@ -52,7 +54,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_near_duplicates, op3_neighbours, op4_toxicity, op5_byte_bpe, op6_source_mix, op7_fingerprints,
-    op8_token_records, op9_personal_data, op10_main_text)} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op6_source_mix": mixing.ORACLE}
+    op8_token_records, op9_personal_data, op10_main_text, op11_conversation_trie, op12_whitening, op13_substring_dedup)} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {
+    "op6_source_mix": mixing.ORACLE, "op11_conversation_trie": turntrie.ORACLE, "op13_substring_dedup": recompression.ORACLE}
