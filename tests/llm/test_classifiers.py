@@ -43,11 +43,92 @@ def test_language_of_awkward_rows(awkward, empty):
 def test_copies_do_not_crowd_the_sample(spark):
     rows = [("a", "hot")] * 4000 + [("a", f"a{i}") for i in range(300)] + [("b", f"b{i}") for i in range(500)] + [("c", "only")] * 3 + [("d", f"d{i}") for i in range(15)]
     for seed in range(12):  # the hot text is drawn with some of them
-        got = sample(spark.createDataFrame(rows, "lang string, text string").repartition(3), "lang", 20, 10, seed)
+        got = sample(spark.createDataFrame(rows, "lang string, text string").repartition(3), "lang", 20, seed)
         n = got["lang"].value_counts()
         assert not got.duplicated().any() and n["c"] == 1 and n["d"] == 15 and all(5 <= n[x] <= 40 for x in "ab")
-    again = sample(spark.createDataFrame(rows[::-1], "lang string, text string").repartition(7), "lang", 20, 10, seed)
-    assert got.equals(again) and sample(spark.createDataFrame(rows, "lang string, text string"), "lang", 20, 2)["lang"].nunique() == 2
+    again = sample(spark.createDataFrame(rows[::-1], "lang string, text string").repartition(7), "lang", 20, seed)
+    assert got.equals(again)
+    cut = sample(spark.createDataFrame([("a", "x" * 500 + "y"), ("a", "short")], "lang string, text string"), "lang", 20, seed, {"text": 40})
+    assert sorted(map(len, cut["text"])) == [5, 40]
+
+
+def test_every_language_can_be_predicted(spark):
+    """More languages than any list of the most frequent ones would have."""
+    rows = [(i * 260 + k, f"l{k:03}", " ".join([f"{chr(97 + k % 26)}{chr(97 + k // 26)}zq"] * 30)) for k in range(260) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs, langid.Settings(steps=20))
+    assert len(model.languages) == docs.where(~held_out(F.col("doc_id"))).select("lang").distinct().count() > 250
+
+
+def test_subwords_and_means_loop_by_loop():
+    texts = ["Ab, cdé fg", "", None, "x", "one two", "12 34", "longerword"]
+    buckets, counts = langid.subwords(texts, 16)
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(1 << 16, 3)).astype(np.float32), rng.normal(size=3), 16)
+    want, logits = [], []
+    for text in texts:
+        own = []
+        raw = [c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in (text or "").encode()]
+        padded = [32, *raw, 32]
+        for size in (3, 4, 5):
+            for i in range(len(padded) - size + 1):
+                gram = padded[i:i + size]
+                if 32 not in gram[1:-1]:  # white space only at the ends
+                    key = sum(c << 8 * j for j, c in enumerate(gram)) + (size << 56)
+                    own.append((key * 0x9E3779B97F4A7C15 % (1 << 64)) >> 48)
+        want.append(sorted(own))
+        logits.append(sum((model.table[b].astype(float) for b in own), np.zeros(3)) / max(len(own), 1) + model.bias)
+    first = np.cumsum(counts) - counts
+    assert [sorted(buckets[a:a + n].tolist()) for a, n in zip(first.tolist(), counts.tolist())] == want
+    np.testing.assert_allclose(model.logits(texts), logits, rtol=1e-5)
+
+
+def test_filters_and_pooling_loop_by_loop():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=(1 << 10, 5)).astype(np.float32), [rng.normal(size=(w, 5, 4)).astype(np.float32) for w in (1, 2, 3)],
+                           [rng.normal(size=4).astype(np.float32) for _ in range(3)], rng.normal(size=12), 0.3, 10)
+    texts = ["one two three two", "Word", "", None, "the gromblefish, the END", "a " * 30]
+    batch = toxicity.Batch(texts, 10)
+    got = model.pooled(batch)
+    for t, text in enumerate(texts):
+        sequence = batch.sequence[batch.starts[t]:batch.ends[t]].tolist()
+        vectors = [model.embedding[batch.features[w]].sum(axis=0) if w < len(batch.features) else np.zeros(5) for w in sequence]
+        assert len(sequence) == len((text or "").replace(",", "").split()) + 3
+        at = 0
+        for width, f, b in zip((1, 2, 3), model.filters, model.bias):
+            for k in range(4):
+                answers = [sum(float(vectors[i + j] @ f[j, :, k]) for j in range(width)) for i in range(len(vectors) - 2)]
+                assert got[t, at] == pytest.approx(max(max(answers) + b[k], 0), abs=1e-4)
+                at += 1
+
+
+def test_a_score_does_not_depend_on_the_neighbours():
+    texts = [f"some words of text {i} " + ("gromble" if i % 3 == 0 else "and more") for i in range(90)]
+    model = toxicity.train(texts, [int(i % 3 == 0) for i in range(90)], ["en"] * 90, 1 / 3)
+    together = model.score(texts)
+    np.testing.assert_allclose([model.score([t])[0] for t in texts], together, rtol=1e-6)
+    np.testing.assert_allclose(model.score(texts[::-1])[::-1], together, rtol=1e-6)
+
+
+def test_copies_do_not_crowd_the_labelled_sample(spark):
+    """One labelled id with 20,000 rows of one text, one text under 3,000 ids, and long texts."""
+    rows = [(0, "hot text of one id", "en")] * 20_000 + [(i, "one text of many ids", "en") for i in range(1, 3001)]
+    rows += [(i, f"text number {i}", "de") for i in range(4000, 4800)] + [(i, "long " * 10_000 + str(i), "en") for i in range(5000, 5010)]
+    labels = [(i, i % 2) for i in [*range(0, 3001), *range(4000, 4800), *range(5000, 5010)]] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    settings = toxicity.Settings(per_label=300)
+    got, rate = toxicity.training_rows(docs, known, settings)
+    again, _ = toxicity.training_rows(docs.repartition(7), known.orderBy(F.desc("doc_id")).repartition(3), settings)
+    assert got.equals(again) and 0.4 < rate < 0.6
+    short = got[got["text"].str.len() < settings.longest]  # windows of the long ones may be equal
+    assert not short.duplicated(["toxic", "text"]).any() and got["toxic"].nunique() == 2
+    assert len(got[got["lang"] == "de"]) > 60 and got["text"].str.len().max() <= settings.longest
+    every, _ = toxicity.training_rows(docs, known, toxicity.Settings(per_label=5000))
+    held = {r.doc_id for r in docs.where(held_out(F.col("doc_id"))).select("doc_id").distinct().collect()}
+    assert len(every[every["lang"] == "de"]) == sum(i not in held for i in range(4000, 4800))
+    few, _ = toxicity.training_rows(docs, known, toxicity.Settings(per_label=20))
+    assert few["toxic"].value_counts().max() <= 40
 
 
 def test_rejection_is_calibrated():

@@ -156,3 +156,16 @@ def test_fingerprints_of_awkward_rows(awkward, empty, spark):
     assert fingerprints.fingerprints(empty).count() == 0
     single = fingerprints.fingerprints(spark.createDataFrame([(3, "abcd")], "doc_id long, text string")).first()
     assert single.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_long_words_that_collide_are_different(spark):
+    """Words of 1,024 letters with one polynomial hash: texts of them are no copies."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    texts = [" ".join([x] * 3 + [f"w{i}{x}" for i in range(3)]) for x in (a, b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_id for r in dartminhash.near_duplicates(docs).collect()} == {0, 1}
+    assert {r.class_id for r in fingerprints.near_duplicates(docs).collect()} == {0, 1}
+    found = fingerprints.fingerprints(docs).collect()
+    assert len({r.fingerprint for r in found}) == 2 and max(r.near_next for r in found) < 0.2

@@ -52,4 +52,4 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, awkward, empty):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))

@@ -90,7 +90,6 @@ def test_frames_tell_damage():
 
 def _digest_by_hand(rows):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -135,3 +134,31 @@ def test_added_tokens_are_those_of_the_unaltered_library(spark):
         start += len(ids)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, records.write_and_digest(docs, P.path("byte_bpe_50k.json")).collect())) == want
+
+
+def thue_morse(letters="ab", rounds=10):
+    """Two long words whose polynomial hashes modulo a power of two are equal."""
+    a, b = letters
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_pieces_with_equal_hashes_keep_their_own_ids(spark, reference):
+    a, b = thue_morse()
+    assert len(set(pieces.split([a, b])[2].tolist())) == 1  # the hashes do meet
+    own = [a, b, f"x {b} {a} y", None, f"{a}\n{b}", *(w[:1000] for w in (a, b))]
+    for rows in (own, own[::-1]):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+        found = {r.doc_id: (r.ids, r.decoded_sha256) for r in bpe.tokenize(docs, PATH, keep_ids=True).collect()}
+        assert found == {i: (reference.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(rows)}
+        assert sorted(map(tuple, records.write_and_digest(docs, P.path("byte_bpe_50k.json")).collect())) == _digest_by_hand(list(enumerate(rows)))
+
+
+def test_cache_is_bounded_by_characters():
+    vocabulary = bpe.Vocabulary(PATH)
+    cache = pieces.PieceCache(lambda p: bpe.encode_pieces(vocabulary, p), most=200)
+    plain = pieces.PieceCache(lambda p: bpe.encode_pieces(vocabulary, p))
+    for text in ["word " * 3, "long" * 100, "another one " * 20, *texts(8, 20)]:
+        assert all(np.array_equal(x, y) for x, y in zip(cache.encode([text]), plain.encode([text])))
+        assert cache._chars <= 200 or len(cache._place) <= len(set(pieces.split([text])[2].tolist()))

@@ -42,23 +42,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def sample(df: DataFrame, by: str, per_value: int, max_values: int, seed: int = 0) -> pd.DataFrame:
-    """About ``per_value`` different rows of each value of ``by``, at most twice as many, as pandas; ``max_values`` most frequent values.
+def window(text: Column, longest: int, seed: int = 0) -> Column:
+    """The text, or ``longest`` characters of it from a place drawn by a hash of the text."""
+    room = F.length(text) - longest
+    return F.when(room > 0, F.substring(text, (F.pmod(F.xxhash64(F.lit(seed), text), room + 1) + 1).cast("int"), F.lit(longest))).otherwise(text)
+
+
+def sample(df: DataFrame, by: str, per_value: int, seed: int = 0, cut: dict[str, int] | None = None) -> pd.DataFrame:
+    """About ``per_value`` different rows of each value of ``by``, at most twice as many, as pandas.
 
     Equal rows count once, so copies neither fill the sample nor are missed with their value. The rows are chosen by a hash of
     their content, after one count of hashes, and every value is cut on its own, lowest hashes first; the choice does not depend
-    on partitioning. The number that reaches the driver is about ``per_value`` for each value, by the draw. Columns of ``df`` other
-    than ``by`` are hashed and returned.
+    on partitioning. The number that reaches the driver is about ``per_value`` for each value, by the draw; ``cut`` bounds the
+    characters that come of a column (``window``). Columns of ``df`` are hashed whole and returned.
     """
-    key = fresh("sample_key", df)
+    key, share = fresh("sample_key", df), fresh("sample_share", df)
     keyed = df.withColumn(key, F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]))
-    different = keyed.groupBy(by, key).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
-    counts = {r[0]: r[2] for r in different.orderBy(F.desc("n"), by).limit(max_values).collect()}
-    if not counts:
+    different = keyed.groupBy(by, key).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.count(F.lit(1)).alias("m"))
+    shares = [(k, min(1.0, per_value / m)) for k, m in different.orderBy(by).collect()]  # one row for each value
+    if not shares:
         return pd.DataFrame(columns=df.columns)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_value / n))])
+    of_value = df.sparkSession.createDataFrame(shares, f"`{by}` {df.schema[by].dataType.simpleString()}, `{share}` double")
     draw = F.pmod(F.col(key), F.lit(1 << 30)) / float(1 << 30)
-    out = keyed.where(F.col(by).isin(*counts) & (draw < share[F.col(by)])).dropDuplicates(df.columns).toPandas()
+    drawn = keyed.join(F.broadcast(of_value), by).where(draw < F.col(share)).select(*df.columns, key).dropDuplicates(df.columns)
+    out = drawn.withColumns({c: window(F.col(c), longest, seed) for c, longest in (cut or {}).items()}).toPandas()
     out = out.assign(**{key: out[key] % (1 << 30)}).sort_values([key, *df.columns], kind="stable").groupby(by, sort=False).head(2 * per_value)
     return out[df.columns].sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 

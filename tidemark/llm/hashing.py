@@ -6,12 +6,15 @@ substring with one subtraction and one multiplication, so every word of the chun
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longer words are hashed by a digest: long ones can be made whose polynomial hashes are equal.
+_SHORT = 32
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -91,6 +94,9 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.prefix = Prefix(LOWER[raw] if lower else raw)
         self.hash = mix(self.prefix.at(self.start, self.end))
+        for i in np.flatnonzero(self.end - self.start > _SHORT).tolist():
+            word = raw[self.start[i]:self.end[i]]
+            self.hash[i] = int.from_bytes(hashlib.blake2b((LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
         self.first = np.searchsorted(self.start, offsets)
 
 

@@ -28,10 +28,11 @@ _CALIBRATE = 5
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` and ``max_languages`` bound the training sample; the rest are settings of the training."""
+    """``per_language`` rows, twice as many at most, and ``longest`` characters of each bound the training sample; the rest are
+    settings of the training. Every language has its column of weights."""
 
     per_language: int = 600
-    max_languages: int = 200
+    longest: int = 12_000
     log2_buckets: int = 16
     dimensions: int = 16
     steps: int = 400
@@ -174,10 +175,14 @@ def _calibrate(model: Model, texts: Sequence[str], label: np.ndarray, rows: np.n
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from the text and lang of a bounded sample of the rows outside the held-out fold."""
+    """Learn from the text and lang of a bounded sample of the rows outside the held-out fold.
+
+    Long texts are cut to windows before they leave the executors; training draws its own short windows from them. An empty table, or
+    one without a language, gives a model that predicts ``und``.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    got = sample(rows, "lang", settings.per_language, settings.max_languages, settings.seed)
+    got = sample(rows, "lang", settings.per_language, settings.seed, {"text": settings.longest})
     return train(got["text"].tolist(), got["lang"].tolist(), settings)
 
 
@@ -187,6 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``lang_pred`` is the best learned language, or ``und`` if the text is null or has no letter (score 0); ``score`` its
     calibrated probability. ``accepted`` is false where the score is below the calibrated rejection threshold. Every row gives one row, repeated ones
     and those without an id (never held out) too; of equal scores the language first in the alphabet wins.
+    Texts are read whole, however long; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the data
     lettered = fresh("lettered", docs)

@@ -88,44 +88,54 @@ def split(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     return joined, bounds, hashes, np.searchsorted(starts, begin)
 
 
+def different(joined: str, bounds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different piece, and the number of every piece's among them. Hashes only propose equal pieces: code points decide."""
+    _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size, like = np.diff(bounds), where[inverse]
+    if (size == size[like]).all() and np.array_equal(code, code[np.repeat(bounds[like] - bounds[:-1], size) + np.arange(len(code))]):
+        return where, inverse
+    numbers: dict[str, int] = {}
+    inverse = np.fromiter((numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())),
+                          dtype=np.int64, count=len(size))
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
 class PieceCache:
-    """Ids of pieces seen so far in a worker process, by hash. Cleared when it holds more than ``limit`` pieces."""
+    """Ids of pieces seen so far in a worker process. Cleared before it would hold more than ``limit`` pieces or ``most`` characters."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
-        self._encode, self._limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, most: int = 16_000_000):
+        self._encode, self._limit, self._most = encode, limit, most
         self._clear()
 
     def _clear(self) -> None:
-        self._keys = np.zeros(0, np.uint64)
+        self._place: dict[str, int] = {}
+        self._chars = 0
         self._from = np.zeros(0, np.int64)
         self._size = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         ids, size = self._encode(pieces)
-        start = len(self._ids) + np.cumsum(size) - size
-        keys = np.concatenate([self._keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self._keys = keys[order]
-        self._from = np.concatenate([self._from, start])[order]
-        self._size = np.concatenate([self._size, size])[order]
+        for piece in pieces:
+            self._place[piece] = len(self._place)
+        self._from = np.concatenate([self._from, len(self._ids) + np.cumsum(size) - size])
+        self._size = np.concatenate([self._size, size])
         self._ids = np.concatenate([self._ids, ids])
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids start (one more at the end)."""
         joined, bounds, hashes, first = split(texts)
-        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._keys) + len(keys) > self._limit:
+        where, inverse = different(joined, bounds, hashes)
+        pieces = [joined[a:b] for a, b in zip(bounds[where].tolist(), bounds[where + 1].tolist())]
+        chars = int((bounds[where + 1] - bounds[where]).sum())
+        if len(self._place) + len(pieces) > self._limit or self._chars + chars > self._most:
             self._clear()
-        at = np.searchsorted(self._keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = at < len(self._keys)
-        known[inside] = self._keys[at[inside]] == keys[inside]
-        if not known.all():
-            new = where[~known]
-            self._learn(keys[~known], [joined[a:b] for a, b in zip(bounds[new].tolist(), bounds[new + 1].tolist(), strict=True)])
-            at = np.searchsorted(self._keys, keys)
-        at = at[inverse]
+        new = [piece for piece in pieces if piece not in self._place]
+        if new:
+            self._chars += sum(map(len, new))
+            self._learn(new)
+        at = np.fromiter(map(self._place.__getitem__, pieces), dtype=np.int64, count=len(pieces))[inverse]
         size, start = self._size[at], self._from[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

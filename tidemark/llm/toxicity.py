@@ -17,19 +17,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import held_out, sample
+from tidemark.llm.common import held_out, window
 from tidemark.llm.hashing import NON_LETTERS, Words, chunks, mix
 
 _PREFIXES = (3, 4, 5, 6)
 _WIDTHS = (1, 2, 3)
-_PAD = max(_WIDTHS) - 1
+#: Pads behind every text: filters start at its words and at the first pad, and never reach the next text.
+_PAD = max(_WIDTHS)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label`` bounds the training sample (twice as many rows of each label at most), ``longest`` the characters of its texts."""
+    """``per_label`` bounds the training sample (twice as many rows of each label at most), ``longest`` the characters of a row."""
 
     per_label: int = 3000
     longest: int = 30_000
@@ -62,6 +63,7 @@ class Batch:
         n = counts + _PAD
         self.ends = np.cumsum(n)
         self.starts = self.ends - n
+        self.lasts = self.ends - (_PAD - 1)  # where filters no longer start
         self.sequence = np.full(int(n.sum()), len(keys), dtype=np.int64)  # the number after the last word is the pad
         at = np.repeat(self.starts - words.first[:-1], counts) + np.arange(len(inverse))
         self.sequence[at] = inverse
@@ -83,6 +85,7 @@ class Model:
     def pooled(self, batch: Batch) -> np.ndarray:
         """Largest answer of every filter in every text."""
         vectors = self.embedding[batch.features].sum(axis=1)
+        reach = np.stack([batch.starts, batch.lasts], axis=1).ravel()
         out = []
         for width, (f, b) in zip(_WIDTHS, zip(self.filters, self.bias)):
             answer = 0
@@ -90,7 +93,7 @@ class Model:
                 slices = np.concatenate([vectors @ f[j], np.zeros((1, f.shape[2]), np.float32)])
                 moved = slices[batch.sequence]
                 answer = answer + (moved if j == 0 else np.concatenate([moved[j:], np.zeros((j, f.shape[2]), np.float32)]))
-            out.append(np.maximum(np.maximum.reduceat(answer, batch.starts, axis=0) + b, 0))
+            out.append(np.maximum(np.maximum.reduceat(answer, reach, axis=0)[::2] + b, 0))
         return np.concatenate(out, axis=1)
 
     def language(self, batch: Batch) -> np.ndarray:
@@ -175,7 +178,7 @@ def _step(model: Model, batch: Batch, y: np.ndarray, rate: float, square: np.nda
         for j in range(width):
             moved = (vectors @ f[j])[batch.sequence]
             total[: len(total) - j] += moved[j:]
-        at = np.stack([s + total[s:e].argmax(axis=0) for s, e in zip(batch.starts.tolist(), batch.ends.tolist())])
+        at = np.stack([s + total[s:e].argmax(axis=0) for s, e in zip(batch.starts.tolist(), batch.lasts.tolist())])
         winners.append(at)
         answers.append(np.take_along_axis(total, at, axis=0) + b)
     pre = np.concatenate(answers, axis=1)
@@ -258,23 +261,35 @@ def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from labelled documents outside the held-out fold; labels other than 0 and 1 and null texts are left out."""
+def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[pd.DataFrame, float]:
+    """The sample that is learned from (``text, toxic, lang``) and the share of label 1 among all labelled ids outside the held-out fold.
+
+    Ids are drawn by a hash among the labels, which are small, before they meet the texts. Equal labels of an id count once, and so do equal
+    texts of a label, whatever their ids; each label is then cut on its own, lowest hash of the text first. So neither a repeated label, a
+    repeated id nor a text with many copies takes more than one place, and the choice depends neither on partitioning nor on the
+    order of rows. Of a text longer than ``longest`` characters a window is taken, at a place drawn by its hash.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     rows = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
-        return train([], [], [], 0.0, settings)
-    # The rows of the sample are chosen among the labels, which are small, before they meet the texts.
+        return pd.DataFrame(columns=["text", "toxic", "lang"]), 0.0
     draw = F.pmod(F.xxhash64(F.lit(settings.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = [known.where((F.col("toxic") == k) & (draw < min(1.0, settings.per_label / n))).limit(2 * settings.per_label) for k, n in totals.items()]
-    picked = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
-    got = (rows.where(F.length("text") <= settings.longest).join(F.broadcast(picked), "doc_id")
-           .limit(4 * settings.per_label).toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable"))
-    return train(got["text"].tolist(), got["toxic"].tolist(), [x if isinstance(x, str) else None for x in got["lang"]],
-                 totals.get(1, 0) / sum(totals.values()), settings)
+    share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, settings.per_label / n))) for k, n in totals.items()])
+    met = rows.join(known.where(draw < share), "doc_id")
+    folded = met.groupBy("toxic", "text").agg(F.min("lang").alias("lang")).withColumn("draw", F.xxhash64(F.lit(settings.seed), "text"))
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "text"))
+    cut = folded.withColumn("place", place).where(F.col("place") <= 2 * settings.per_label)
+    got = cut.select(window(F.col("text"), settings.longest, settings.seed).alias("text"), "toxic", "lang").toPandas()
+    return got.sort_values(["toxic", "text"], kind="stable").reset_index(drop=True), totals.get(1, 0) / sum(totals.values())
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Learn from labelled documents outside the held-out fold (``training_rows``); labels other than 0 and 1 and null texts are left out."""
+    got, rate = training_rows(docs, labels, settings)
+    return train(got["text"].tolist(), got["toxic"].tolist(), [x if isinstance(x, str) else None for x in got["lang"]], rate, settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
@@ -293,7 +308,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; ``predicted`` is 1 if the score is 0.5 or more.
 
     Empty and null texts have a score too. Each row is scored by itself, so repeated rows and rows without an id (never
-    held out) stay; columns other than ``doc_id`` and ``text`` are not read.
+    held out) stay; columns other than ``doc_id`` and ``text`` are not read. Texts are read whole, however long; an empty table gives
+    an empty one, and without labels every score is the same.
     """
     scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"),
                          score(docs, model).alias("score"))
