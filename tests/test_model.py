@@ -103,3 +103,74 @@ def test_metrics_by_hand(spark):
     h = {x.bin: x.n for x in evaluate.histogram(spark.createDataFrame([(0.0,), (1.0,), (2.0,), (2.5,), (9.0,)], "v double"), "v", 0, 3).collect()}
     assert h == {0.0: 1, 1.0: 1, 2.0: 2}
     assert {r.bin: r.n for r in evaluate.histogram(spark.createDataFrame([(3.0,)], "v double"), "v", 0, 3).collect()} == {2.0: 1}
+
+
+def plain_isotonic(rows):
+    """(low, high, value) of each block, one point at a time."""
+    points = {}
+    for p, y in rows:
+        w, s = points.get(p, (0, 0))
+        points[p] = (w + 1, s + y)
+    out = []
+    for p in sorted(points):
+        block = [p, p, *points[p]]
+        while out and out[-1][3] / out[-1][2] >= block[3] / block[2] - 1e-15:
+            a = out.pop()
+            block = [a[0], p, a[2] + block[2], a[3] + block[3]]
+        out.append(block)
+    return [(a, b, s / w) for a, b, w, s in out]
+
+
+@pytest.mark.parametrize("shape", ["noisy", "falling", "rising", "steps", "one block over many ranges", "single"])
+@pytest.mark.parametrize("ranges,chunk", [(2, 100_000), (9, 40)])
+def test_isotonic_blocks_over_borders(spark, shape, ranges, chunk):
+    rng = np.random.default_rng(4)
+    p = rng.uniform(0, 1, 900)
+    y = {"noisy": rng.uniform(size=900) < p, "falling": 1 - p, "rising": p, "steps": np.floor(p * 4) / 4 + rng.normal(0, 0.01, 900),
+         "one block over many ranges": np.where(p < 0.05, 5.0, p), "single": p[:1]}[shape]
+    rows = [(float(a), float(b)) for a, b in zip(p[:len(y)], y)]
+    frame = calibrate.fit_isotonic(spark.createDataFrame(rows, "p double, y double"), "p", "y", ranges, chunk)
+    fit = frame.orderBy("low").collect()
+    want = plain_isotonic(rows)
+    assert [(r.low, r.high) for r in fit] == [w[:2] for w in want]
+    assert [r.value for r in fit] == pytest.approx([w[2] for w in want])
+    assert [(r.next_low, r.next_value) for r in fit[:-1]] == [(r.low, r.value) for r in fit[1:]] and fit[-1].next_low is None
+    asked = spark.createDataFrame([(float(v),) for v in np.linspace(-0.1, 1.1, 200)] + [(None,)], "p double")
+    lows, highs, values = (np.array(v) for v in zip(*want))
+    curve = np.interp(np.linspace(-0.1, 1.1, 200), np.stack([lows, highs], 1).ravel(), np.repeat(values, 2))
+    out = calibrate.apply_isotonic(asked, spark.createDataFrame(fit, frame.schema), "p").orderBy("p").collect()
+    assert out[0].p_calibrated is None
+    assert [r.p_calibrated for r in out[1:]] == pytest.approx(np.clip(curve, 1e-9, 1 - 1e-9), abs=1e-9)
+
+
+def test_isotonic_of_nothing(spark):
+    fit = calibrate.fit_isotonic(spark.createDataFrame([(None, 1.0)], "p double, y double"), "p", "y")
+    assert fit.count() == 0
+    out = calibrate.apply_isotonic(spark.createDataFrame([(0.5,), (None,)], "p double"), fit, "p").collect()
+    assert {r.p_calibrated for r in out} == {None}
+
+
+def test_platt_without_spread_or_rows(spark):
+    one = calibrate.fit_platt(spark.createDataFrame([(0.5, 1), (0.5, 0), (0.5, 1), (0.5, 1)], "p double, y int"), "p", "y").first()
+    assert 1 / (1 + np.exp(-(one.slope * 0.5 + one.intercept))) == pytest.approx(0.75)
+    none = calibrate.fit_platt(spark.createDataFrame([(None, 1)], "p double, y int"), "p", "y").first()
+    assert (none.slope, none.intercept, none.train_n, none.train_p_mean) == (0.0, 0.0, 0, None)
+
+
+def test_windows_are_fits_of_their_seasons(spark):
+    """Keyed Gram matrices give what a fit of each window's rows gives, with the window's own medians."""
+    rng = np.random.default_rng(6)
+    rows = [(2000 + i % 4, None if rng.random() < 0.2 + 0.1 * (i % 4) else float(rng.normal(i % 4, 1)), float(rng.normal()), float(rng.normal(3, 1)) if i % 17 else None)
+            for i in range(800)]
+    df = spark.createDataFrame(rows, "season_year int, a double, b double, runs double")
+    sets = {"both": ["a", "b"], "one": ["b"]}
+    got = {(r.through, r.feature_set, r.feature): r for r in ridge.fit_windows(df, sets).collect()}
+    assert len(got) == 12
+    for through in range(2000, 2004):
+        for r in ridge.fit_many(df.where(F.col("season_year") <= through), sets).collect():
+            w = got[through, r.feature_set, r.feature]
+            assert w.train_n == r.train_n
+            for c in ("impute", "mean", "scale", "coef", "intercept", "target_std"):
+                assert getattr(w, c) == pytest.approx(getattr(r, c), rel=1e-9, abs=1e-12)
+    scored = ridge.score_models(df.limit(5), ridge.fit_windows(df, sets))
+    assert scored.count() == 5 * 8

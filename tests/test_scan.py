@@ -74,3 +74,15 @@ def test_ranges_follow_the_width_without_a_limit(spark):
     few = spark.range(3).select(F.col("id").alias("v"))
     assert scan.with_ranges(few, ["v"], 50).select(scan.BUCKET).distinct().count() == 3
     assert scan.with_ranges(few.limit(0), ["v"], 50).count() == 0
+
+
+def test_plans_hold_no_edges(spark):
+    """What a plan says does not grow with the number of ranges, and results stay right at 2,000 of them."""
+    df = spark.range(4000).select((F.col("id") * 7919 % 4000).cast("double").alias("v"), F.col("id"), F.lit(1).alias("one"))
+    size = {}
+    for ranges in (4, 2000):
+        cut = scan.with_ranges(df, ["v", "id"], ranges)
+        size[ranges] = len(cut._jdf.queryExecution().optimizedPlan().toString())
+        out = scan.running(cut, {"n": ("sum", "one")}, ["v", "id"])
+        assert out.where(F.col("n") != F.col("v") + 1).count() == 0 and out.count() == 4000
+    assert abs(size[2000] - size[4]) < 10

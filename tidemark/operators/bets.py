@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark import constants as K
 from tidemark.functions import pricing as P
@@ -111,24 +111,35 @@ def simulate_bankroll(slate: DataFrame, *, start: float = 100.0, min_kelly: floa
     """Per-bet history of a chronologically compounded bankroll.
 
     The bankroll after a bet is ``start * prod(1 + kelly * return)`` over the bets
-    so far, so it is a running product, and its peak a running maximum; both run
-    as ranged scans. ``order`` needs a unique tie-break.
+    so far, so it is a running product, and its peak a running maximum; both come
+    from one ranged scan. ``order`` needs a unique tie-break.
     """
-    order = list(order)
-    bets = settled_bets(slate, min_kelly).withColumns({"_growth": 1.0 + F.col("_step"), "_one": F.lit(1)})
-    ranged = scan.with_ranges(bets, [*scenario, *order])
-    grown = scan.running(
-        ranged, {"_b": ("product", "_growth"), "_before": ("product", "_growth"), "_n": ("sum", "_one")},
-        order, scenario, exclusive=["_before"],
-    ).withColumn("bankroll_after", start * F.col("_b"))
-    peaked = scan.running(grown, {"_peak": ("max", "bankroll_after")}, order, scenario)
-    before, peak = start * F.col("_before"), F.greatest(F.col("_peak"), F.lit(float(start)))
-    out = peaked.withColumns({
-        "bet_idx": F.col("_n") - 1, "stake": before * F.col("kelly"), "profit": before * F.col("_step"), "peak": peak,
+    order, scenario = list(order), list(scenario)
+    bets = settled_bets(slate, min_kelly).withColumn("_growth", 1.0 + F.col("_step"))
+    cells = [*scenario, scan.BUCKET]
+    inside = W.partitionBy(*cells).orderBy(*order)
+    upto, before = inside.rowsBetween(W.unboundedPreceding, W.currentRow), inside.rowsBetween(W.unboundedPreceding, -1)
+    local = scan.with_ranges(bets, [*scenario, *order]).withColumns({
+        "_b": F.product("_growth").over(upto), "_before": F.coalesce(F.product("_growth").over(before), F.lit(1.0)), "_n": F.row_number().over(inside)})
+    local = local.withColumns({"_top": F.max("_b").over(upto), "_low": F.min("_b").over(upto)})
+    # One row per range: its growth, and the highest and lowest point on the way, are enough to carry product and peak on.
+    totals = local.groupBy(*cells).agg(F.product("_growth").alias("_g"), F.max("_b").alias("_t"), F.min("_b").alias("_l"), F.count(F.lit(1)).alias("_m"))
+    earlier = W.partitionBy(*scenario).orderBy(scan.BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumns({"_c": F.coalesce(F.product("_g").over(earlier), F.lit(1.0)), "_k": F.coalesce(F.sum("_m").over(earlier), F.lit(0))})
+
+    def highest(top: str, low: str):  # a stake above the bankroll may turn its sign
+        return F.greatest(F.col("_c") * F.col(top), F.col("_c") * F.col(low))
+
+    carries = totals.select(*cells, "_c", "_k", F.max(highest("_t", "_l")).over(earlier).alias("_p"))
+    grown = local.join(carries, cells).withColumn("bankroll_after", start * F.col("_c") * F.col("_b"))
+    before_bet = start * F.col("_c") * F.col("_before")
+    peak = F.greatest(F.lit(float(start)), start * F.col("_p"), start * highest("_top", "_low"))
+    out = grown.withColumns({
+        "bet_idx": F.col("_k") + F.col("_n") - 1, "stake": before_bet * F.col("kelly"), "profit": before_bet * F.col("_step"), "peak": peak,
         "drawdown": F.when(peak > 0, (peak - F.col("bankroll_after")) / peak).otherwise(F.lit(0.0)),
         "ev_at_bet": F.col("recommended_ev"),
     })
-    drop = ["_growth", "_b", "_before", "_n", "_one", "_peak", "_step", "_outcome", scan.BUCKET]
+    drop = ["_growth", "_b", "_before", "_n", "_top", "_low", "_c", "_k", "_p", "_step", "_outcome", scan.BUCKET]
     return out.withColumnRenamed("recommended", "side").drop(*drop)
 
 

@@ -54,15 +54,16 @@ def stack_sides(games: DataFrame) -> DataFrame:
     return two_sides(games, {s: {n: per_side[s][n] for n in shared} for s in per_side}, keep)
 
 
-def fold_sides(long: DataFrame, key: str, columns: Sequence[str], name=None, side: str = "side") -> DataFrame:
+def fold_sides(long: DataFrame, key: str | Sequence[str], columns: Sequence[str], name=None, side: str = "side") -> DataFrame:
     """One row per key with ``<side>_<column>`` for both sides.
 
     Each side travels as one struct, so the aggregate has two buffers rather
     than two per column, and no distinct pass over pivot values is needed.
     """
     name = name or (lambda s, c: f"{s}_{c}")
+    keys = [key] if isinstance(key, str) else list(key)
     packed = F.struct(*columns)
-    folded = long.groupBy(key).agg(*[
+    folded = long.groupBy(*keys).agg(*[
         F.first(F.when(F.col(side) == s, packed), ignorenulls=True).alias(f"_{s}") for s, _ in SIDES
     ])
-    return folded.select(key, *[F.col(f"_{s}.{c}").alias(name(s, c)) for s, _ in SIDES for c in columns])
+    return folded.select(*keys, *[F.col(f"_{s}.{c}").alias(name(s, c)) for s, _ in SIDES for c in columns])

@@ -86,6 +86,100 @@ def fit_many(stacked: DataFrame, feature_sets: dict[str, Sequence[str]], *, targ
     return stacked.sparkSession.createDataFrame(records, MODEL)
 
 
+def window_medians(known: DataFrame, features: Sequence[str], season: str, windows: Sequence[int]) -> dict[int, dict[str, float]]:
+    """Exact medians of the features over every expanding window: all seasons up to and including each of ``windows``.
+
+    Different values are counted per season first; a count then stands in every window that holds its season.
+    """
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    counted = known.select(season, F.explode(pairs).alias("p")).where(F.col("p.value").isNotNull()).groupBy(season, "p.feature", "p.value").agg(
+        F.count(F.lit(1)).alias("n"))
+    ends = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: w >= F.col(season))
+    spread = counted.withColumn("window", F.explode(ends)).select(F.struct("window", "feature").alias("key"), "value", "n")
+    out: dict[int, dict[str, float]] = {w: {} for w in windows}
+    for row in scan.exact_quantiles(spread, [0.5], weight="n").collect():  # windows x features
+        out[row["key"]["window"]][row["key"]["feature"]] = row["q"][0]
+    return out
+
+
+def season_grams(known: DataFrame, features: Sequence[str], target: str, season: str, centre: np.ndarray) -> dict[int, np.ndarray]:
+    """Gram matrices by season over ``[1, (x - centre) or 0, missing, y]``: whatever a window imputes follows from them."""
+    columns = [season, *features, target]
+    size = 2 * len(features) + 2
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = batch[list(features)].to_numpy(dtype=float) - centre
+            missing = np.isnan(x)
+            z = np.column_stack([np.ones(len(batch)), np.where(missing, 0.0, x), missing, batch[target].to_numpy(dtype=float)])
+            years = batch[season].to_numpy()
+            for year in np.unique(years).tolist():
+                own = z[years == year]
+                total[year] = total.get(year, 0.0) + own.T @ own
+        i, j = (a.ravel() for a in np.indices((size, size)))
+        for year, g in total.items():
+            yield pd.DataFrame({"season": year, "i": i, "j": j, "v": g.ravel()})
+
+    rows = known.select(F.col(season).cast("int").alias(season), *[F.col(c).cast("double").alias(c) for c in columns[1:]])
+    cells = rows.mapInPandas(reduce, "season int, i int, j int, v double").groupBy("season", "i", "j").agg(F.sum("v").alias("v"))
+    out: dict[int, np.ndarray] = {}
+    for row in cells.collect():  # seasons x (2 p + 2)^2 cells
+        out.setdefault(row["season"], np.zeros((size, size)))[row["i"], row["j"]] = row["v"]
+    return out
+
+
+def fit_windows(stacked: DataFrame, feature_sets: dict[str, Sequence[str]], *, season: str = "season_year", target: str = "runs",
+                windows: Sequence[int] | None = None, alpha: float = K.RIDGE_ALPHA) -> DataFrame:
+    """Parameter tables (``through`` and the columns of a model) of every feature set on every expanding window of seasons.
+
+    The rows are read once for the medians and once for Gram matrices keyed by season; a window's matrix is a prefix sum
+    of them, and each set is solved from its part of it. Rows without the target or season take no part.
+    """
+    union = list(dict.fromkeys(f for s in feature_sets.values() for f in s))
+    known = stacked.where(F.col(target).isNotNull() & F.col(season).isNotNull())
+    if windows is None:
+        windows = sorted(r[0] for r in known.select(F.col(season).cast("int")).distinct().collect())  # one row for each season
+    medians = window_medians(known, union, season, windows)
+    widest = medians[max(windows)]
+    centre = np.array([widest.get(f) or 0.0 for f in union])
+    grams = season_grams(known, union, target, season, centre)
+    p = len(union)
+    records = []
+    for through in windows:
+        parts = [g for year, g in grams.items() if year <= through]
+        if not parts:
+            continue
+        impute = {f: medians[through].get(f) for f in union}
+        t = np.zeros((2 * p + 2, p + 2))  # from the keyed columns to [1, x - centre, y], missing ones imputed
+        t[0, 0] = t[-1, -1] = 1.0
+        for k, f in enumerate(union):
+            t[1 + k, 1 + k] = 1.0
+            t[1 + p + k, 1 + k] = (impute[f] if impute[f] is not None else centre[k]) - centre[k]
+        g = t.T @ sum(parts) @ t
+        for name, chosen in feature_sets.items():
+            fit = solve(g, np.append(centre, 0.0), union, chosen, alpha)
+            records += [(through, name, f, i, impute[f], float(fit["mean"][i]), float(fit["scale"][i]), float(fit["coef"][i]), fit["intercept"],
+                         fit["n"], fit["target_mean"], fit["target_std"]) for i, f in enumerate(chosen)]
+    return stacked.sparkSession.createDataFrame(records, "through int, " + MODEL)
+
+
+def score_models(stacked: DataFrame, models: DataFrame, out: str = "runs_pred") -> DataFrame:
+    """Every row under every model of ``fit_windows``: one projection, one explode (``through``, ``feature_set``, ``train_n``, ``n_feat``)."""
+    by_model: dict[tuple, list] = {}
+    for r in sorted(models.collect(), key=lambda r: (r["through"], r["feature_set"], r["position"])):
+        by_model.setdefault((r["through"], r["feature_set"]), []).append(r)
+    scored = []
+    for (through, name), params in by_model.items():
+        total = F.lit(params[0]["intercept"])
+        for r in params:
+            x = F.coalesce(F.col(r["feature"]).cast("double"), F.lit(r["impute"]).cast("double"))
+            total = total + (x - F.lit(r["mean"])) / F.lit(r["scale"]) * F.lit(r["coef"])
+        scored.append(F.struct(F.lit(through).alias("through"), F.lit(name).alias("feature_set"), F.lit(len(params)).alias("n_feat"),
+                               F.lit(params[0]["train_n"]).alias("train_n"), total.alias(out)))
+    return stacked.withColumn("_m", F.explode(F.array(*scored))).select("*", "_m.*").drop("_m")
+
+
 def fit_ridge(stacked: DataFrame, features: Sequence[str] = K.FEATURES_DEFAULT, **options) -> DataFrame:
     return fit_many(stacked, {"model": features}, **options)
 

@@ -2,20 +2,19 @@
 
 Rows are cut into contiguous ranges of their total order. Each range is reduced
 on its own, the (few) range totals are scanned, and the carry is added back
-inside each range. Range edges come from a small random sample: they decide only
-where the cuts fall, never what the result is.
+inside each range. Spark's range partitioning draws the edges from a sample: they
+decide only where the cuts fall, never what the result is. A range is the partition
+a row was written from, so no plan holds an edge.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.session import stage
 
-_SAMPLE_PER_RANGE = 16
 BUCKET = "_range"
 
 
@@ -25,35 +24,14 @@ def _range_count(df: DataFrame) -> int:
     return max(2, width, spark.sparkContext.defaultParallelism)
 
 
-def _literal(row, fields) -> Column:
-    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-
-
 def with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Add ``_range``: a number that never decreases along ``order`` (ascending).
+    """Add ``_range``: a number that never decreases along ``order`` (ascending, nulls first).
 
-    The frame is staged first, so that its plan runs once. There are as many ranges as shuffle partitions, fewer only
-    where there are fewer rows to cut at.
+    There are as many ranges as shuffle partitions, fewer only where there are fewer different keys; equal keys share a range. The
+    result is staged with the number of the partition in it, so it is read again as it was cut.
     """
-    df = stage(df, "ranged")
-    ranges = ranges or _range_count(df)
-    keyed = df.select(*order)
-    total = df.count()
-    share = min(1.0, ranges * _SAMPLE_PER_RANGE / max(total, 1))
-    sample = (keyed if share == 1.0 else keyed.sample(share, seed=11)).collect()
-    if not sample:
-        return df.withColumn(BUCKET, F.lit(0))
-    fields = keyed.schema.fields
-    ordered = sorted(sample, key=lambda r: tuple((r[f.name] is not None, r[f.name]) for f in fields))
-    edges = [ordered[i * len(ordered) // ranges] for i in range(1, ranges)] if ranges > 1 else ordered[:1]
-    key = F.struct(*[F.col(c).alias(c) for c in order])
-    fan = math.isqrt(len(edges) - 1) + 1
-    blocks = [edges[i:i + fan] for i in range(0, len(edges), fan)]
-    # Two short look-ups instead of one long one: block first, then edge in block.
-    heads = F.array(*[_literal(b[0], fields) for b in blocks])
-    block = F.greatest(F.size(F.filter(heads, lambda e: e <= key)) - 1, F.lit(0))
-    inside = F.get(F.array(*[F.array(*[_literal(e, fields) for e in b]) for b in blocks]), block)
-    return df.withColumn(BUCKET, block * fan + F.size(F.filter(inside, lambda e: e <= key)))
+    cut = df.repartitionByRange(ranges or _range_count(df), *order)
+    return stage(cut.withColumn(BUCKET, F.spark_partition_id()), "ranged")
 
 
 _REDUCE = {"sum": F.sum, "product": F.product, "max": F.max}
@@ -95,8 +73,9 @@ def running(ranged: DataFrame, specs: dict[str, tuple[str, str]], order: Sequenc
     return out.drop(*[f"_{p}_{o}" for p in "lc" for o in specs])
 
 
-def exact_quantiles(long: DataFrame, probabilities: Sequence[float], *, key: str = "key", value: str = "value") -> DataFrame:
-    """Interpolated quantiles per key: one row per key with an array column ``q``.
+def exact_quantiles(long: DataFrame, probabilities: Sequence[float], *, key: str = "key", value: str = "value",
+                    weight: str | None = None) -> DataFrame:
+    """Interpolated quantiles per key: one row per key with an array column ``q``; a row stands for ``weight`` equal ones.
 
     Equal values are counted first, then ranked by a ranged scan, so neither a
     continuous column nor a dominant key is gathered in one place.
@@ -104,7 +83,7 @@ def exact_quantiles(long: DataFrame, probabilities: Sequence[float], *, key: str
     counted = (
         long.where(F.col(value).isNotNull())
         .groupBy(F.col(key).alias("_key"), F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     )
     placed = running(
         with_ranges(counted, ["_key", "_value"]), {"_upto": ("sum", "_n")}, ["_value"], ["_key"], totals={"_size": "_upto"},

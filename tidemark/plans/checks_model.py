@@ -148,15 +148,43 @@ def platt_moments(spark, d):
                    rnd(F.avg(F.col("p_home") * F.col("p_calibrated")), 6).alias("mean_p_calibrated"))
 
 
-@query("isotonic", f"""
-    WITH s AS (SELECT round(p_home * 20) / 20 AS p, sum(home_win) AS y, count(*) AS w FROM ({_LABELLED}) GROUP BY 1),
-      blocks AS (SELECT a.p AS lo, b.p AS hi, sum(c.y) / sum(c.w) AS v FROM s a JOIN s b ON a.p <= b.p JOIN s c ON c.p BETWEEN a.p AND b.p GROUP BY 1, 2),
-      floors AS (SELECT s.p, lo, min(v) AS v FROM s JOIN blocks ON lo <= s.p AND hi >= s.p GROUP BY 1, 2)
-    SELECT round(p, 4) + 0.0 AS p, round(least(greatest(max(v), 1e-9), 1 - 1e-9), 7) + 0.0 AS p_calibrated FROM floors GROUP BY p""")
+# The normal equations of the likelihood, twelve Newton steps from zero.
+_PLATT = f"""WITH RECURSIVE d AS (SELECT p_home AS p, home_win AS y, count(*) AS w FROM ({_LABELLED}) GROUP BY 1, 2),
+    steps AS (SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+      SELECT k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+      FROM (SELECT k, a, b, sum(w * (q - y) * p) AS ga, sum(w * (q - y)) AS gb, sum(w * q * (1 - q) * p * p) AS haa, sum(w * q * (1 - q) * p) AS hab, sum(w * q * (1 - q)) AS hbb
+        FROM (SELECT k, a, b, p, y, w, 1 / (1 + exp(-(a * p + b))) AS q FROM steps, d WHERE k < 12) GROUP BY k, a, b))"""
+
+
+@query("platt_parameters", _PLATT + """
+    SELECT round(a, 6) + 0.0 AS slope, round(b, 6) + 0.0 AS intercept, round(-a, 6) + 0.0 AS "A", round(-b, 6) + 0.0 AS "B", t.n AS train_n, round(t.p, 9) + 0.0 AS train_p_mean, round(t.y, 9) + 0.0 AS train_y_rate
+    FROM steps, (SELECT CAST(sum(w) AS BIGINT) AS n, sum(w * p) / sum(w) AS p, sum(w * y) / sum(w) AS y FROM d) t WHERE k = 12""")
+def platt_parameters(spark, d):
+    fit = calibrate.fit_platt(_labelled(spark, d), "p_home", "home_win")
+    return fit.select(*[rnd(c, 6).alias(c) for c in ("slope", "intercept", "A", "B")], "train_n", *[rnd(c).alias(c) for c in ("train_p_mean", "train_y_rate")])
+
+
+_SHIFT = 0.00003
+# The fit is the slope of the lower hull of (weight so far, wins so far): a point is a corner if every slope before it is below every one after it.
+_HULL = f"""WITH s AS (SELECT round(p_home + (o_orderkey % 97) * 1e-4::DOUBLE, 6) AS p, sum(home_win)::BIGINT AS y, count(*) AS w FROM ({_LABELLED}) GROUP BY 1),
+    c AS (SELECT p, row_number() OVER o AS k, (sum(w) OVER o)::BIGINT AS w, (sum(y) OVER o)::BIGINT AS y FROM s WINDOW o AS (ORDER BY p) UNION ALL SELECT NULL, 0, 0, 0),
+    corner AS (SELECT a.k, a.p, a.w, a.y FROM c a JOIN c b ON a.k <> b.k GROUP BY ALL
+      HAVING coalesce(max((a.y - b.y) / (a.w - b.w)::DOUBLE) FILTER (WHERE b.k < a.k), -1) < coalesce(min((a.y - b.y) / (a.w - b.w)::DOUBLE) FILTER (WHERE b.k > a.k), 9)),
+    spans AS (SELECT lag(k) OVER (ORDER BY k) AS before, k, p AS high, (y - lag(y) OVER (ORDER BY k)) / (w - lag(w) OVER (ORDER BY k))::DOUBLE AS v FROM corner),
+    blocks AS (SELECT c.p AS low, high, v, lead(c.p) OVER (ORDER BY spans.k) AS next_low, lead(v) OVER (ORDER BY spans.k) AS next_v FROM spans JOIN c ON c.k = before + 1)"""
+
+
+@query("isotonic", _HULL + f"""
+    SELECT round(s.p, 6) + 0.0 AS p, round(least(greatest(a.v, 1e-9), 1 - 1e-9), 7) + 0.0 AS p_calibrated,
+      round(least(greatest(CASE WHEN s.p + {_SHIFT} <= b.high OR b.next_low IS NULL THEN b.v ELSE b.v + (s.p + {_SHIFT} - b.high) / (b.next_low - b.high) * (b.next_v - b.v) END, 1e-9), 1 - 1e-9), 7) + 0.0 AS between_calibrated
+    FROM s ASOF JOIN blocks a ON s.p >= a.low ASOF JOIN blocks b ON s.p + {_SHIFT} >= b.low""")
 def isotonic(spark, d):
-    df = _labelled(spark, d).withColumn("p", F.round(F.col("p_home") * 20) / 20)
-    out = calibrate.apply_isotonic(df, calibrate.fit_isotonic(df, "p", "home_win"), "p")
-    return out.groupBy(rnd("p", 4).alias("p")).agg(rnd(F.max("p_calibrated"), 7).alias("p_calibrated"))
+    """Thousands of different scores, asked for themselves and for places between them."""
+    df = _labelled(spark, d).withColumn("p", F.round(F.col("p_home") + (F.col("o_orderkey") % 97) * F.lit(1e-4), 6))
+    fit = stage(calibrate.fit_isotonic(df, "p", "home_win"), "isotonic-fit")
+    asked = df.select("p", (F.col("p") + _SHIFT).alias("between")).distinct()
+    out = calibrate.apply_isotonic(calibrate.apply_isotonic(asked, fit, "p"), fit, "between", "between_calibrated")
+    return out.select(rnd("p", 6).alias("p"), rnd("p_calibrated", 7).alias("p_calibrated"), rnd("between_calibrated", 7).alias("between_calibrated"))
 
 
 # --- games with simple features, through the model to a priced slate ---------------------
@@ -274,6 +302,83 @@ def ablation(spark, d):
     return out.select("split", "feature_set", big("n_feat").alias("n_feat"), big("train_n").alias("train_n"), "n", *[rnd(c, 6).alias(c) for c in ("mae", "accuracy", "log_loss", "brier", "mean_p_home", "home_win_rate")])
 
 
+_FORMULAS = {
+    "off_xwOBA": "0.28 + (own % 13) / 200.0 + y / 300.0", "off_Barrel_pct": "0.05 + (game_id % 17) / 400.0", "off_HR_pct": "0.02 + (own % 7) / 300.0",
+    "off_BB_pct": "CASE WHEN game_id % 11 <> 0 THEN 0.07 + (own % 5) / 200.0 END", "opp_sp_SIERA": "3.2 + (y % 5) / 4.0",
+    "opp_sp_xwOBA": "0.29 + (game_id % 23) / 500.0", "opp_sp_Barrel_pct": "0.06 + (opp % 9) / 400.0", "is_home": "CASE WHEN side = 'home' THEN 1 ELSE 0 END"}
+_SETS = {"pair": PAIR, "baseline": K.FEATURES_BASELINE}
+
+
+def _fit_residuals(stacked, models):
+    """``sum(z (y - fitted)) - alpha w`` per feature and game row: zero for the minimiser of the ridge loss and for nothing else."""
+    union = list(dict.fromkeys(f for s in _SETS.values() for f in s))
+    scored = ridge.score_models(stacked, models).where(F.col("season_year") <= F.col("through"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in union])
+    keys = ["through", "feature_set", "feature"]
+    long = scored.select("through", "feature_set", (F.col("runs") - F.col("runs_pred")).alias("miss"), F.explode(pairs).alias("f")).select("*", "f.*")
+    met = long.join(models, keys)
+    z = (F.coalesce("x", "impute") - F.col("mean")) / F.col("scale")
+    return met.groupBy(*keys).agg(((F.sum(z * F.col("miss")) - K.RIDGE_ALPHA * F.first("coef")) / F.count(F.lit(1))).alias("residual"))
+
+
+@query("window_models", B.with_ctes(
+    """SELECT through, feature_set, feature, n AS train_n, round(m, 6) + 0.0 AS impute, round(u, 8) + 0.0 AS mean, round(s, 8) + 0.0 AS scale, 0.0::DOUBLE AS residual
+    FROM (SELECT through, feature, any_value(m) AS m, count(*) AS n, avg(coalesce(x, m)) AS u, stddev_pop(coalesce(x, m)) AS s FROM filled GROUP BY 1, 2) JOIN sets USING (feature)""",
+    "d_games", extra={
+        "halves": """SELECT game_id, season_year, 'home' AS side, home_id AS own, away_id AS opp, home_score AS y FROM d_games
+          UNION ALL SELECT game_id, season_year, 'away', away_id, home_id, away_score FROM d_games""",
+        "long": " UNION ALL ".join(f"SELECT season_year, '{f}' AS feature, CAST({e} AS DOUBLE) AS x FROM halves" for f, e in _FORMULAS.items()),
+        "sets": " UNION ALL ".join(f"SELECT '{s}' AS feature_set, '{f}' AS feature" for s, fs in _SETS.items() for f in fs),
+        "seen": "SELECT t.season_year AS through, feature, x FROM (SELECT DISTINCT season_year FROM d_games) t JOIN long ON long.season_year <= t.season_year",
+        "filled": "SELECT *, median(x) OVER (PARTITION BY through, feature) AS m FROM seen"}))
+def window_models(spark, d):
+    """The production baseline and a small set, fitted on every expanding window; each fit is checked by its normal equations on the rows."""
+    stacked = stage(reshape.stack_sides(featured_games(spark, d)), "stacked")
+    models = ridge.fit_windows(stacked, _SETS)
+    out = models.join(_fit_residuals(stacked, models), ["through", "feature_set", "feature"])
+    return out.select("through", "feature_set", "feature", "train_n", *[rnd(c, n).alias(c) for c, n in (("impute", 6), ("mean", 8), ("scale", 8), ("residual", 6))])
+
+
+@query("runs_model", B.with_ctes(
+    """SELECT feature, count(*) AS train_n, round(any_value(m), 6) + 0.0 AS impute, round(avg(coalesce(x, m)), 8) + 0.0 AS mean, round(stddev_pop(coalesce(x, m)), 8) + 0.0 AS scale, 0.0::DOUBLE AS residual
+    FROM (SELECT feature, x, median(x) OVER (PARTITION BY feature) AS m FROM long) GROUP BY 1""", "d_games", extra={
+        "halves": """SELECT game_id, 'home' AS side, home_id AS own, away_id AS opp, home_score AS y FROM d_games UNION ALL SELECT game_id, 'away', away_id, home_id, away_score FROM d_games""",
+        "long": " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({_FORMULAS[f]} AS DOUBLE) AS x FROM halves" for f in K.FEATURES_BASELINE)}))
+def runs_model(spark, d):
+    """The production baseline fitted on both sides of all games, checked by its normal equations."""
+    games = stage(featured_games(spark, d), "games")
+    model = ridge.train_runs_model(games, K.FEATURES_BASELINE)
+    last = games.agg(F.max("season_year")).first()[0]
+    as_window = model.drop("feature_set").withColumns({"through": F.lit(last).cast("int"), "feature_set": F.lit("baseline")})
+    residuals = _fit_residuals(reshape.stack_sides(games), as_window)
+    out = as_window.join(residuals, ["through", "feature_set", "feature"])
+    return out.select("feature", "train_n", *[rnd(c, n).alias(c) for c, n in (("impute", 6), ("mean", 8), ("scale", 8), ("residual", 6))])
+
+
+@query("expanding_ablation", B.with_ctes(
+    """SELECT through, feature_set, CAST(CASE feature_set WHEN 'pair' THEN 2 ELSE 1 END AS BIGINT) AS n_feat, CAST(any_value(fit_n) AS BIGINT) AS train_n, count(*) AS n,
+      round(avg(abs(h - hs)) / 2 + avg(abs(a - aws)) / 2, 6) + 0.0 AS mae, round(avg(((p > 0.5) = (hs > aws))::INT), 6) + 0.0 AS accuracy,
+      round(avg(-ln(CASE WHEN hs > aws THEN p ELSE 1 - p END)), 6) + 0.0 AS log_loss, round(avg(pow(p - (hs > aws)::INT, 2)), 6) + 0.0 AS brier,
+      round(avg(p), 6) + 0.0 AS mean_p_home, round(avg((hs > aws)::INT), 6) + 0.0 AS home_win_rate
+    FROM scored GROUP BY 1, 2""", "d_games", extra={
+        "all_sides": _STACKED, "last": "SELECT max(season_year) AS top FROM d_games",
+        "stacked": """SELECT t.season_year, y, x1, x2 FROM (SELECT DISTINCT season_year FROM d_games) t JOIN all_sides s ON s.season_year <= t.season_year""",
+        "fits": _FITS,
+        "sides": f"""SELECT f.season_year AS through, m.feature_set, f.n AS fit_n, game_id, side, y, yb + CASE m.feature_set WHEN 'pair' THEN (x1 - u1) / s1 * w1 + (x2 - u2) / s2 * w2
+            ELSE (x2 - u2) / s2 * n * b2 / (n + 1) END + CASE WHEN side = 'home' THEN {K.HOME_RUNS_BONUS} ELSE 0 END AS pred
+          FROM all_sides s JOIN last ON s.season_year = top JOIN fits f ON f.season_year < top, (SELECT unnest(['pair', 'single']) AS feature_set) m""",
+        "folded": """SELECT through, feature_set, fit_n, game_id, max(y) FILTER (WHERE side = 'home') AS hs, max(y) FILTER (WHERE side = 'away') AS aws,
+          max(pred) FILTER (WHERE side = 'home') AS h, max(pred) FILTER (WHERE side = 'away') AS a FROM sides GROUP BY 1, 2, 3, 4""",
+        "scored": f"SELECT *, {_win('h', 'a')} AS p FROM folded"}))
+def expanding_ablation(spark, d):
+    """Two feature sets on every expanding window before the last season, scored on that season; one pass for all fits."""
+    games = stage(featured_games(spark, d), "games")
+    last = games.agg(F.max("season_year")).first()[0]
+    out = SL.expanding_ablation(games.where(F.col("season_year") < last), games.where(F.col("season_year") == last), {"pair": PAIR, "single": PAIR[1:]})
+    return out.select("through", "feature_set", big("n_feat").alias("n_feat"), big("train_n").alias("train_n"), "n",
+                      *[rnd(c, 6).alias(c) for c in ("mae", "accuracy", "log_loss", "brier", "mean_p_home", "home_win_rate")])
+
+
 @query("coefficient_table", f"""WITH {_DESIGN}
     SELECT feature, round(coef, 6) + 0.0 AS coef_std, row_number() OVER (ORDER BY abs(coef) DESC, feature) AS place FROM (
       SELECT 'x1' AS feature, w1 AS coef FROM w UNION ALL SELECT 'x2', w2 FROM w)""")

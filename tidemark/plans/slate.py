@@ -93,3 +93,20 @@ def ablation(train: dict[str, DataFrame], holdout: DataFrame, feature_sets: dict
     mae = every.groupBy(*keys).agg(
         ((F.avg(F.abs(F.col("home_runs_pred") - F.col("home_runs"))) + F.avg(F.abs(F.col("away_runs_pred") - F.col("away_runs")))) / 2).alias("mae"))
     return evaluate.classification_metrics(every, "home_win", "p_home", keys).join(mae, keys)
+
+
+def expanding_ablation(games: DataFrame, holdout: DataFrame, feature_sets: dict[str, Sequence[str]], *, season: str = "season_year",
+                       windows: Sequence[int] | None = None, alpha: float = K.RIDGE_ALPHA, home_bonus: float = K.HOME_RUNS_BONUS) -> DataFrame:
+    """One metric row per (expanding window of seasons, feature set), all scored on one holdout.
+
+    All models come from one pass of keyed Gram matrices; the holdout is read once and scored by all of them in one plan.
+    """
+    models = ridge.fit_windows(reshape.stack_sides(games), feature_sets, season=season, windows=windows, alpha=alpha)
+    keys = ["through", "feature_set", "n_feat", "train_n"]
+    scored = ridge.score_models(reshape.stack_sides(holdout), models)
+    wide = reshape.fold_sides(scored, ["game_id", *keys], ["runs", "runs_pred"])
+    h, a = F.col("home_runs_pred") + home_bonus, F.col("away_runs_pred")
+    known = wide.where(F.col("home_runs").isNotNull() & F.col("away_runs").isNotNull()).withColumns({
+        "home_win": (F.col("home_runs") > F.col("away_runs")).cast("int"), "p_home": pythag(h, a),
+        "miss": (F.abs(h - F.col("home_runs")) + F.abs(a - F.col("away_runs"))) / 2})
+    return evaluate.classification_metrics(known, "home_win", "p_home", keys).join(known.groupBy(*keys).agg(F.avg("miss").alias("mae")), keys)
