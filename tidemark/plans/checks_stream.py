@@ -24,14 +24,14 @@ def _restage(spark, df: DataFrame, label: str) -> DataFrame:
 
 
 STEPS = 4
-_FILES = 2
 
 
 def _steps(spark, df: DataFrame, ts: str, label: str, closing: DataFrame | None = None) -> DataFrame:
     """Write a derived table in steps of event time and stream it step by step; ``closing`` rows come last.
 
-    The borders are quantiles of ``ts``; each step is one micro-batch.
+    The borders are quantiles of ``ts``; each step is one micro-batch of as many files as there are shuffle partitions.
     """
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = stage(df, label)
     seconds = F.unix_micros(ts) / 1e6
     borders = df.select(seconds.alias("s")).approxQuantile("s", [i / STEPS for i in range(1, STEPS)], 0.01)
@@ -39,8 +39,8 @@ def _steps(spark, df: DataFrame, ts: str, label: str, closing: DataFrame | None
     path = scratch_path(spark, label)
     parts = [df.where(step == i) for i in range(STEPS)] + ([closing] if closing is not None else [])
     for part in parts:  # the files of a step are newer than those before
-        part.select(*df.columns).repartition(_FILES).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+        part.select(*df.columns).repartition(width).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(path)
 
 
 def _closed_events(spark, d) -> DataFrame:
