@@ -1,15 +1,17 @@
 import datetime as dt
+import glob
 import json
 import os
+import random
 import tempfile
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidemark.operators import odds
+from tidemark.operators import ledger, odds
 from tidemark.schemas import EVENTS, LEDGER, align, parse
-from tidemark.sources import documents as D, tables as T
+from tidemark.sources import documents as D, ledgerstore as L, tables as T
 from tidemark.streaming import jobs
 
 
@@ -125,12 +127,53 @@ def test_append_dedupe(spark):
 
 def test_ledger_versions(spark, root):
     where = os.path.join(root, "ledger")
-    assert T.read_ledger(spark, where).count() == 0
-    T.write_ledger(spark.createDataFrame([(1, None)], "game_id long, risk_units double"), where, 0)
-    T.write_ledger(spark.createDataFrame([(1, 1.5), (2, None)], "game_id long, risk_units double"), where, 1)
-    got = T.read_ledger(spark, where)
+    assert L.read_ledger(spark, where).count() == 0
+    L.write_ledger(spark.createDataFrame([(1, None)], "game_id long, risk_units double"), where)
+    L.write_ledger(spark.createDataFrame([(1, 1.5), (2, None)], "game_id long, risk_units double"), where)
+    got = L.read_ledger(spark, where)
     assert got.columns == parse(LEDGER).names
     assert {r.game_id: r.risk_units for r in got.collect()} == {1: 1.5, 2: 1.0}
+    assert {r.game_id: r.risk_units for r in L.read_ledger(spark, where, 0).collect()} == {1: 1.0}
+
+
+def _slate(spark, rows):
+    df = spark.createDataFrame(rows, "game_id long, game_date date, commence_time timestamp, recommended string, snapshot_ts timestamp, odds double")
+    return df.withColumns({n: F.lit(v) for n, v in (
+        ("home_id", 1), ("away_id", 2), ("home_name", "H"), ("away_name", "A"), ("p_home", 0.5), ("away_price_american", -130.0), ("home_decimal", 2.1), ("away_decimal", 1.77),
+        ("home_fair_p", 0.47), ("away_fair_p", 0.53), ("edge_home", 0.03), ("edge_away", -0.03), ("recommended_ev", 0.05), ("recommended_kelly", 0.005),
+        ("recommended_kelly_pre_daily", 0.005), ("risk_ref_kelly", 0.005), ("risk_units", 1.0))}).withColumnRenamed("odds", "home_price_american")
+
+
+def test_merges_touch_the_months_of_their_batch(spark, root):
+    """Every merge equals the merge of the whole ledger, and folders of other months stay as they are."""
+    where, day, now = f"{root}/ledger", dt.date(2024, 1, 1), "2023-01-01 00:00:00"
+    whole = L.read_ledger(spark, where)
+    rng = random.Random(3)
+    before = {}
+    for step in range(4):
+        rows = []
+        for _ in range(12):
+            game = rng.randint(0, 30)
+            when = day + dt.timedelta(days=45 * step + rng.randint(0, 20) + (5 if game % 7 == 0 else 0))  # some games move to another date
+            rows.append((game, when, dt.datetime(2024, 12, 1), rng.choice(["home", "away", ""]), dt.datetime(2023, 1, 1, step), float(rng.randint(100, 200))))
+        batch = _slate(spark, rows)
+        assert L.merge_slate(batch, where, now, f"job#{step}") == step
+        assert L.merge_slate(batch, where, now, f"job#{step}") is None  # a retry
+        whole = spark.createDataFrame(ledger.merge_recommendations(whole, batch, now).drop("action").collect(), parse(LEDGER))
+        got = L.read_ledger(spark, where)
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))  # every column
+        months = L.read_manifest(spark, where)["months"]
+        assert sum(m["rows"] for m in months.values()) == whole.count()
+        before = months
+    far = _slate(spark, [(900, dt.date(2030, 1, 1), dt.datetime(2030, 1, 2), "home", dt.datetime(2029, 1, 1), 100.0)])
+    L.merge_slate(far, where, now, "job#far")
+    after = L.read_manifest(spark, where)["months"]
+    assert {m: e for m, e in after.items() if m != "2030-01"} == before and after["2030-01"]["rows"] == 1
+    assert L.expire(spark, where, keep=1) > 0 and L.versions(spark, where) == [4]
+    assert L.read_ledger(spark, where).count() == whole.count() + 1
+    assert L.merge_slate(_slate(spark, [(901, None, None, "", None, None)]), where, now, "job#none") == 5  # nothing recommended
+    assert L.merge_slate(_slate(spark, [(902, None, None, "home", None, None)]), where, now, "job#undated") == 6
+    assert L.read_manifest(spark, where)["months"]["none"]["rows"] == 1
 
 
 def test_saved_snapshots(spark, root):
@@ -229,7 +272,7 @@ def test_ledger_goes_on_after_a_new_checkpoint(spark, root):
     batch(1, "a")
     batch(2, "a")
     batch(3, "b")  # as after a restart that lost its checkpoint
-    assert {r.game_id for r in T.read_ledger(spark, f"{root}/ledger").collect()} == {1, 2, 3}
+    assert {r.game_id for r in L.read_ledger(spark, f"{root}/ledger").collect()} == {1, 2, 3}
 
 
 def test_no_odds_of_a_range_are_no_rows(spark, root):
@@ -237,7 +280,8 @@ def test_no_odds_of_a_range_are_no_rows(spark, root):
 
 
 def test_a_ledger_that_cannot_be_read_is_an_error(spark, root):
-    os.makedirs(f"{root}/ledger/version=0")
-    open(f"{root}/ledger/version=0/part-0.parquet", "w").write("not parquet")
+    L.write_ledger(spark.createDataFrame([(1, None)], "game_id long, risk_units double"), f"{root}/ledger")
+    for part in glob.glob(f"{root}/ledger/data/*/*/*.parquet"):
+        open(part, "w").write("not parquet")
     with pytest.raises(Exception):
-        T.read_ledger(spark, f"{root}/ledger").count()
+        L.read_ledger(spark, f"{root}/ledger").agg({"risk_units": "sum"}).collect()

@@ -130,7 +130,7 @@ def stream_ledger_upsert(spark, d):
         *[F.lit(v).alias(n) for n, v in (("away_price_american", -130.0), ("home_decimal", 2.1), ("away_decimal", 1.77),
           ("home_fair_p", 0.47), ("away_fair_p", 0.53), ("edge_home", 0.03), ("edge_away", -0.03), ("recommended_ev", 0.05), ("recommended_kelly", 0.005),
           ("recommended_kelly_pre_daily", 0.005), ("risk_ref_kelly", 0.005), ("risk_units", 1.0))])
-    from tidemark.sources.tables import read_ledger
+    from tidemark.sources.ledgerstore import read_ledger
 
     root, o = scratch_path(spark, "ledger-versions"), stage(o, "slates")
     middle = F.lit(o.agg(F.expr("percentile_approx(snapshot_ts, 0.5)")).first()[0])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import constants as K
 from tidemark.operators import rows
-from tidemark.schemas import EVENTS, LEDGER, OAA, PARK_FACTORS, align, parse
+from tidemark.schemas import EVENTS, OAA, PARK_FACTORS, align, parse
 
 
 def read_events(spark: SparkSession, root: str, years: Sequence[int]) -> DataFrame:
@@ -77,32 +77,6 @@ def append_dedupe(existing: DataFrame, fresh: DataFrame, keys: Sequence[str] = K
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
-def write_ledger(df: DataFrame, root: str, version: int, writer: str = "") -> str:
-    """Write a ledger version; earlier versions stay readable. ``writer`` says who wrote it, for retries."""
-    path = f"{root.rstrip('/')}/version={int(version)}"
-    align(df, LEDGER).withColumns({"risk_units": F.coalesce("risk_units", F.lit(1.0)), "written_by": F.lit(writer)}).write.mode("overwrite").parquet(path)
-    return path
-
-
-def folder_exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def ledger_versions(spark: SparkSession, root: str) -> DataFrame | None:
-    """All stored versions with their numbers; None if there is no ledger. A ledger that cannot be read is an error."""
-    return spark.read.option("basePath", root).parquet(root) if folder_exists(spark, root) else None
-
-
-def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """Latest ledger version with defaults filled; an empty ledger when none exists."""
-    versions = ledger_versions(spark, root)
-    if versions is None:
-        return spark.createDataFrame([], parse(LEDGER))
-    latest = versions.where(F.col("version") == versions.agg(F.max("version")).scalar())
-    return align(latest, LEDGER).withColumn("risk_units", F.coalesce("risk_units", F.lit(1.0)))
-
-
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Small report sink in Parquet or CSV."""
     writer = df.write.mode("overwrite")

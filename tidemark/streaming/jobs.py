@@ -149,24 +149,15 @@ def stream_daily_counts(events: DataFrame, keys: Sequence[str], ts: str, aggrega
 
 
 def stream_ledger_upsert(slates: DataFrame, root: str, checkpoint: str, now: Callable[[], str]):
-    """Merge every micro-batch of recommendations into the next ledger version.
+    """Merge every micro-batch of recommendations into the next version of a stored ledger (``ledgerstore``).
 
-    A version is one more than the largest stored one, whatever the batch number, so a job that starts anew goes on from the
-    stored ledger. Each version names the job and batch that wrote it; a retried batch that is stored already is left alone.
+    A version is one more than the newest one, whatever the batch number, so a job that starts anew goes on from the stored
+    ledger. Each version names the job and batch that wrote it; a retried batch that is stored already is left alone.
     """
-    from tidemark.sources.tables import ledger_versions, read_ledger, write_ledger
+    from tidemark.sources.ledgerstore import merge_slate
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        writer = f"{checkpoint}#{batch_id}"
-        stored, version = ledger_versions(spark, root), 0
-        if stored is not None:
-            newest = stored.agg(F.max("version").alias("top"), F.count_if(F.col("written_by") == writer).alias("own")).first()
-            if newest["own"]:
-                return
-            version = (-1 if newest["top"] is None else newest["top"]) + 1
-        merged = ledger.merge_recommendations(read_ledger(spark, root), batch, now()).drop("action")
-        write_ledger(merged, root, version, writer)
+        merge_slate(batch, root, now(), f"{checkpoint}#{batch_id}")
 
     return slates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
