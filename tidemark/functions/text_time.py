@@ -35,6 +35,19 @@ def first_of(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))
 
 
+def has_any(array: Column) -> Column:
+    """Whether a list has an element; a missing one has none."""
+    return F.coalesce(F.size(array) > 0, F.lit(False))
+
+
+def holds(array: Column, value: Column) -> Column:
+    return F.coalesce(F.array_contains(array, value), F.lit(False))
+
+
+def first_n(array: Column, n: int) -> Column:
+    return F.slice(array, 1, n)
+
+
 def attempts_from_rates(oaa: Column, rate_text: Column) -> Column:
     """Attempts implied by a rounded success-rate difference; NULL when either is zero."""
     oaa, rate = oaa.try_cast("double"), percent(rate_text)

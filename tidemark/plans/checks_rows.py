@@ -319,3 +319,18 @@ def correlation(spark, d):
 def histogram(spark, d):
     g = B.games(spark, d).withColumn("run_diff", F.col("home_score") - F.col("away_score"))
     return evaluate.histogram(g, "run_diff", -9, 9)
+
+
+@query("card_arrays", """
+    SELECT o_orderkey, w[1] AS starter, coalesce(len(w), 0) > 0 AS filled, coalesce(list_contains(w, 7), FALSE) AS has_seven, coalesce(list_sum(w[1:9]), 0)::BIGINT AS nine, CAST(coalesce(len(w[1:9]), 0) AS BIGINT) AS kept
+    FROM orders LEFT JOIN (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS w FROM lineitem WHERE l_quantity > 5 GROUP BY 1) ON l_orderkey = o_orderkey""")
+def card_arrays(spark, d):
+    """Lists of an order's suppliers as batting cards: first entry, size test, membership, cut to nine; orders without one too."""
+    order = F.struct("l_linenumber", "l_suppkey", "l_partkey")
+    cards = B.table(spark, d, "lineitem").where(F.col("l_quantity") > 5).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("c"))
+    both = B.table(spark, d, "orders").join(cards, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("c.l_suppkey").alias("w"))
+    nine = T.first_n(F.col("w"), K.LINEUP_SLOTS)
+    total = F.aggregate(F.coalesce(nine, F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return both.select("o_orderkey", T.first_of(F.col("w")).alias("starter"), T.has_any(F.col("w")).alias("filled"),
+                       T.holds(F.col("w"), F.lit(7).cast("long")).alias("has_seven"), total.alias("nine"),
+                       F.coalesce(F.size(nine), F.lit(0)).cast("long").alias("kept"))
