@@ -85,13 +85,13 @@ class Block:
 
     def packed(self) -> tuple[bytes, bytes]:
         narrow = self.codes.astype(np.uint16 if len(self.words) <= 1 << 16 else np.uint32)
-        return b"\n".join(self.words), pa.compress(narrow.tobytes(), codec="zstd", asbytes=True)
+        return tuple(len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in (b"\n".join(self.words), narrow.tobytes()))
 
     @classmethod
     def unpacked(cls, sizes: list[int], vocabulary: bytes, codes: bytes) -> Block:
-        words = vocabulary.split(b"\n") if vocabulary else []
+        listed, raw = (pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in (vocabulary, codes))
+        words = listed.split(b"\n") if sum(sizes) else []
         kind = np.dtype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-        raw = pa.decompress(codes, decompressed_size=sum(sizes) * kind.itemsize, codec="zstd") if sum(sizes) else b""
         return cls(np.array(sizes, dtype=np.int64), words, np.frombuffer(raw, dtype=kind).astype(np.int32))
 
     def names(self) -> np.ndarray:
