@@ -192,7 +192,8 @@ def threshold_sweep(slate: DataFrame, *, thresholds: Sequence[float] = K.SWEEP_T
                     max_edges: Sequence[float | None] = (None,), start: float = 100.0,
                     order: Sequence[str] = ("commence_time", "game_id")) -> DataFrame:
     """Back-test every scenario at once; scenarios without a bet report zero bets."""
-    slates = scenario_slates(slate, thresholds, max_edges)
+    asked = [*_SCENARIO, *order, "recommended", "recommended_kelly", "recommended_ev", "home_price_american", "away_price_american", "home_score", "away_score"]
+    slates = scenario_slates(slate, thresholds, max_edges).select(*asked)  # every scenario copies the slate, so it is copied narrow
     history = simulate_bankroll(slates, start=start, order=order, scenario=_SCENARIO)
     keep = ["n_bets", "n_wins", "hit_rate", "total_wagered", "total_profit", "roi", "bankroll_growth_pct",
             "max_drawdown_pct", "avg_ev_at_bet"]
