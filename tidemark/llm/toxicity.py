@@ -278,7 +278,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
         return pd.DataFrame(columns=["text", "toxic", "lang"]), 0.0
     draw = F.pmod(F.xxhash64(F.lit(settings.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, settings.per_label / n))) for k, n in totals.items()])
-    met = rows.join(known.where(draw < share), "doc_id")
+    # At most twice ``per_label`` ids of each label, lowest hashes first: a proven bound, so they are sent to the texts.
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(draw, "doc_id"))
+    drawn = known.where(draw < share).withColumn("rank", rank).where(F.col("rank") <= 2 * settings.per_label).drop("rank")
+    met = rows.join(F.broadcast(drawn), "doc_id")
     folded = met.groupBy("toxic", "text").agg(F.min("lang").alias("lang")).withColumn("draw", F.xxhash64(F.lit(settings.seed), "text"))
     place = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "text"))
     cut = folded.withColumn("place", place).where(F.col("place") <= 2 * settings.per_label)
