@@ -1,5 +1,7 @@
 """Language identification, toxicity and page extraction by held-out accuracy."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -215,6 +217,36 @@ def test_deep_nesting_keeps_ancestors():
     first, second, third = pages.leaves(page)
     assert ("article", "") in first.path and second.path == (("div", ""),) * 120 + (("article", ""), ("p", "")) and third.path == (("div", ""),) * 120 + (("p", ""),)
     assert len(pages.leaves("<div>x" * 50_000 + "</p>" * 50_000)) == 50_000
+    buried = "<div>" * 150 + '<div class="sidebar">' + "<div>" * 150 + "<p>words"
+    assert ("div", "sidebar") in pages.leaves(buried)[0].path
+
+
+def test_sums_over_ancestors_as_they_come_and_go():
+    rng = np.random.default_rng(7)
+    field = pages.Field(rng.normal(size=(pages._BUCKETS, 2)), rng.normal(size=(2, 2)))
+    tags = ["<div>", '<div class="side bar">', "<article>", "</article>", "</div>", "<ul><li>", "</ul>", "<p>", "word", "<section id=mainStory>", "</section>"]
+    for _ in range(300):
+        blocks = pages.leaves("".join(rng.choice(tags, 40)))
+        want = [field.weights[list(pages.path_features(b) + pages.text_features(b, i, len(blocks)))].sum(axis=0) for i, b in enumerate(blocks)]
+        assert np.allclose(field.emissions(blocks), np.array(want).reshape(-1, 2), atol=1e-9)
+
+
+def test_quotes_in_tags():
+    def texts(page):
+        return [b.text for b in pages.leaves(page)]
+
+    assert texts("<p title='a > b'>one<p title=\"it's > it\">two") == ["one", "two"]
+    assert texts("<p title=\"open>one</p><p>two") == ["one", "two"]  # no quote closes it, so the first ``>`` ends it
+    assert texts('<p title="x') == ['<p title="x'] and texts("a < b > c") == ["a < b > c"] and texts("one<!-- <p>two") == ["one"]
+    assert texts('<p ">"x<p ">"y') == ['"x', '"y']  # no ``>`` stands outside of quotes
+
+
+def test_hostile_pages_take_linear_time():
+    field = pages.Field(np.zeros((pages._BUCKETS, 2)), np.zeros((2, 2)))
+    for page in ('<p a="' * 150_000, "<p '>\"'\">" * 60_000, "<p" * 300_000 + ">", "<!--" * 200_000, "<script>" * 100_000, "".join(f"<div class=c{i}>x" for i in range(30_000))):
+        begun = time.process_time()
+        pages.extract(page, field)
+        assert time.process_time() - begun < 30
 
 
 def test_awkward_pages(spark):

@@ -13,9 +13,10 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,53 +34,105 @@ _BLOCKS = frozenset((
 _HIDDEN = frozenset("script style textarea iframe noembed noframes xmp".split())
 #: Inside ``svg`` these are labels, apart from each other but not blocks.
 _LABELS = frozenset("title desc text".split())
-#: So many of the outermost and of the innermost ancestors of a block are looked at.
-_ENDS_OF_PATH = 100
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements, up to the given borders.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _BORDER = frozenset("ul ol menu dl select table article aside section div body main nav footer header form".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S)
+_START = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Weights are summed as multiples of this, so that a sum does not depend on the order in which ancestors come and go.
+_GRAIN = 2.0**-40
+
+
+@dataclass(frozen=True, eq=False, slots=True)
+class Ancestor:
+    """An open block-level element; blocks below it share it."""
+
+    tag: str
+    names: str  # its class, id, role and the like
+    outer: Ancestor | None
+    depth: int
 
 
 @dataclass
 class Leaf:
     text: str
-    path: tuple[tuple[str, str], ...]  # open block-level ancestors: tag, its names
+    inside: Ancestor | None  # the innermost
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[tuple[str, str], ...]:
+        """Tags and names of the ancestors, the outermost first."""
+        found, at = [], self.inside
+        while at:
+            found.append((at.tag, at.names))
+            at = at.outer
+        return tuple(reversed(found))
+
+
+class _Tags:
+    """Tags of a page: ``start, end, slash, name, attributes``; comments and declarations have no name.
+
+    A ``>`` in quotes does not end a tag, unless none outside follows. Quotes opened on a way that led to no end are remembered, so
+    that no way is gone twice and the time is linear in the page.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.lost = page, page.rfind(">"), set()
+
+    def _end(self, at: int) -> int:
+        if at > self.last:
+            return -1
+        opened, here = [], at
+        while stop := _STOP.search(self.page, here):
+            if stop[0] == ">":
+                return stop.start()
+            if stop.start() in self.lost:
+                break
+            opened.append(stop.start())
+            here = self.page.find(stop[0], stop.end()) + 1
+            if not here:
+                break
+        self.lost.update(opened)
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The first tag that starts at ``at`` or later."""
+        while found := _START.search(self.page, at):
+            at = found.end()
+            if found[2]:
+                end = self._end(at)
+                if end >= 0:
+                    return found.start(), end + 1, found[1], found[2].lower(), self.page[at:end]
+            else:
+                close = "-->" if found[0] == "<!--" else ">"
+                end = self.page.find(close, at)
+                return found.start(), end + len(close) if end >= 0 else len(self.page), "", "", ""
+        return None
+
 
 def leaves(page: str | None) -> list[Leaf]:
     """Leaf blocks with text, in page order. Unclosed and stray tags are taken as browsers do, roughly; a cut page ends its blocks.
 
-    What ``math``, ``svg`` and ``object`` hold is text of the block around them. Of very deep nesting a block names the outermost and innermost
-    ancestors and the first ``article`` and ``main``.
+    What ``math``, ``svg`` and ``object`` hold is text of the block around them. All ancestors of a block are known, however deep.
     """
     out: list[Leaf] = []
     if not page:
         return out
-    stack: list[tuple[str, str]] = []
+    stack: list[Ancestor] = []
     where: dict[str, list[int]] = {}  # places of a tag in the stack
     borders: list[int] = []
     parts: list[str] = []
     linked, link, drawing = 0, False, 0
 
-    def path() -> tuple[tuple[str, str], ...]:
-        if len(stack) <= 2 * _ENDS_OF_PATH:
-            return tuple(stack)
-        homes = sorted(places[0] for places in (where.get("article"), where.get("main")) if places)
-        between = [stack[i] for i in homes if _ENDS_OF_PATH <= i < len(stack) - _ENDS_OF_PATH]
-        return (*stack[:_ENDS_OF_PATH], *between, *stack[-_ENDS_OF_PATH:])
-
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(text, path(), linked))
+                out.append(Leaf(text, stack[-1] if stack else None, linked))
             parts = []
         linked = 0
 
@@ -88,31 +141,30 @@ def leaves(page: str | None) -> list[Leaf]:
         if at < 0 or bordered and borders and borders[-1] > at:
             return
         while len(stack) > at:
-            tag = stack.pop()[0]
+            tag = stack.pop().tag
             where[tag].pop()
             if tag in _BORDER:
                 borders.pop()
 
-    at = 0
+    tags, at = _Tags(page), 0
     while at < len(page):
-        found = _TOKEN.search(page, at)
-        end = found.start() if found else len(page)
-        if end > at:
-            parts.append(page[at:end])
+        found = tags.after(at)
+        start = found[0] if found else len(page)
+        if start > at:
+            parts.append(page[at:start])
             if link:
-                linked += end - at
+                linked += start - at
         if not found:
             break
-        at = found.end()
-        tag = found[2].lower() if found[2] else ""
+        _, at, slash, tag, attributes = found
         if not tag:
             continue
         if drawing and tag in _LABELS:
             parts.append(" ")
             continue
-        if tag == "svg" and not found[3].endswith("/"):
-            drawing = max(0, drawing + (-1 if found[1] else 1))
-        if found[1]:
+        if tag == "svg" and not attributes.endswith("/"):
+            drawing = max(0, drawing + (-1 if slash else 1))
+        if slash:
             if tag == "a":
                 link = False
             elif tag in _BLOCKS:
@@ -120,7 +172,7 @@ def leaves(page: str | None) -> list[Leaf]:
                 close((tag,), False)
             continue
         if tag in _HIDDEN:
-            if not found[3].endswith("/"):
+            if not attributes.endswith("/"):
                 stop = re.compile(f"</{tag}", re.I).search(page, at)
                 stop = page.find(">", stop.start()) if stop else -1
                 at = stop + 1 if stop >= 0 else len(page)
@@ -138,39 +190,48 @@ def leaves(page: str | None) -> list[Leaf]:
             if tag == "body":
                 close(("head",), False)
             if tag not in _VOID:
-                names = " ".join(next(x for x in m[1:] if x is not None) for m in (n.groups() for n in _NAMED.finditer(found[3]))) if found[3] else ""
+                names = " ".join(next(x for x in m[1:] if x is not None) for m in (n.groups() for n in _NAMED.finditer(attributes))) if attributes else ""
                 where.setdefault(tag, []).append(len(stack))
                 if tag in _BORDER:
                     borders.append(len(stack))
-                stack.append((tag, names))
+                stack.append(Ancestor(tag, names, stack[-1] if stack else None, len(stack)))
     flush()
     return out
 
 
+@lru_cache(maxsize=50_000)
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % _BUCKETS
 
 
 @lru_cache(maxsize=20_000)
-def path_features(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    """Buckets of what the ancestors say: tags, innermost tag, words of names."""
-    found = set()
-    for tag, names in path:
-        found.add(f"tag:{tag}")
-        for word in _PART.findall(names):
-            found.add(f"name:{word.lower()}")
-            if len(word) > 5:
-                found.add(f"stem:{word[:5].lower()}")
-        if names:
-            found.add(f"named:{tag}")
-    if path:
-        found.add(f"in:{path[-1][0]}")
-        found.add(f"last:{' '.join(t for t, _ in path[-2:])}")
-    inside = {t for t, _ in path}
-    for tag in ("article", "main"):
-        if tag not in inside:
-            found.add(f"outside:{tag}")
-    return tuple(sorted(_bucket(f) for f in found))
+def own_features(tag: str, names: str) -> frozenset[str]:
+    """What one ancestor says: its tag and the words of its names."""
+    found = {f"tag:{tag}"}
+    for word in _PART.findall(names):
+        found.add(f"name:{word.lower()}")
+        if len(word) > 5:
+            found.add(f"stem:{word[:5].lower()}")
+    if names:
+        found.add(f"named:{tag}")
+    return frozenset(found)
+
+
+def _near(inside: Ancestor | None) -> list[str]:
+    """What the order of the two innermost ancestors says."""
+    if inside is None:
+        return []
+    return [f"in:{inside.tag}", f"last:{f'{inside.outer.tag} ' if inside.outer else ''}{inside.tag}"]
+
+
+def _outside(tags: Iterable[str]) -> list[str]:
+    return [f"outside:{tag}" for tag in ("article", "main") if f"tag:{tag}" not in tags]
+
+
+def path_features(leaf: Leaf) -> tuple[int, ...]:
+    """Buckets of what the ancestors say: tags, innermost tags, words of names. A feature counts once."""
+    found = set().union(*(own_features(*a) for a in leaf.path))
+    return tuple(sorted(_bucket(f) for f in (*found, *_outside(found), *_near(leaf.inside))))
 
 
 def text_features(leaf: Leaf, place: int, count: int) -> tuple[int, ...]:
@@ -192,9 +253,54 @@ class Field:
     weights: np.ndarray  # bucket x label
     steps: np.ndarray  # label x label
 
+    @cached_property
+    def _grains(self) -> list[list[int]]:
+        return np.rint(self.weights / _GRAIN).astype(np.int64).tolist()
+
+    def _paths(self, blocks: Sequence[Leaf]) -> Iterator[tuple[int, int]]:
+        """Sums over ``path_features`` in grains; ancestors that two neighbouring blocks share are not looked at again."""
+        grains, open_, counts = self._grains, [], Counter()
+        sums = [0, 0]
+
+        def enter(one: Ancestor) -> None:
+            open_.append(one)
+            for f in own_features(one.tag, one.names):
+                counts[f] += 1
+                if counts[f] == 1:
+                    a, b = grains[_bucket(f)]
+                    sums[0] += a
+                    sums[1] += b
+
+        def leave() -> None:
+            one = open_.pop()
+            for f in own_features(one.tag, one.names):
+                counts[f] -= 1
+                if not counts[f]:
+                    del counts[f]
+                    a, b = grains[_bucket(f)]
+                    sums[0] -= a
+                    sums[1] -= b
+
+        for block in blocks:
+            entered, at = [], block.inside
+            depth = at.depth if at else -1
+            while len(open_) > depth + 1:
+                leave()
+            while at and (at.depth >= len(open_) or open_[at.depth] is not at):
+                entered.append(at)
+                at = at.outer
+                while len(open_) > entered[-1].depth:
+                    leave()
+            for one in reversed(entered):
+                enter(one)
+            extra = [grains[_bucket(f)] for f in (*_outside(counts), *_near(block.inside))]
+            yield sums[0] + sum(e[0] for e in extra), sums[1] + sum(e[1] for e in extra)
+
     def emissions(self, blocks: Sequence[Leaf]) -> np.ndarray:
-        w = self.weights
-        return np.array([w[list(path_features(b.path) + text_features(b, i, len(blocks)))].sum(axis=0) for i, b in enumerate(blocks)])
+        """Scores of the labels of every block, in time linear in the page."""
+        paths = np.array(list(self._paths(blocks)), dtype=np.float64).reshape(-1, 2) * _GRAIN
+        texts = np.array([self.weights[list(text_features(b, i, len(blocks)))].sum(axis=0) for i, b in enumerate(blocks)]).reshape(-1, 2)
+        return paths + texts
 
     def decode(self, blocks: Sequence[Leaf]) -> list[bool]:
         """Viterbi: whether each block belongs to the article on the best path; of equal paths the one with the rest earlier."""
@@ -221,7 +327,7 @@ def train(pages: Sequence[tuple[Sequence[Leaf], Sequence[bool]]], epochs: int =
     field = Field(np.zeros((_BUCKETS, 2)), np.zeros((2, 2)))
     square, square_steps = np.full((_BUCKETS, 2), 1e-2), np.full((2, 2), 1e-2)
     rng = np.random.default_rng(seed)
-    ready = [([path_features(b.path) + text_features(b, i, len(blocks)) for i, b in enumerate(blocks)], np.array(labels, dtype=int))
+    ready = [([path_features(b) + text_features(b, i, len(blocks)) for i, b in enumerate(blocks)], np.array(labels, dtype=int))
              for blocks, labels in pages if len(blocks)]
     for _ in range(epochs):
         for p in rng.permutation(len(ready)).tolist():
