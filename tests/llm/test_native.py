@@ -65,6 +65,23 @@ def test_added_kinds_need_check_sum_or_context(spark):
     assert got == {1: "iban:4:31", 2: "", 3: "ssn:16:27", 4: "", 5: ""}
 
 
+def test_account_numbers_end_at_their_length(spark):
+    def number(country: str, length: int) -> str:
+        body = ("10020030040050060070080090" * 2)[: length - 4]
+        digits = "".join(str(int(c, 36)) for c in body + country)
+        return f"{country}{98 - int(digits + '00') % 97:02d}{body}"
+
+    numbers = [number(c, n) for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split()]
+    spaced = [" ".join(n[i : i + 4] for i in range(0, len(n), 4)) for n in numbers]
+    texts = [f"IBAN {n} BIC COBADEFFXXX 12" for n in numbers + spaced] + ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.spans_of(df).collect():
+        want = (numbers + spaced + ["DE89 3704 0044 0532 0130 00"])[r.doc_id]
+        assert f"iban:5:{5 + len(want)}" in r.spans.split(","), texts[r.doc_id]
+    cut = spark.createDataFrame([(1, f"IBAN {number('DE', 22)}7"), (2, f"IBAN {number('DE', 22)[:-1]}"), (3, f"IBAN {number('ZZ', 22)}")], "doc_id long, text string")
+    assert all("iban" not in r.spans for r in pii.spans_of(cut).collect())
+
+
 def test_redaction(spark):
     rows = [(1, "é a@b.cd, 1.2.3.4!", 18), (2, None, 0), (3, "nothing", 7), (4, "4111 1111 1111 1111 and 4111 1111 1111 1112", 43)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("redact_gaps", F.lit(1))

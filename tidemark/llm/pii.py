@@ -24,6 +24,15 @@ NEAR = 40
 _BLOCK = 128
 
 
+#: Characters of an international account number, and the countries that use so many.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -61,6 +70,12 @@ def _at_most_255(part: Column) -> Column:
     return (F.length(value) < 3) | ((F.length(value) == 3) & (value <= "255"))
 
 
+def _iban() -> str:
+    """A number of its country's length, in one or with single spaces; what stands behind it does not run into it."""
+    each = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}+" for n, codes in IBAN_LENGTHS.items())
+    return f"(?<![A-Za-z0-9])(?:{each})(?![A-Za-z0-9])"
+
+
 def _between(low: int, high: int) -> Callable[[Column], Column]:
     return lambda span: F.length(_digits(span)).between(low, high)
 
@@ -74,7 +89,7 @@ KINDS = (
          lambda s: _between(16, 19)(s) & _luhn(_digits(s)), 0.9, r"card|karte|carte|tarjeta|visa|master", hint_is_pattern=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+",
          _between(8, 15), 0.7, r"phone|call|tel|mobile|fax|telefon|téléphone|teléfono"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[0-9]{2}",
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2}",
          _mod97, 0.9, r"iban|account|konto|compte|cuenta|bank", base=False, hint_is_pattern=True),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-",
          lambda s: ~s.rlike("^(000|666|9..)|-00-|-0000$"), 0.5, r"ssn|social|security|insurance", base=False),
