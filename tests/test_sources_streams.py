@@ -78,7 +78,18 @@ def test_odds_snapshots_prune_by_folder(spark, root):
     assert every.count() == 3 and {r.book_key for r in every.collect()} == {"fanduel"}
     one = D.read_odds_snapshots(spark, root, "2024-05-01", "2024-05-02").collect()
     assert [(r.snapshot_ts, r.home_price_american) for r in one] == [(dt.datetime(2024, 5, 1, 12), 110.0)]
-    assert D.read_odds_snapshots(spark, root, low="2024-05-02").count() == 1
+    late = D.read_odds_snapshots(spark, root, low="2024-05-02")
+    assert late.count() == 1 and [f.split("/")[-2] for f in late.inputFiles()] == ["2024-05-03"]
+    assert D.read_odds_snapshots(spark, root, low="2024-06-01").count() == 0
+
+
+def test_odds_archives_hold_a_snapshot_on_each_line(spark, root):
+    for day in ("2024-05-01", "2024-05-02"):
+        os.makedirs(f"{root}/day={day}")
+        with open(f"{root}/day={day}/part-0.json", "w") as f:
+            f.write("\n".join(json.dumps(odds_doc(f"{day}T{h}:00:00+00:00", h)) for h in (11, 12)) + "\n{broken\n")
+    got = D.read_odds_snapshots(spark, root, "2024-05-02", lines=True)
+    assert sorted((r.snapshot_ts.day, r.home_price_american) for r in got.collect()) == [(2, 11.0), (2, 12.0)] and len(got.inputFiles()) == 1
 
 
 def test_stream_odds_equals_batch(spark, root):

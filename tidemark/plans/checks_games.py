@@ -8,7 +8,7 @@ from tidemark import constants as K
 from tidemark.operators import defense, lineups, reshape, rows
 from tidemark.plans import bindings as B, features, featuresql as FS, sqlparts as S
 from tidemark.plans.registry import big, epoch, query, rnd
-from tidemark.schemas import BOXSCORE_DOC, EVENTS, OAA, ODDS_DOC, OUTCOMES_DOC, PARK_FACTORS, align, parse
+from tidemark.schemas import BOXSCORE_DOC, EVENTS, OAA, ODDS_DOC, OUTCOMES_DOC, PARK_FACTORS, SCHEDULE_DOC, align, parse
 from tidemark.session import scratch_path, stage
 from tidemark.sources import documents, tables
 
@@ -168,13 +168,8 @@ def boxscore_flatten(spark, d):
     return out.select("game_id", "side", big("slot").alias("slot"), "player_id", "position")
 
 
-@query("odds_flatten", B.with_ctes(
-    """SELECT game_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_s, book_key, home_price_american, away_price_american, count(*) AS n FROM d_quotes
-    WHERE NOT (book_key = 'other' AND game_id % 2 = 0) GROUP BY ALL""", "d_quotes"))
-def odds_flatten(spark, d):
-    """Snapshot documents written as JSON text and flattened; spread-only books and one-sided quotes drop out."""
-    q = B.quotes(spark, d)
-
+def _odds_texts(q):
+    """A snapshot document as JSON text for each quote; spreads beside it, and one-sided quotes of one book."""
     def outcome(name, price):
         return F.struct(F.col(name).alias("name"), F.col(price).alias("price"))
 
@@ -186,13 +181,49 @@ def odds_flatten(spark, d):
                       F.struct(F.lit("h2h").alias("key"), F.date_format("snapshot_ts", iso).alias("last_update"), prices.alias("outcomes")))
     book = F.struct(F.col("book_key").alias("key"), F.col("book_title").alias("title"), markets.alias("markets"))
     game = F.struct(F.col("game_id").cast("string").alias("id"), F.date_format("commence_time", iso).alias("commence_time"), "home_team", "away_team", F.array(book).alias("bookmakers"))
-    text = q.select(F.to_json(F.struct(F.date_format("snapshot_ts", iso).alias("fetched_at_utc"), F.array(game).alias("data"))).alias("doc"))
-    docs = text.select(F.from_json("doc", parse(ODDS_DOC)).alias("j"), F.lit("derived").alias("source")).select("j.*", "source")
-    long = documents.quotes_long(docs)
-    return long.groupBy(big("odds_api_game_id").alias("game_id"), epoch("snapshot_ts").alias("snapshot_s"), "book_key", "home_price_american", "away_price_american").agg(
+    return q.select(F.to_date("snapshot_ts").alias("day"), F.to_json(F.struct(F.date_format("snapshot_ts", iso).alias("fetched_at_utc"), F.array(game).alias("data"))).alias("doc"))
+
+
+def _counted(long, *also):
+    return long.groupBy(*also, big("odds_api_game_id").alias("game_id"), epoch("snapshot_ts").alias("snapshot_s"), "book_key", "home_price_american", "away_price_american").agg(
         F.count(F.lit(1)).alias("n"))
 
 
+@query("odds_flatten", B.with_ctes(
+    """SELECT game_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_s, book_key, home_price_american, away_price_american, count(*) AS n FROM d_quotes
+    WHERE NOT (book_key = 'other' AND game_id % 2 = 0) GROUP BY ALL""", "d_quotes"))
+def odds_flatten(spark, d):
+    """Snapshot documents written as JSON text and flattened; spread-only books and one-sided quotes drop out."""
+    text = _odds_texts(B.quotes(spark, d))
+    docs = text.select(F.from_json("doc", parse(ODDS_DOC)).alias("j"), F.lit("derived").alias("source")).select("j.*", "source")
+    return _counted(documents.quotes_long(docs))
+
+
+@query("odds_snapshot_ranges", B.with_ctes(
+    """SELECT CASE WHEN snapshot_ts < TIMESTAMP '1998-01-01' THEN 'early' WHEN snapshot_ts < TIMESTAMP '2000-01-01' THEN 'middle' ELSE 'late' END AS part, game_id,
+      CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_s, book_key, home_price_american, away_price_american, count(*) AS n FROM d_quotes
+    WHERE NOT (book_key = 'other' AND game_id % 2 = 0) GROUP BY ALL""", "d_quotes"))
+def odds_snapshot_ranges(spark, d):
+    """Dated snapshot folders written, then read back by three ranges of dates; each reads its folders only."""
+    path = scratch_path(spark, "odds")
+    # Days are spread evenly; a day too large for one task is split, a small one is one file.
+    _odds_texts(B.quotes(spark, d)).select("day", F.col("doc").alias("value")).hint("rebalance", "day").write.partitionBy("day").text(path)
+    ranges = {"early": (None, "1997-12-31"), "middle": ("1998-01-01", "1999-12-31"), "late": ("2000-01-01", None)}
+    return _counted(rows.tagged_union({
+        part: documents.read_odds_snapshots(spark, path, low, high, lines=True, names="*.txt") for part, (low, high) in ranges.items()}, "part"), "part")
+
+
+@query("schedule_flatten", B.with_ctes(
+    """SELECT game_id, game_date, CAST(epoch(commence_time) AS BIGINT) AS start_s, home_id, away_id, status FROM d_games WHERE game_date IS NOT NULL""", "d_games"))
+def schedule_flatten(spark, d):
+    """A schedule document for each game written as JSON text and flattened."""
+    game = F.struct("game_id", F.col("game_date").cast("string").alias("game_date"), F.date_format("commence_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("game_datetime"),
+                    "home_id", "away_id", "status")
+    text = B.games(spark, d).where("game_date IS NOT NULL").select(F.to_json(F.struct(F.array(game).alias("data"))).alias("doc"))
+    games = documents.schedule_games(text.select(F.from_json("doc", parse(SCHEDULE_DOC)).alias("j")).select("j.*"))
+    return games.select("game_id", "game_date", epoch("game_datetime").alias("start_s"), "home_id", "away_id", "status")
+
+
 @query("outcomes_flatten", B.with_ctes(
     "SELECT status, count(*) AS n, CAST(sum(home_score) AS BIGINT) AS home FROM d_games GROUP BY 1", "d_games"))
 def outcomes_flatten(spark, d):

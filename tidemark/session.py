@@ -49,13 +49,14 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the session's ``spark.checkpoint.dir``, on Spark's default file system if it names none.
 
     Only a single-machine session may go without one; it gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        place = spark._jvm.org.apache.hadoop.fs.Path(named.rstrip("/"))
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     context = spark.sparkContext
     if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):  # executors of a local cluster are other processes
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")

@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators import rows
 from tidemark.schemas import BOXSCORE_DOC, ODDS_DOC, OUTCOMES_DOC, SCHEDULE_DOC, parse
 
 _BAD = "_corrupt_record"
+_DAY_FOLDER = re.compile(r"(?:[A-Za-z_]+=)?(\d{4}-\d{2}-\d{2})")
 
 
-def _documents(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Whole-file JSON under ``path`` with its file path; malformed files are skipped."""
+def _documents(spark: SparkSession, paths: str | list[str], ddl: str, lines: bool = False, names: str = "*.json") -> DataFrame:
+    """JSON under ``paths`` with its file path, a document to a file or to a line; malformed ones are skipped."""
     schema = parse(ddl).add(_BAD, "string")
     docs = (
-        spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", _BAD).json(path)
+        spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", names).option("columnNameOfCorruptRecord", _BAD).json(paths)
     )
     return docs.where(F.col(_BAD).isNull()).drop(_BAD).withColumn("_path", F.col("_metadata.file_path"))
 
 
+def _day_folders(spark: SparkSession, root: str, low: str | None, high: str | None) -> list[str]:
+    """Folders ``<root>/<date>`` or ``<root>/<name>=<date>`` of the dates within the bounds. Only names below ``root`` are listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found = []
+    for child in system.listStatus(place):
+        day = _DAY_FOLDER.fullmatch(child.getPath().getName())
+        if child.isDirectory() and day and (low is None or day[1] >= low) and (high is None or day[1] <= high):
+            found.append(child.getPath().toString())
+    return sorted(found)
+
+
 def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.json$", 1)
 
@@ -93,19 +110,20 @@ def upsert_player_names(existing: DataFrame | None, fresh: DataFrame) -> DataFra
     return merged.select("player_id", "name")
 
 
-def read_odds_snapshots(spark: SparkSession, root: str, low: str | None = None, high: str | None = None) -> DataFrame:
-    """Long quotes from ``<root>/<date>/<time>.json`` of the dates within the bounds; no rows if there are none."""
+def read_odds_snapshots(spark: SparkSession, root: str, low: str | None = None, high: str | None = None,
+                        lines: bool = False, names: str = "*.json") -> DataFrame:
+    """Long quotes of the snapshots in the folders of the dates within the bounds (``_day_folders``); no rows if there are none.
+
+    Without bounds all of ``root`` is read, with them folders of other dates are neither listed nor read. With ``lines`` a file
+    holds a snapshot on each line, as archives of many do; ``names`` is the pattern of the files.
+    """
     from tidemark.sources.tables import folder_exists
 
-    if not folder_exists(spark, root):
+    bounded = low is not None or high is not None
+    found = _day_folders(spark, root, low, high) if bounded else [root] if folder_exists(spark, root) else []
+    if not found:
         return quotes_long(spark.createDataFrame([], parse(ODDS_DOC)).withColumn("source", F.lit("")))
-    docs = _documents(spark, root.rstrip("/"), ODDS_DOC)
-    folder = F.regexp_extract("_path", r"(\d{4}-\d{2}-\d{2})/[^/]+\.json$", 1)
-    if low is not None:
-        docs = docs.where(folder >= low)
-    if high is not None:
-        docs = docs.where(folder <= high)
-    return quotes_long(docs.withColumnRenamed("_path", "source"))
+    return quotes_long(_documents(spark, found, ODDS_DOC, lines, names).withColumnRenamed("_path", "source"))
 
 
 def quotes_long(docs: DataFrame) -> DataFrame:
@@ -128,8 +146,14 @@ def quotes_long(docs: DataFrame) -> DataFrame:
     return out.where(F.col("home_price_american").isNotNull() & F.col("away_price_american").isNotNull())
 
 
-def read_schedule(spark: SparkSession, root: str, day: str) -> DataFrame:
-    """Games of one day's schedule document; no rows when the day has none."""
-    docs = _documents(spark, root, SCHEDULE_DOC).where(_stem(F.col("_path")) == day)
+def schedule_games(docs: DataFrame) -> DataFrame:
     return docs.select(F.inline("data")).withColumns({
         "game_date": F.to_date("game_date"), "game_datetime": F.expr("try_to_timestamp(game_datetime)")})
+
+
+def read_schedule(spark: SparkSession, root: str, day: str) -> DataFrame:
+    """Games of one day's schedule document ``<day>.json`` in ``root`` or a folder of it; no rows when the day has none.
+
+    The pattern picks the document while listing, so no other is opened.
+    """
+    return schedule_games(_documents(spark, root, SCHEDULE_DOC, names=f"{day}.json"))
