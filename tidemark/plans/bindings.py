@@ -119,6 +119,21 @@ def lineups_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def published_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards posted for a third of the games: seven to eleven hitters a side, some starters missing."""
+    g = games(spark, sf_dir, keep=("o_custkey",)).where(F.col("game_id") % 3 == 0)
+
+    def side(s: str, shift: Column, length: Column, no_starter: Column) -> list[Column]:
+        at = F.sequence(F.lit(0).cast("long"), length - 1)
+        team = F.col(f"{s}_id")
+        return [F.transform(at, lambda k: team * 100 + (shift + 4 * k) % 15).alias(f"{s}_lineup"),
+                F.transform(at, lambda k: _pick(POSITIONS, (shift + k) % 9)).alias(f"{s}_positions"),
+                F.when(~no_starter, team * 100 + 50 + F.col("game_id") % 12).alias(f"{s}_starter_id")]
+
+    fan = F.col("o_custkey")
+    return g.select("game_id", *side("home", fan, 7 + fan % 5, fan % 7 == 0), *side("away", F.col("game_id"), 8 + fan % 4, fan % 11 == 0))
+
+
 def _sides(arms: DataFrame) -> DataFrame:
     """Pitchers of each (game, side) in order of first appearance, without their teams."""
     side = F.when(F.col("l_linestatus") == "O", "away").otherwise("home")
@@ -282,6 +297,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'away' ELSE 'home' END AS side,
                 l_suppkey % 12 AS arm, min(l_linenumber) AS first_line
               FROM lineitem GROUP BY 1, 2, 3) JOIN d_games ON l_orderkey = game_id"""),
+    "d_cards": (("d_games",), f"""
+        SELECT game_id, list_transform(range(7 + o_custkey % 5), lambda k: home_id * 100 + (o_custkey + 4 * k) % 15) AS home_lineup,
+          list_transform(range(7 + o_custkey % 5), lambda k: {_list(POSITIONS)}[(o_custkey + k) % 9 + 1]) AS home_positions,
+          CASE WHEN o_custkey % 7 <> 0 THEN home_id * 100 + 50 + game_id % 12 END AS home_starter_id,
+          list_transform(range(8 + o_custkey % 4), lambda k: away_id * 100 + (game_id + 4 * k) % 15) AS away_lineup,
+          list_transform(range(8 + o_custkey % 4), lambda k: {_list(POSITIONS)}[(game_id + k) % 9 + 1]) AS away_positions,
+          CASE WHEN o_custkey % 11 <> 0 THEN away_id * 100 + 50 + game_id % 12 END AS away_starter_id
+        FROM d_games JOIN orders ON o_orderkey = game_id WHERE game_id % 3 = 0"""),
     "d_oaa": (("d_long",), """
         SELECT player_id, position AS position_abbrev, CAST(n % 21 - 10 AS DOUBLE) AS outs_above_average,
           CAST(n % 13 - 6 AS DOUBLE) AS outs_above_average_rhh,

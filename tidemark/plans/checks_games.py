@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.operators import defense, lineups, reshape, rows
-from tidemark.plans import bindings as B, features, featuresql as FS, sqlparts as S
+from tidemark.plans import bindings as B, features, featuresql as FS, lineupsql as LS, sqlparts as S
 from tidemark.plans.registry import big, epoch, query, rnd
 from tidemark.schemas import BOXSCORE_DOC, EVENTS, OAA, ODDS_DOC, OUTCOMES_DOC, PARK_FACTORS, SCHEDULE_DOC, align, parse
 from tidemark.session import scratch_path, stage
@@ -59,27 +59,11 @@ def _schedule(spark, d):
         F.col("away_starter_id").alias("away_probable_pitcher_id"), hand("away").alias("away_probable_pitcher_throws"))
 
 
-_HIST = {
-    "st": "SELECT game_id, side, pitcher_id AS starter_id FROM d_arms WHERE seq = 1",
-    "hs": """SELECT g.game_id, g.game_date, g.home_id, g.away_id, h.starter_id AS h_sp, a.starter_id AS a_sp FROM d_games g LEFT JOIN st h ON g.game_id = h.game_id AND h.side = 'home'
-      LEFT JOIN st a ON g.game_id = a.game_id AND a.side = 'away' WHERE h.game_id IS NOT NULL OR a.game_id IS NOT NULL""",
-    "targets": """SELECT game_id, 'home' AS side, home_id AS team_id, game_date AS as_of, CASE WHEN a_sp IS NULL THEN NULL WHEN a_sp % 4 = 0 THEN 'L' ELSE 'R' END AS hand FROM hs
-      UNION ALL SELECT game_id, 'away', away_id, game_date, CASE WHEN h_sp IS NULL THEN NULL WHEN h_sp % 4 = 0 THEN 'L' ELSE 'R' END FROM hs""",
-    "hist": """SELECT l.game_id AS past_game, l.slot, l.player_id, l.position, t.team_id, t.as_of AS played_on, t.hand AS opp_hand FROM d_long l JOIN targets t ON l.game_id = t.game_id AND l.side = t.side""",
-    "asked": "SELECT DISTINCT team_id, as_of, hand FROM targets",
-    "near": """SELECT t.*, h.past_game, h.slot, h.player_id, h.position, h.played_on, coalesce(h.opp_hand = t.hand, FALSE) AS same FROM asked t JOIN hist h
-      ON t.team_id = h.team_id AND h.played_on < t.as_of AND h.played_on >= t.as_of - 30 AND year(h.played_on) = year(t.as_of)""",
-    "platoon": "SELECT team_id, as_of, hand, count(DISTINCT past_game) FILTER (WHERE same) >= 3 AS used FROM near GROUP BY 1, 2, 3",
-    "pool": """SELECT n.*, used FROM near n JOIN platoon p ON n.team_id = p.team_id AND n.as_of = p.as_of AND n.hand IS NOT DISTINCT FROM p.hand
-      WHERE CASE WHEN used THEN same ELSE played_on >= n.as_of - 14 END""",
-}
-
-
 @query("lineup_pool_facts", B.with_ctes(
     """SELECT t.team_id, t.as_of, coalesce(t.hand, '') AS hand, coalesce(used, FALSE) AS used_platoon, coalesce(n, 0) AS pool_size FROM asked t
     LEFT JOIN platoon p ON t.team_id = p.team_id AND t.as_of = p.as_of AND t.hand IS NOT DISTINCT FROM p.hand
-    LEFT JOIN (SELECT team_id, as_of, hand, count(DISTINCT past_game) AS n FROM pool GROUP BY 1, 2, 3) s ON t.team_id = s.team_id AND t.as_of = s.as_of AND t.hand IS NOT DISTINCT FROM s.hand""",
-    "d_long", "d_arms", extra=_HIST))
+    LEFT JOIN (SELECT team_id, as_of, hand, count(DISTINCT past_game) AS n FROM near_rows GROUP BY 1, 2, 3) s ON t.team_id = s.team_id AND t.as_of = s.as_of AND t.hand IS NOT DISTINCT FROM s.hand""",
+    "d_long", "d_arms", extra=LS.HISTORY_CTES))
 def lineup_pool_facts(spark, d):
     games, hands = _history(spark, d)
     history = stage(lineups.opposing_history(B.lineups_long(spark, d), games, hands), "history")
@@ -90,7 +74,7 @@ def lineup_pool_facts(spark, d):
 
 @query("position_start_counts", B.with_ctes(
     "SELECT team_id, player_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE position = '{p}') AS \"{p}\"" for p in K.POSITION_PRIORITY)
-    + " FROM hist GROUP BY 1, 2", "d_long", "d_arms", extra=_HIST))
+    + " FROM hist GROUP BY 1, 2", "d_long", "d_arms", extra=LS.HISTORY_CTES))
 def position_start_counts(spark, d):
     games, _ = _history(spark, d)
     history = lineups.opposing_history(B.lineups_long(spark, d), games)
@@ -100,7 +84,7 @@ def position_start_counts(spark, d):
 @query("modal_pick_slot", B.with_ctes(
     """SELECT team_id, CAST(slot AS BIGINT) AS slot, player_id, n, last_date FROM (SELECT team_id, slot, player_id, count(*) AS n, max(played_on) AS last_date,
         row_number() OVER (PARTITION BY team_id, slot ORDER BY count(*) DESC, max(played_on) DESC, player_id) AS rn FROM hist WHERE player_id % 100 % 15 <> 3 GROUP BY 1, 2, 3) WHERE rn = 1""",
-    "d_long", "d_arms", extra=_HIST))
+    "d_long", "d_arms", extra=LS.HISTORY_CTES))
 def modal_pick_slot(spark, d):
     games, _ = _history(spark, d)
     history = lineups.opposing_history(B.lineups_long(spark, d), games)
@@ -123,22 +107,29 @@ def projections(spark, d):
     return lineups.project_lineups(_schedule(spark, d), stage(B.lineups_long(spark, d), "slots"), games, hands)
 
 
-@query("project_lineups")
+@query("project_lineups", LS.recursive(B.with_ctes(
+    """SELECT game_id, side, team_id, as_of, coalesce(hand, '') AS hand, used_platoon, pool_size, array_to_string(players, ',') AS players,
+      coalesce(array_to_string(positions, ','), '') AS positions FROM projected""", "d_long", "d_arms", extra=LS.CARD_CTES)))
 def project_lineups(spark, d):
-    return projections(spark, d)
+    """The nine of every side of every game, in batting order."""
+    return projections(spark, d).select(
+        "game_id", "side", "team_id", "as_of", F.coalesce("hand", F.lit("")).alias("hand"), "used_platoon", big("pool_size").alias("pool_size"),
+        F.concat_ws(",", F.transform("player_ids", lambda p: p.cast("string"))).alias("players"), F.concat_ws(",", "positions").alias("positions"))
 
 
-@query("projected_features")
+@query("projected_features", FS.projected_sql(STARTER_FLOORS, HITTER_FLOORS, REST, TOP))
 def projected_features(spark, d):
-    """Projected cards for every game, a third of them overridden by the published card."""
+    """Features of every game as if scheduled; a card posted with nine hitters on both sides overrides the projected one."""
     pitches, wide = stage(B.pitches(spark, d), "pitches"), stage(B.lineups_wide(spark, d), "lineups")
     long = stage(B.lineups_long(spark, d), "slots")
-    published = wide.select(
-        "game_id", "home_lineup", "away_lineup", F.col("home_lineup_positions").alias("home_positions"),
-        F.col("away_lineup_positions").alias("away_positions"), "home_starter_id", "away_starter_id")
-    return features.build_projected_features(
-        stage(_schedule(spark, d), "schedule"), stage(projections(spark, d), "cards"), pitches, wide, long, published, oaa=B.oaa(spark, d),
+    df = features.build_projected_features(
+        stage(_schedule(spark, d), "schedule"), stage(projections(spark, d), "cards"), pitches, wide, long, B.published_cards(spark, d), oaa=B.oaa(spark, d),
         park=B.park_factors(spark, d), starter_floors=STARTER_FLOORS, hitter_floors=HITTER_FLOORS, rest=REST, top=TOP)
+    names = [n for n, _ in FS.wide_columns()]
+    return df.select(
+        "game_id", "game_date", F.col("home_lineup_source").alias("lineup_source"), "home_starter_id", "away_starter_id",
+        *[c for s in ("home", "away") for c in (big(f"{s}_projected_pool_size").alias(f"{s}_pool_size"), F.col(f"{s}_projected_platoon").alias(f"{s}_platoon"))],
+        *[rnd(F.col(n) + FS.SHIFT, FS.DIGITS).alias(n) for n in names])
 
 
 # --- nested documents derived from the tables --------------------------------------------------
