@@ -13,7 +13,7 @@ SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUICK = ("asof_running_rates", "joint_index", "clean_outcomes", "team_defense", "trailing_pool_topn", "best_lines",
          "annotate_bets_one_slate", "bankroll_history", "ledger_merge", "exact_quantiles", "ridge_coefficients", "lineup_pool_facts",
          "stream_daily_counts", "stream_first_signal", "predict_slate", "slate_report", "coefficient_table", "stored_model", "platt_parameters", "isotonic",
-         "window_models", "expanding_ablation", "feature_table_roundtrip", "event_seasons")
+         "window_models", "expanding_ablation", "project_lineups", "feature_table_roundtrip", "event_seasons")
 #: Floors on samples leave nothing of the smallest tables.
 LARGE = ("season_leaders",)
 
