@@ -136,6 +136,28 @@ def test_append_dedupe(spark):
     assert sorted(r.tag for r in T.append_dedupe(old, new, until="2024-05-01").collect()) == ["old"]
 
 
+def test_append_stored_copies_the_months_it_touches(spark, root):
+    where, cols = os.path.join(root, "log"), "k long, j string, game_date date, tag string"
+
+    def day(*at):
+        return dt.date(*at)
+
+    def add(*given, **options):
+        return T.append_stored(spark.createDataFrame(list(given), cols), where, ["k", "j"], **options)
+
+    assert T.stored_months(spark, where) == [] and add((1, "a", None, "undated")) == []
+    assert add((1, "a", day(2024, 1, 5), "x"), (1, "a", day(2024, 1, 6), "y"), (2, None, day(2024, 2, 1), "x"), (9, "z", day(2024, 3, 1), "x")) == ["2024-01", "2024-02", "2024-03"]
+    untouched = os.path.join(where, "month=2024-01")
+    before = sorted(os.listdir(untouched))
+    later = [(2, None, day(2024, 3, 9), "new"), (3, "c", day(2024, 3, 9), "new"), (9, "q", day(2024, 2, 28), "stale"), (4, "d", day(2024, 5, 1), "far")]
+    assert add(*later, until="2024-04-30") == ["2024-02", "2024-03"]
+    got = lambda: sorted((r.k, str(r.j), r.tag) for r in spark.read.parquet(where).collect())
+    assert got() == [(1, "a", "y"), (2, "None", "new"), (3, "c", "new"), (9, "z", "x")]
+    assert T.stored_months(spark, where) == ["2024-01", "2024-03"] and sorted(os.listdir(untouched)) == before
+    assert add(*later, until="2024-04-30") == [] and add(*later) == ["2024-05"]
+    assert (4, "d", "far") in got() and len(got()) == 5
+
+
 def test_ledger_versions(spark, root):
     where = os.path.join(root, "ledger")
     assert L.read_ledger(spark, where).count() == 0

@@ -235,6 +235,18 @@ def incremental_append(spark, d):
     return both.groupBy("game_pk").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stored_append", """
+    SELECT game_pk, year(game_date) AS game_year, count(*) AS n FROM (SELECT l_orderkey % 1000 AS game_pk, CAST(l_shipdate AS DATE) AS game_date, row_number() OVER
+      (PARTITION BY l_orderkey % 1000, l_suppkey, l_linenumber ORDER BY CAST(l_shipdate AS DATE) DESC) AS rn FROM lineitem) WHERE rn = 1 GROUP BY 1, 2""")
+def stored_append(spark, d):
+    """Three batches into month folders, later rows of a key replacing stored ones."""
+    path = scratch_path(spark, "stored-append")
+    l = B.table(spark, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("game_pk"), F.to_date("l_shipdate").alias("game_date"), "l_suppkey", "l_linenumber")
+    for until in ("1995-06-30", "1997-03-15", None):
+        tables.append_stored(l, path, ["game_pk", "l_suppkey", "l_linenumber"], until=until)
+    return spark.read.parquet(path).groupBy("game_pk", F.year("game_date").alias("game_year")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("latest_snapshot", """
     SELECT o_orderpriority, count(*) AS n FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY 1""")
 def latest_snapshot(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark import constants as K
 from tidemark.operators import rows
 from tidemark.schemas import EVENTS, OAA, PARK_FACTORS, align, parse
+from tidemark.session import stage
 
 
 def read_events(spark: SparkSession, root: str, years: Sequence[int]) -> DataFrame:
@@ -77,6 +78,64 @@ def append_dedupe(existing: DataFrame, fresh: DataFrame, keys: Sequence[str] = K
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
+def stored_months(spark: SparkSession, root: str) -> list[str]:
+    """Months (``yyyy-MM``) a table of ``append_stored`` has folders for, from their names alone."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith("month=") and len(n) == len("month=yyyy-MM"))
+
+
+def append_stored(fresh: DataFrame, root: str, keys: Sequence[str] = K.PITCH_DEDUPE_KEYS, date: str = "game_date", until: str | None = None) -> list[str]:
+    """``append_dedupe`` into a stored table of month folders; the months written, oldest first.
+
+    The high-water date is that of the newest folder. Of the older rows only those within the batch's smallest and largest keys
+    are looked at, a filter that reaches the Parquet statistics, and only months that hold a key of the batch are copied. Older
+    months lose replaced rows before the batch is written, so a call that broke off is made good by calling it again with the same rows.
+    Rows without a date are never newer and stay out; NULL keys are keys.
+    """
+    spark = fresh.sparkSession
+    months, month = stored_months(spark, root), F.date_format(F.to_date(date), "yyyy-MM")
+    stored = spark.read.schema(fresh.schema).parquet(*[f"{root}/month={m}" for m in months]) if months else fresh.limit(0)
+    newer = fresh.where(F.to_date(date).isNotNull())
+    if months:
+        mark = spark.read.schema(fresh.schema).parquet(f"{root}/month={months[-1]}").agg(F.max(F.to_date(date)).alias("d")).first()["d"]
+        newer = newer.where(F.to_date(date) > F.lit(mark))
+    if until is not None:
+        newer = newer.where(F.to_date(date) <= F.lit(until).cast("date"))
+    batch = stage(rows.keep_last(newer.withColumn("_tie", F.xxhash64(*fresh.columns)), list(keys), [date, "_tie"]).drop("_tie"), "batch")
+    own = sorted(r[0] for r in batch.select(month.alias("m")).distinct().collect())  # as many as the calendar has
+    if not own:
+        return []
+    ends = batch.agg(*[f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))],
+                     F.count(F.lit(1)).alias("rows")).first()
+
+    def within(i: int, k: str) -> Column:
+        inside = F.col(k).between(F.lit(ends[f"lo{i}"]), F.lit(ends[f"hi{i}"])) if ends[f"n{i}"] else F.lit(False)
+        return inside | F.col(k).isNull() if ends[f"n{i}"] < ends["rows"] else inside
+
+    again = reduce(lambda a, b: a & b, [F.col(f"_old.{k}").eqNullSafe(F.col(f"_new.{k}")) for k in keys])
+
+    def met(df: DataFrame, how: str) -> DataFrame:
+        return df.alias("_old").join(batch.select(*keys).alias("_new"), again, how)
+
+    near = stored.where(reduce(lambda a, b: a & b, [within(i, k) for i, k in enumerate(keys)]))
+    old = sorted({r[0] for r in met(near, "left_semi").select(month.alias("m")).distinct().collect()} - set(own))
+
+    def kept(of: list[str]) -> DataFrame:
+        known = [f"{root}/month={m}" for m in of if m in months]
+        return met(spark.read.schema(fresh.schema).parquet(*known), "left_anti") if known else fresh.limit(0)
+
+    if old:
+        left = stage(kept(old).withColumn("month", month), "kept")
+        files = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        for m in set(old) - {r[0] for r in left.select("month").distinct().collect()}:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/month={m}"), True)
+        write_partitions(left, root, ["month"])
+    write_partitions(stage(kept(own).unionByName(batch).withColumn("month", month), "appended"), root, ["month"])
+    return [*old, *own]
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
