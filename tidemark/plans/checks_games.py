@@ -81,6 +81,21 @@ def position_start_counts(spark, d):
     return lineups.position_start_counts(history, ["team_id"])
 
 
+@query("roster_filter", B.with_ctes(
+    """SELECT team_id, player_id, count(*) AS n, count(DISTINCT position) AS spots FROM hist
+    WHERE team_id % 4 = 0 OR player_id IN (SELECT player_id FROM d_long GROUP BY 1 HAVING count(*) % 3 <> 0) GROUP BY 1, 2""",
+    "d_long", "d_arms", extra=LS.HISTORY_CTES))
+def roster_filter(spark, d):
+    """Line-up rows of players on the roster of their team; every fourth team has none and keeps all."""
+    games, _ = _history(spark, d)
+    long = stage(B.lineups_long(spark, d), "slots")
+    history = lineups.opposing_history(long, games)
+    listed = long.groupBy("player_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % 3 != 0)
+    roster = listed.select(F.floor(F.col("player_id") / 100).alias("team_id"), "player_id").where(F.col("team_id") % 4 != 0)
+    return lineups.roster_filter(history, roster).groupBy("team_id", "player_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("spots"))
+
+
 @query("modal_pick_slot", B.with_ctes(
     """SELECT team_id, CAST(slot AS BIGINT) AS slot, player_id, n, last_date FROM (SELECT team_id, slot, player_id, count(*) AS n, max(played_on) AS last_date,
         row_number() OVER (PARTITION BY team_id, slot ORDER BY count(*) DESC, max(played_on) DESC, player_id) AS rn FROM hist WHERE player_id % 100 % 15 <> 3 GROUP BY 1, 2, 3) WHERE rn = 1""",
