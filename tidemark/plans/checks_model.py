@@ -310,15 +310,22 @@ _SETS = {"pair": PAIR, "baseline": K.FEATURES_BASELINE}
 
 
 def _fit_residuals(stacked, models):
-    """``sum(z (y - fitted)) - alpha w`` per feature and game row: zero for the minimiser of the ridge loss and for nothing else."""
+    """``sum(z (y - fitted)) - alpha w`` per feature and game row: zero for the minimiser of the ridge loss and for nothing else.
+
+    ``sum(z miss)`` follows from sums of ``miss x`` and of ``miss`` over the rows without ``x``, so the rows meet no parameter table:
+    they are reduced to one row per model, which is joined.
+    """
     union = list(dict.fromkeys(f for s in _SETS.values() for f in s))
-    scored = ridge.score_models(stacked, models).where(F.col("season_year") <= F.col("through"))
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in union])
-    keys = ["through", "feature_set", "feature"]
-    long = scored.select("through", "feature_set", (F.col("runs") - F.col("runs_pred")).alias("miss"), F.explode(pairs).alias("f")).select("*", "f.*")
-    met = long.join(models, keys)
-    z = (F.coalesce("x", "impute") - F.col("mean")) / F.col("scale")
-    return met.groupBy(*keys).agg(((F.sum(z * F.col("miss")) - K.RIDGE_ALPHA * F.first("coef")) / F.count(F.lit(1))).alias("residual"))
+    scored = ridge.score_models(stacked, models).where(F.col("season_year") <= F.col("through")).withColumn("miss", F.col("runs") - F.col("runs_pred"))
+    sums = scored.groupBy("through", "feature_set").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("miss").alias("all"),
+        *[F.sum(F.col("miss") * F.col(f).cast("double")).alias(f"x_{f}") for f in union],
+        *[F.sum(F.when(F.col(f).isNull(), F.col("miss"))).alias(f"no_{f}") for f in union])
+    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(f"x_{f}", F.lit(0.0)).alias("x"), F.coalesce(f"no_{f}", F.lit(0.0)).alias("no"))
+                                for f in union])).alias("f")
+    met = sums.select("through", "feature_set", "rows", "all", parts).select("*", "f.*").drop("f").join(models, ["through", "feature_set", "feature"])
+    missed = (F.col("x") + F.coalesce("impute", F.lit(0.0)) * F.col("no") - F.col("mean") * F.col("all")) / F.col("scale")
+    return met.select("through", "feature_set", "feature", ((missed - K.RIDGE_ALPHA * F.col("coef")) / F.col("rows")).alias("residual"))
 
 
 @query("window_models", B.with_ctes(
