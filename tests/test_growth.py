@@ -25,3 +25,9 @@ def test_residuals_join_no_rows_of_games(stacked):
     out = checks_model._fit_residuals(stacked, model)
     assert _aggregated_before_the_join(out)
     assert [abs(round(r.residual, 9)) for r in out.collect()] == [0.0, 0.0]
+
+
+def test_window_residuals_join_no_rows_of_games(stacked):
+    out = checks_model._fit_residuals(stacked, ridge.fit_windows(stacked, checks_model._SETS))
+    assert _aggregated_before_the_join(out)
+    assert out.where(F.abs("residual") > 1e-9).count() == 0
