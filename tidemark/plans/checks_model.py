@@ -260,7 +260,7 @@ def predict_slate(spark, d):
 
 
 @query("slate_report", B.with_ctes(
-    """SELECT 'bets' AS report, row_number() OVER (ORDER BY rev DESC, game_id) AS place, game_id, away_name || ' @ ' || home_name AS game, upper(rec) AS verdict,
+    f"""SELECT 'bets' AS report, row_number() OVER (ORDER BY round(rev, {SL.EV_DIGITS}) DESC, game_id) AS place, game_id, away_name || ' @ ' || home_name AS game, upper(rec) AS verdict,
       round(CASE rec WHEN 'home' THEN p_home ELSE 1 - p_home END, 8) + 0.0 AS p FROM annotated WHERE rec <> ''
     UNION ALL SELECT 'slate', row_number() OVER (ORDER BY commence_time, game_id), game_id, away_name || ' @ ' || home_name,
       CASE WHEN rec <> '' THEN 'bet ' || upper(rec) ELSE 'no bet' END, round(p_home, 8) + 0.0 FROM annotated""", "d_games", extra=_slate_ctes()))
@@ -274,7 +274,7 @@ def slate_report(spark, d):
         one = df.withColumn("one", F.lit(1))
         return scan.running(scan.with_ranges(one, order), {"place": ("sum", "one")}, order)
 
-    bets = placed(chosen.withColumn("first", -F.col("ev")), ["first", "game_id"]).select(
+    bets = placed(chosen.withColumn("first", -F.round("ev", SL.EV_DIGITS)), ["first", "game_id"]).select(
         F.lit("bets").alias("report"), big("place").alias("place"), "game_id", "game", F.col("side").alias("verdict"), rnd("model_p", 8).alias("p"))
     slate = placed(full, ["commence_time", "game_id"]).select(
         F.lit("slate").alias("report"), big("place").alias("place"), "game_id", "game", "verdict", rnd("p_home", 8).alias("p"))

@@ -10,6 +10,9 @@ from tidemark import constants as K
 from tidemark.functions.rates import pythag
 from tidemark.operators import bets, evaluate, odds, reshape, ridge
 
+EV_DIGITS = 8
+
+
 def predict_games(games: DataFrame, model: DataFrame, *, home_bonus: float = K.HOME_RUNS_BONUS,
                   exponent: float = K.PYTHAG_EXPONENT) -> DataFrame:
     """Add projected runs and the home win probability."""
@@ -38,7 +41,10 @@ def predict_slate(games: DataFrame, model: DataFrame, lines: DataFrame, *, home_
 
 
 def slate_report(slate: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(recommended bets by EV, full slate by start time with a verdict)."""
+    """(recommended bets by EV, full slate by start time with a verdict).
+
+    Equal values may differ in their last bits, so the order goes by the EV rounded to ``EV_DIGITS``, then by ``game_id``.
+    """
     home = F.col("recommended") == "home"
 
     def side(h: str, a: str):
@@ -51,7 +57,7 @@ def slate_report(slate: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(home, F.col("p_home")).otherwise(1.0 - F.col("p_home")).alias("model_p"),
         side("home_fair_p", "away_fair_p").alias("fair_p"), side("edge_home", "edge_away").alias("edge"),
         F.col("recommended_ev").alias("ev"), F.col("recommended_kelly").alias("kelly"),
-    ).orderBy(F.desc("ev"), "game_id")
+    ).orderBy(F.round("ev", EV_DIGITS).desc(), "game_id")
     verdict = F.when(F.col("recommended") != "", F.concat(F.lit("bet "), F.upper("recommended"))).otherwise("no bet")
     extra = []
     if "home_lineup_source" in slate.columns:
