@@ -1,10 +1,13 @@
 """Steps that must not grow out of the driver, a double or an executor: the shape of their plans, and results at the edge."""
 
+import datetime as dt
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import reshape, ridge
-from tidemark.plans import checks_model
+from tidemark.operators import bets, reshape, ridge
+from tidemark.plans import checks_model, slate as SL
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +34,20 @@ def test_window_residuals_join_no_rows_of_games(stacked):
     out = checks_model._fit_residuals(stacked, ridge.fit_windows(stacked, checks_model._SETS))
     assert _aggregated_before_the_join(out)
     assert out.where(F.abs("residual") > 1e-9).count() == 0
+
+
+def test_sweep_states_growth_beyond_a_double(spark):
+    """Three won bets of 1e200 times the bankroll: their product has no double."""
+    rows = [(i, dt.datetime(2024, 5, i), 0.5, -0.5, 0.04, -0.04, 1e198, 0.0, 10000.0, -10000.0, 5, 3) for i in (1, 2, 3)]
+    s = spark.createDataFrame(rows, """game_id long, commence_time timestamp, ev_home double, ev_away double, edge_home double, edge_away double, kelly_home double,
+        kelly_away double, home_price_american double, away_price_american double, home_score long, away_score long""")
+    row = bets.threshold_sweep(s, thresholds=(0.0,)).first()
+    assert math.isinf(row.bankroll_growth_pct) and row.log_growth == pytest.approx(600 * math.log(10))
+
+
+def test_report_orders_equal_values_by_game(spark):
+    names = ("home_name", "away_name", "home_book", "away_book", "home_price_american", "away_price_american", "p_home", "home_fair_p", "away_fair_p",
+             "edge_home", "edge_away", "recommended_kelly", "commence_time", "away_runs_pred", "home_runs_pred")
+    rows = spark.createDataFrame([(1, 0.3, "home"), (2, 0.1 + 0.2, "home"), (3, 0.4, "home")], "game_id long, recommended_ev double, recommended string")
+    chosen, _ = SL.slate_report(rows.withColumns({n: F.lit("x") if n.endswith(("name", "book")) else F.lit(0.5) for n in names}))
+    assert [r.game_id for r in chosen.collect()] == [3, 1, 2]

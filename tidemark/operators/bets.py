@@ -137,14 +137,18 @@ def simulate_bankroll(slate: DataFrame, *, start: float = 100.0, min_kelly: floa
     out = grown.withColumns({
         "bet_idx": F.col("_k") + F.col("_n") - 1, "stake": before_bet * F.col("kelly"), "profit": before_bet * F.col("_step"), "peak": peak,
         "drawdown": F.when(peak > 0, (peak - F.col("bankroll_after")) / peak).otherwise(F.lit(0.0)),
-        "ev_at_bet": F.col("recommended_ev"),
+        "ev_at_bet": F.col("recommended_ev"), "growth": F.col("_growth"),
     })
     drop = ["_growth", "_b", "_before", "_n", "_top", "_low", "_c", "_k", "_p", "_step", "_outcome", scan.BUCKET]
     return out.withColumnRenamed("recommended", "side").drop(*drop)
 
 
 def backtest_summary(history: DataFrame, *, start: float = 100.0, scenario: Sequence[str] = ()) -> DataFrame:
-    """The fifteen back-test statistics, one row per scenario."""
+    """The fifteen back-test statistics, one row per scenario, and ``log_growth``.
+
+    ``log_growth`` is a sum of logarithms, as the product of all bets leaves the range of a double after some hundred thousand; the columns
+    that hold a bankroll are infinite then. It is NULL if a bet lost the whole bankroll.
+    """
     n, wins = F.count(F.lit(1)), F.count_if("won")
     decided = F.count("won")
     final = F.coalesce(F.max_by("bankroll_after", "bet_idx"), F.lit(float(start)))
@@ -159,6 +163,7 @@ def backtest_summary(history: DataFrame, *, start: float = 100.0, scenario: Sequ
         F.when(wagered > 0, F.try_divide(profit, wagered)).alias("roi"), (final / start - 1.0).alias("bankroll_growth_pct"),
         F.coalesce(F.avg("stake"), F.lit(0.0)).alias("avg_stake"), F.coalesce(F.avg("kelly"), F.lit(0.0)).alias("avg_kelly"),
         F.coalesce(F.avg("ev_at_bet"), F.lit(0.0)).alias("avg_ev_at_bet"),
+        F.when(F.min("growth") > 0, F.sum(F.log("growth"))).alias("log_growth"),
     )
 
 
@@ -196,7 +201,7 @@ def threshold_sweep(slate: DataFrame, *, thresholds: Sequence[float] = K.SWEEP_T
     slates = scenario_slates(slate, thresholds, max_edges).select(*asked)  # every scenario copies the slate, so it is copied narrow
     history = simulate_bankroll(slates, start=start, order=order, scenario=_SCENARIO)
     keep = ["n_bets", "n_wins", "hit_rate", "total_wagered", "total_profit", "roi", "bankroll_growth_pct",
-            "max_drawdown_pct", "avg_ev_at_bet"]
+            "max_drawdown_pct", "avg_ev_at_bet", "log_growth"]
     summary = backtest_summary(history, start=start, scenario=_SCENARIO).select(*_SCENARIO, *keep)
     grid = [(float(t), float("inf") if e is None else float(e)) for e in max_edges for t in thresholds]
     every = slate.sparkSession.createDataFrame(grid, "ev_threshold double, max_edge double")

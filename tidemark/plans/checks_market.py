@@ -250,7 +250,7 @@ def threshold_sweep(spark, d):
     slate = stage(bets.price_columns(slate_input(spark, d)), "slate")
     sweep = bets.threshold_sweep(slate, thresholds=(0.0, 0.02, 0.05), max_edges=(0.05, None))
     return sweep.select("ev_threshold", F.when(F.col("max_edge") > 1000, "none").otherwise(F.col("max_edge").cast("string")).alias("max_edge"),
-                        "n_bets", "n_wins", rnd(F.log(1.0 + F.col("bankroll_growth_pct")), 6).alias("log_growth"), rnd("avg_ev_at_bet").alias("avg_ev_at_bet"))
+                        "n_bets", "n_wins", rnd("log_growth", 6).alias("log_growth"), rnd("avg_ev_at_bet").alias("avg_ev_at_bet"))
 
 
 # --- ledger ---------------------------------------------------------------------
