@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import constants as K
@@ -28,47 +29,72 @@ def stream_odds(spark: SparkSession, root: str) -> DataFrame:
 
 _LINE = "commence_time timestamp, home_team string, away_team string, snapshot_ts timestamp, home_price_american double, away_price_american double"
 
+#: Groups of a keyed state. A group holds the live games of its share, so a call of Python serves many games and not one.
+BUCKETS = 512
+
+
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _micros(column: pd.Series) -> pd.Series:
+    return column.astype("datetime64[us]").astype("int64")
+
+
+def _keep(state: GroupState, rows: pd.DataFrame, start: str) -> None:
+    """Store the rows of games that start after the watermark; the state expires with the last of them."""
+    mark = state.getCurrentWatermarkMs()
+    live = rows[rows[start] > mark * 1000]
+    if live.empty:
+        if state.exists:
+            state.remove()
+        return
+    state.update((json.dumps([live[c].astype(object).where(live[c].notna(), None).tolist() for c in live]),))
+    state.setTimeoutTimestamp(max(int(live[start].max()) // 1000, mark + 1))
+
 
 def stream_latest_line(quotes: DataFrame, minutes: int = K.CLOSE_MINUTES, delay: str = LATE,
                        books: Sequence[str] | None = K.DEFAULT_BOOKS) -> DataFrame:
     """Best plausible prices of the latest snapshot before each game's cutoff: a row whenever a game's line changes.
 
-    The watermark follows ``snapshot_ts``, so a quote for a far game makes no other quote late. State is one row per game and
-    expires once the watermark has passed the game's start, after which no quote of it is before the cutoff. A NULL price
-    beats nothing but its own snapshot still counts as the latest one: its row has NULL prices. ``newest_line`` gives the
+    The watermark follows ``snapshot_ts``, so a quote for a far game makes no other quote late. State is one line per game, kept in
+    ``BUCKETS`` groups, and expires once the watermark has passed the game's start, after which no quote of it is before the cutoff.
+    A NULL price beats nothing but its own snapshot still counts as the latest one: its row has NULL prices. ``newest_line`` gives the
     state of all games from the rows so far.
     """
     pre = odds.before_cutoff(odds.quote_filters(quotes, books, None), minutes).withWatermark("snapshot_ts", delay)
     ok = (F.abs("home_price_american") <= K.EXTREME_PRICE) & (F.abs("away_price_american") <= K.EXTREME_PRICE)
-    plausible = pre.select(*odds.GAME_KEYS, "snapshot_ts", *[
-        F.when(ok, F.col(f"{s}_price_american")).cast("double").alias(f"{s}_price_american") for s in ("home", "away")])
     prices = ["home_price_american", "away_price_american"]
+    plausible = pre.select(*odds.GAME_KEYS, "snapshot_ts", *[F.when(ok, F.col(p)).cast("double").alias(p) for p in prices])
+    keys = list(odds.GAME_KEYS)
+    names = [*keys, "snapshot_ts", *prices]
+
+    def lines(rows: pd.DataFrame) -> pd.DataFrame:
+        """The highest prices of each game's latest snapshot."""
+        newest = rows.groupby(keys, dropna=False, sort=False)["snapshot_ts"].transform("max")
+        return rows[rows["snapshot_ts"] == newest].groupby([*keys, "snapshot_ts"], dropna=False, sort=False, as_index=False)[prices].max()
+
+    def typed(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.astype({"commence_time": "int64", "snapshot_ts": "int64", **{p: "float64" for p in prices}})
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        before = state.get if state.exists else None
-        latest = None if before is None else pd.Timestamp(before[0])
-        best = [None, None] if before is None else list(before[1:])
-        for batch in batches:
-            top = batch["snapshot_ts"].max()
-            if latest is None or top > latest:
-                latest, best = top, [None, None]
-            own = batch[batch["snapshot_ts"] == latest]
-            for i, name in enumerate(prices):
-                most = own[name].max()
-                if pd.notna(most) and (best[i] is None or most > best[i]):
-                    best[i] = float(most)
-        now = (latest.isoformat(), *best)
-        state.update(now)
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[0]).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        if now != before:
-            yield pd.DataFrame({"commence_time": [key[0]], "home_team": [key[1]], "away_team": [key[2]], "snapshot_ts": [latest],
-                                **{n: pd.Series([v], dtype="float64") for n, v in zip(prices, best)}})
-
-    return plausible.groupBy(*odds.GAME_KEYS).applyInPandasWithState(
-        update, _LINE, "snapshot string, home double, away double", "append", GroupStateTimeout.EventTimeTimeout)
+        before = typed(pd.DataFrame(dict(zip(names, json.loads(state.get[0]))), columns=names)) if state.exists else None
+        parts = [] if before is None else [before]
+        for batch in batches:  # each batch is reduced before the next is read
+            if len(batch):
+                parts.append(lines(typed(batch[names].assign(commence_time=_micros(batch["commence_time"]), snapshot_ts=_micros(batch["snapshot_ts"])))))
+        if not parts:
+            return
+        now = lines(pd.concat(parts, ignore_index=True))
+        changed = now if before is None else now.merge(before, how="left", on=names, indicator="_seen").query("_seen == 'left_only'")[names]
+        _keep(state, now, "commence_time")
+        if len(changed):
+            yield changed.assign(commence_time=pd.to_datetime(changed["commence_time"], unit="us"), snapshot_ts=pd.to_datetime(changed["snapshot_ts"], unit="us"))
+
+    return plausible.withColumn("_bucket", _bucket(keys)).groupBy("_bucket").applyInPandasWithState(update, _LINE, "games string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_line(changes: DataFrame) -> DataFrame:
@@ -89,8 +115,8 @@ def stream_first_signal(signals: DataFrame, delay: str = LATE) -> DataFrame:
     """Freeze the first recommendation of each game before it has started.
 
     ``signals``: game_id, commence_time, recommended, rec_ts, odds. Recommendations from the start on do not count. The
-    state of a game is its latest known start; it expires when the watermark has passed that, as every later row is
-    then either late or from after the start.
+    state of a game is its latest known start, kept in ``BUCKETS`` groups; it expires when the watermark has passed that, as every
+    later row is then either late or from after the start.
     """
     order = ["rec_ts", "recommended", "odds"]
 
@@ -98,24 +124,29 @@ def stream_first_signal(signals: DataFrame, delay: str = LATE) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        # One earliest row per Arrow batch: the group is never gathered whole.
-        earliest, known = None, state.get[0] if state.exists else None
-        start = None if known is None else pd.Timestamp(known)
-        for batch in batches:
-            top = batch.sort_values(order).head(1)
-            earliest = top if earliest is None else pd.concat([earliest, top]).sort_values(order).head(1)
-            latest = batch["commence_time"].max()
-            start = latest if start is None else max(start, latest)
-        if start is None:
+        nameless = pd.isna(key[0])
+        known = pd.DataFrame(dict(zip(("game_id", "start"), json.loads(state.get[0])))).astype("int64") if state.exists else None
+        tops, starts = [], [] if known is None else [known]
+        for batch in batches:  # one earliest row of each game and Arrow batch: the group is never gathered whole
+            if len(batch):
+                batch = (batch.assign(game_id=0) if nameless else batch).sort_values(order)
+                tops.append(batch.drop_duplicates("game_id")[["game_id", "commence_time", *order]])
+                starts.append(batch.assign(start=_micros(batch["commence_time"])).groupby("game_id", as_index=False)["start"].max())
+        if not starts:
             return
-        state.update((start.isoformat(),))
-        state.setTimeoutTimestamp(max(int(start.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        if known is None and earliest is not None:
-            yield earliest[["game_id", "commence_time", *order]]
+        _keep(state, pd.concat(starts, ignore_index=True).groupby("game_id", as_index=False)["start"].max(), "start")
+        if tops:
+            earliest = pd.concat(tops, ignore_index=True).sort_values(order).drop_duplicates("game_id")
+            if known is not None:
+                earliest = earliest[~earliest["game_id"].isin(known["game_id"])]
+            if len(earliest):
+                yield earliest.assign(game_id=pd.Series([None] * len(earliest), dtype="Int64")) if nameless else earliest
 
     picks = signals.where(F.col("recommended").isin("home", "away") & (F.col("rec_ts") < F.col("commence_time"))).withWatermark("rec_ts", delay)
-    return picks.groupBy("game_id").applyInPandasWithState(
-        first, _SIGNAL, "commence string", "append", GroupStateTimeout.EventTimeTimeout)
+    # A game without an id has a group of its own, so ids stay whole numbers in the others.
+    grouped = picks.withColumn("_bucket", F.when(F.col("game_id").isNotNull(), _bucket(["game_id"]))).groupBy("_bucket")
+    return grouped.applyInPandasWithState(
+        first, _SIGNAL, "games string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_settle(tickets: DataFrame, results: DataFrame, delay: str = LATE, within: str = "7 days") -> DataFrame:
