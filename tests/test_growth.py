@@ -1,6 +1,7 @@
 """Steps that must not grow out of the driver, a double or an executor: the shape of their plans, and results at the edge."""
 
 import datetime as dt
+import glob
 import math
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bets, reshape, ridge
 from tidemark.plans import checks_model, slate as SL
+from tidemark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,28 @@ def test_report_orders_equal_values_by_game(spark):
     rows = spark.createDataFrame([(1, 0.3, "home"), (2, 0.1 + 0.2, "home"), (3, 0.4, "home")], "game_id long, recommended_ev double, recommended string")
     chosen, _ = SL.slate_report(rows.withColumns({n: F.lit("x") if n.endswith(("name", "book")) else F.lit(0.5) for n in names}))
     assert [r.game_id for r in chosen.collect()] == [3, 1, 2]
+
+
+def test_streams_call_python_for_groups_of_games(spark, tmp_path):
+    """Three thousand games, one of them without an id: a call for each game took minutes for a million."""
+    n, root = 3000, str(tmp_path)
+    signals = spark.range(n).select(
+        F.when(F.col("id") > 0, F.col("id")).alias("game_id"), F.lit(dt.datetime(2024, 5, 9)).alias("commence_time"),
+        F.explode(F.array(F.lit("home"), F.lit("away"))).alias("recommended"), F.lit(dt.datetime(2024, 5, 1)).alias("rec_ts"), F.col("id").cast("double").alias("odds"))
+    for _ in range(2):
+        signals.write.mode("append").parquet(f"{root}/s")
+        jobs.run_available(jobs.stream_first_signal(spark.readStream.schema(signals.schema).parquet(f"{root}/s")), f"{root}/out", f"{root}/check")
+    got = spark.read.parquet(f"{root}/out")
+    assert got.count() == n and got.where("recommended = 'away'").agg(F.count_distinct("odds")).first()[0] == n and got.where("game_id IS NULL").count() == 1
+    quotes = spark.range(n).select(
+        F.lit(dt.datetime(2024, 5, 1)).alias("snapshot_ts"), F.lit(dt.datetime(2024, 5, 9)).alias("commence_time"), F.col("id").cast("string").alias("home_team"),
+        F.lit("A").alias("away_team"), F.lit("draftkings").alias("book_key"), F.explode(F.array(F.lit(110.0), F.lit(120.0))).alias("home_price_american"),
+        F.lit(None).cast("double").alias("away_price_american"))
+    for _ in range(2):
+        quotes.write.mode("append").parquet(f"{root}/q")
+        jobs.run_available(jobs.stream_latest_line(spark.readStream.schema(quotes.schema).parquet(f"{root}/q")), f"{root}/lines", f"{root}/check-lines")
+    changes = spark.read.parquet(f"{root}/lines")
+    assert changes.count() == n  # the second reading of the same quotes changes nothing
+    state = glob.glob(f"{root}/check/state/0/**/*.delta", recursive=True)
+    stream = spark.read.format("statestore").load(f"{root}/check")
+    assert state and stream.count() <= jobs.BUCKETS + 1
