@@ -23,6 +23,14 @@ def _documents(spark: SparkSession, paths: str | list[str], ddl: str, lines: boo
     return docs.where(F.col(_BAD).isNull()).drop(_BAD).withColumn("_path", F.col("_metadata.file_path"))
 
 
+def parsed(texts: DataFrame, ddl: str, *keep: str, text: str = "doc") -> DataFrame:
+    """Documents held as JSON text in a column, their top-level fields as columns beside ``keep``.
+
+    The array of one document holds filters on its fields above the parser: below it, each would parse the text again.
+    """
+    return texts.select(*keep, F.inline(F.array(F.from_json(text, parse(ddl)))))
+
+
 def _day_folders(spark: SparkSession, root: str, low: str | None, high: str | None) -> list[str]:
     """Folders ``<root>/<date>`` or ``<root>/<name>=<date>`` of the dates within the bounds. Only names below ``root`` are listed."""
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
