@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bets, reshape, ridge
-from tidemark.plans import checks_model, slate as SL
+from tidemark.plans import checks_games, checks_model, slate as SL
 from tidemark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,10 @@ def test_streams_call_python_for_groups_of_games(spark, tmp_path):
     state = glob.glob(f"{root}/check/state/0/**/*.delta", recursive=True)
     stream = spark.read.format("statestore").load(f"{root}/check")
     assert state and stream.count() <= jobs.BUCKETS + 1
+
+
+@pytest.mark.parametrize("query", ["odds_flatten", "boxscore_flatten", "schedule_flatten", "outcomes_flatten"])
+def test_documents_are_parsed_once(spark, query):
+    """Filters on parsed fields, moved below the parser, parsed the texts three to five times."""
+    plan = getattr(checks_games, query)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
