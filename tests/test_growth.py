@@ -38,6 +38,13 @@ def test_window_residuals_join_no_rows_of_games(stacked):
     assert out.where(F.abs("residual") > 1e-9).count() == 0
 
 
+def test_models_share_their_terms(spark, stacked):
+    """A formula for each of fourteen models made code beyond what is compiled; now a feature is read once, however many models there are."""
+    few, many = (ridge.fit_windows(stacked, checks_model._SETS, windows=range(1995, 1995 + n)) for n in (1, 4))
+    plans = [ridge.score_models(stacked, m)._jdf.queryExecution().optimizedPlan().toString() for m in (few, many)]
+    assert plans[0].count("coalesce(off_HR_pct") == plans[1].count("coalesce(off_HR_pct") == 1
+
+
 def test_sweep_states_growth_beyond_a_double(spark):
     """Three won bets of 1e200 times the bankroll: their product has no double."""
     rows = [(i, dt.datetime(2024, 5, i), 0.5, -0.5, 0.04, -0.04, 1e198, 0.0, 10000.0, -10000.0, 5, 3) for i in (1, 2, 3)]

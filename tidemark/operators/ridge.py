@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import constants as K
 from tidemark.operators import reshape, scan
@@ -165,19 +165,32 @@ def fit_windows(stacked: DataFrame, feature_sets: dict[str, Sequence[str]], *, s
 
 
 def score_models(stacked: DataFrame, models: DataFrame, out: str = "runs_pred") -> DataFrame:
-    """Every row under every model of ``fit_windows``: one projection, one explode (``through``, ``feature_set``, ``train_n``, ``n_feat``)."""
+    """Every row under every model of ``fit_windows`` (``through``, ``feature_set``, ``train_n``, ``n_feat``).
+
+    The parameters are one literal array that the rows are exploded by; a term for each feature then serves all models. A formula
+    for each model made code too large to be compiled, by the driver or by the executors.
+    """
     by_model: dict[tuple, list] = {}
     for r in sorted(models.collect(), key=lambda r: (r["through"], r["feature_set"], r["position"])):
         by_model.setdefault((r["through"], r["feature_set"]), []).append(r)
-    scored = []
-    for (through, name), params in by_model.items():
-        total = F.lit(params[0]["intercept"])
-        for r in params:
-            x = F.coalesce(F.col(r["feature"]).cast("double"), F.lit(r["impute"]).cast("double"))
-            total = total + (x - F.lit(r["mean"])) / F.lit(r["scale"]) * F.lit(r["coef"])
-        scored.append(F.struct(F.lit(through).alias("through"), F.lit(name).alias("feature_set"), F.lit(len(params)).alias("n_feat"),
-                               F.lit(params[0]["train_n"]).alias("train_n"), total.alias(out)))
-    return stacked.withColumn("_m", F.explode(F.array(*scored))).select("*", "_m.*").drop("_m")
+    union = list(dict.fromkeys(r["feature"] for params in by_model.values() for r in params))
+
+    def double(value: float | None) -> Column:
+        return F.lit(value).cast("double")
+
+    def model(through: int, name: str, params: list) -> Column:
+        own = {r["feature"]: r for r in params}
+        terms = [F.struct(*[double(own[f][c] if f in own else None).alias(c) for c in ("impute", "mean", "scale", "coef")]).alias(f"t{i}") for i, f in enumerate(union)]
+        return F.struct(F.lit(through).alias("through"), F.lit(name).alias("feature_set"), F.lit(len(params)).alias("n_feat"),
+                        F.lit(params[0]["train_n"]).alias("train_n"), double(params[0]["intercept"]).alias("intercept"), *terms)
+
+    each = stacked.withColumn("_m", F.explode(F.array(*[model(*key, params) for key, params in by_model.items()])))
+    total = F.col("_m.intercept")
+    for i, f in enumerate(union):
+        t = F.col(f"_m.t{i}")
+        term = (F.coalesce(F.col(f).cast("double"), t["impute"]) - t["mean"]) / t["scale"] * t["coef"]
+        total = total + F.when(t["coef"].isNotNull(), term).otherwise(0.0)
+    return each.select(*stacked.columns, *[f"_m.{c}" for c in ("through", "feature_set", "n_feat", "train_n")], total.alias(out))
 
 
 def fit_ridge(stacked: DataFrame, features: Sequence[str] = K.FEATURES_DEFAULT, **options) -> DataFrame:
