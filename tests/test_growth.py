@@ -3,11 +3,13 @@
 import datetime as dt
 import glob
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bets, reshape, ridge
+from tidemark import session
 from tidemark.plans import checks_games, checks_model, slate as SL
 from tidemark.streaming import jobs
 
@@ -92,3 +94,48 @@ def test_documents_are_parsed_once(spark, query):
     """Filters on parsed fields, moved below the parser, parsed the texts three to five times."""
     plan = getattr(checks_games, query)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_snapshot_texts_are_packed(spark, tmp_path, monkeypatch):
+    """The documents of quotes were moved as text and written plain, 460 bytes a quote."""
+    monkeypatch.setattr(checks_games, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    rows = checks_games.odds_snapshot_ranges(spark, SF).agg(F.sum("n")).first()[0]
+    files = glob.glob(f"{tmp_path}/odds/**/part-*", recursive=True)
+    assert rows and files and all(f.endswith(".txt.lz4") for f in files)
+
+
+def test_event_log_is_written_once(spark, monkeypatch):
+    """The pitches were staged whole and sorted by season in tasks of a whole file."""
+    def no(df, label):
+        raise AssertionError(label)
+
+    monkeypatch.setattr(checks_games, "stage", no)
+    assert checks_games.event_seasons(spark, SF).count() == 21
+
+
+def test_domain_queries_join_many_partitions(spark):
+    """Tasks held a share of the shuffle that grew with the table, as there were no more partitions than the session has."""
+    import __spark_entry__
+
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.requireAllClusterKeysForCoPartition")
+    try:
+        __spark_entry__.queries()["home_records"](spark, SF)
+        assert [spark.conf.get(n) for n in names] == ["1000", "false"]
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
+def test_stage_leaves_no_shuffle_behind(spark):
+    """Shuffles of staged tables stayed on disk until the driver collected garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {n for n in (f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    staged = session.stage(spark.range(10000).groupBy((F.col("id") % 1000).alias("k")).count(), "grouped")
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before and staged.count() == 1000
