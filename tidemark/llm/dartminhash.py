@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import links
-from tidemark.llm.common import fresh, map_texts
+from tidemark.llm.common import fresh, map_texts, shuffled
 from tidemark.llm.hashing import chunks, mix, shingles, uniform
 from tidemark.session import stage
 
@@ -111,13 +111,13 @@ def classified(docs: DataFrame, signer=text_bands, least: float = links.SIMILAR)
     # Copies fold here, before anything is compared; the partial aggregate keeps a large group of copies out of the shuffle.
     different = stage(signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "different")
     chosen = different.select(F.col("key").alias("own_key"), F.col("doc_id").alias("own_id"))
-    texts = rows.where(F.col("key").isNotNull()).join(chosen, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("key", "text")
+    texts = rows.where(F.col("key").isNotNull()).join(shuffled(chosen), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("key", "text")
     classes = links.group(different.select("key", "bands"), texts, least)
-    classed = different.select("key", "doc_id").join(classes, different["key"] == classes["node"], "left").select(
+    classed = different.select("key", "doc_id").join(shuffled(classes), different["key"] == classes["node"], "left").select(
         "key", "doc_id", F.coalesce("class", "key").alias("class"))
     names = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    named = classed.join(names, "class").select(F.col("key").alias("own_key"), F.col("class").alias("class_key"), "class_id")
-    return signed.select("doc_id", "key").join(named, F.col("key") == F.col("own_key"), "left").select(
+    named = classed.join(shuffled(names), "class").select(F.col("key").alias("own_key"), F.col("class").alias("class_key"), "class_id")
+    return signed.select("doc_id", "key").join(shuffled(named), F.col("key") == F.col("own_key"), "left").select(
         "doc_id", "key", "class_key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
@@ -142,6 +142,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
     winner = classed.groupBy("class_key").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.key").alias(key))
     keyed = docs.withColumn(key, links.text_key(F.col("text").cast("string")))
-    met = keyed.join(winner.withColumnRenamed(key, key + "_"), (F.col(key) == F.col(key + "_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    met = keyed.join(shuffled(winner.withColumnRenamed(key, key + "_")), (F.col(key) == F.col(key + "_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
     once = met.withColumn(turn, F.row_number().over(Window.partitionBy(key + "_", own).orderBy(F.lit(1)))).where(F.col(turn) == 1)
     return once.select(*docs.columns).unionByName(keyed.where(F.col(key).isNull()).select(*docs.columns))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import shuffled
 from tidemark.llm.hashing import chunks, shingles
 from tidemark.session import stage
 
@@ -35,7 +36,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (``a, b`` and others) with both texts."""
     own = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     other = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(own, "b").join(other, "a")
+    return pairs.join(shuffled(own), "b").join(shuffled(other), "a")
 
 
 def _sets(batch: pa.RecordBatch) -> dict[bytes, np.ndarray]:
@@ -109,9 +110,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        small = large.join(shuffled(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lower.select("u", F.col("m").alias("v"))).distinct()
         now = stage(small, "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -128,27 +129,27 @@ def group(signed: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFr
     """
     rows = signed.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = stage(rows.join(shared, "bucket"), "buckets")
+    rows = stage(rows.join(shuffled(shared), "bucket"), "buckets")
     weight = rows.groupBy("key").agg(F.sum("n").alias("weight"))
-    heads = rows.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("head")).select("bucket", F.col("head.key").alias("a"))
-    pairs = stage(rows.join(heads, "bucket").where("key <> a").select("a", F.col("key").alias("b")).distinct(), "leaders")
+    heads = rows.join(shuffled(weight), "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("head")).select("bucket", F.col("head.key").alias("a"))
+    pairs = stage(rows.join(shuffled(heads), "bucket").where("key <> a").select("a", F.col("key").alias("b")).distinct(), "leaders")
     wanted = rows.select("key").distinct()
-    held = stage(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "candidates")
+    held = stage(texts.join(shuffled(wanted), "key", "left_semi").dropDuplicates(["key"]), "candidates")
     pairs = stage(measured(pairs, held), "measured")
     classes = components(_close(pairs, least))
 
     def class_of(key: str, name: str) -> DataFrame:
         return classes.select(F.col("node").alias(key), F.col("class").alias(name))
 
-    known = pairs.join(class_of("b", "class"), "b", "left").join(class_of("a", "own"), "a", "left").select(
+    known = pairs.join(shuffled(class_of("b", "class")), "b", "left").join(shuffled(class_of("a", "own")), "a", "left").select(
         "a", "b", "size_a", "size_b", "apart", F.coalesce("class", "b").alias("class"), F.coalesce("own", "a").alias("own"))
     leaders = known.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != F.col("own")).alias("others")).where("others > 0 AND n > 1")
-    known = stage(known.join(leaders, "a").withColumn("seeks", F.col("class") != F.col("own")), "open")
+    known = stage(known.join(shuffled(leaders), "a").withColumn("seeks", F.col("class") != F.col("own")), "open")
     if known.isEmpty():
         return classes
 
     few = known.where(F.col("n") <= _FEW).select("a", "b", "class")
-    small = few.join(few.select("a", F.col("b").alias("c"), F.col("class").alias("class_c")), "a").where(
+    small = few.join(shuffled(few.select("a", F.col("b").alias("c"), F.col("class").alias("class_c"))), "a").where(
         "b < c AND class <> class_c").select(F.col("b").alias("a"), F.col("c").alias("b"))
 
     apart, allowed = F.col("apart"), _allowed(F.col("size_a") + F.col("size_b"), least)
@@ -157,10 +158,10 @@ def group(signed: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFr
     first = _differences(known.where(F.col("n") > _FEW).withColumn("most", F.floor(most).cast("long")), held)
     first = stage(first, "differences")
     mixed = first.groupBy("leader", "element").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("leader", "element")
-    first = first.join(mixed, ["leader", "element"])
+    first = first.join(shuffled(mixed), ["leader", "element"])
     other = first.where("seeks").select("leader", "element", *[F.col(c).alias(f"{c}_") for c in ("key", "class", "size", "apart", "place")])
     overlap = (F.col("apart") + F.col("apart_") - _allowed(F.col("size") + F.col("size_"), least)) / 2
-    met = first.join(other, ["leader", "element"]).where(
+    met = first.join(shuffled(other), ["leader", "element"]).where(
         (F.col("class") != F.col("class_")) & (F.col("place") <= F.col("apart") - overlap) & (F.col("place_") <= F.col("apart_") - overlap))
     large = met.select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b"))
     more = stage(_close(measured(small.unionByName(large).distinct(), held), least), "more-links")

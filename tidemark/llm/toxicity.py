@@ -58,16 +58,16 @@ class Batch:
         for n in _PREFIXES:
             stem = mix(words.prefix.at(start, start + np.minimum(size, n)) + np.uint64(n))
             parts.append(np.where(size > n, stem, keys))  # a short word repeats itself
-        self.features = np.stack([(p >> shift).astype(np.int64) for p in parts], axis=1)
+        self.features = np.stack([(p >> shift).astype(np.int32) for p in parts], axis=1)
         counts = np.diff(words.first)
         n = counts + _PAD
         self.ends = np.cumsum(n)
         self.starts = self.ends - n
         self.lasts = self.ends - (_PAD - 1)  # where filters no longer start
-        self.sequence = np.full(int(n.sum()), len(keys), dtype=np.int64)  # the number after the last word is the pad
+        self.sequence = np.full(int(n.sum()), len(keys), dtype=np.int32)  # the number after the last word is the pad
         at = np.repeat(self.starts - words.first[:-1], counts) + np.arange(len(inverse))
         self.sequence[at] = inverse
-        self.at, self.counts, self.words = at, counts, inverse
+        self.counts, self.words = counts, inverse.astype(np.int32)
 
 
 @dataclass
