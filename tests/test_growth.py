@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import math
+import re
 import time
 
 import pytest
@@ -139,3 +140,16 @@ def test_stage_leaves_no_shuffle_behind(spark):
     while shuffles() - before and time.time() < end:
         time.sleep(0.2)
     assert not shuffles() - before and staged.count() == 1000
+
+
+def test_hitter_rows_are_dealt_once(spark):
+    """With their statistics, hitter rows were shuffled by game and side, and the two sides of a game once more, all columns of both."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # small tables would be broadcast
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        plan = checks_games.training(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    assert not re.search(r"Exchange hashpartitioning\(game_id#\d+L?, side#", plan)
