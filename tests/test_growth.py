@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bets, reshape, ridge
 from tidemark import session
-from tidemark.plans import checks_games, checks_model, slate as SL
+from tidemark.plans import bindings, checks_games, checks_model, slate as SL
 from tidemark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +153,29 @@ def test_hitter_rows_are_dealt_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
     assert not re.search(r"Exchange hashpartitioning\(game_id#\d+L?, side#", plan)
+
+
+def _dealt_by_more_than_a_game(spark, make):
+    """Exchanges by a game or order and more, when small tables are not broadcast."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return re.findall(r"Exchange hashpartitioning\((?:l_orderkey|game_id|game_pk)#\d+L?, [a-z_].*", plan)
+
+
+def test_items_of_lineups_are_dealt_once(spark):
+    """Slots were shuffled by game, side and slot, and by game again; starters by game and side, by game, and with the games once more."""
+    assert not _dealt_by_more_than_a_game(spark, lambda: bindings.lineups_long(spark, SF))
+    assert not _dealt_by_more_than_a_game(spark, lambda: checks_games._history(spark, SF)[0])
+
+
+def test_projection_ends_without_reading_items(spark):
+    """The games with their starters were made from the items again for every reader of the schedule, and cards put into words for every game."""
+    plan = checks_games.project_lineups(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "concat_ws" not in plan
