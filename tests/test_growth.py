@@ -179,3 +179,8 @@ def test_projection_ends_without_reading_items(spark):
     """The games with their starters were made from the items again for every reader of the schedule, and cards put into words for every game."""
     plan = checks_games.project_lineups(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "concat_ws" not in plan
+
+
+def test_box_scores_deal_items_once(spark):
+    """Cards and pitchers were each shuffled by game, side and slot or pitcher, then by game and side, and by game again."""
+    assert not _dealt_by_more_than_a_game(spark, lambda: bindings.lineups_wide(spark, SF))
