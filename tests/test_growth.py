@@ -9,9 +9,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bets, reshape, ridge
+from tidemark.operators import bets, bullpen, reshape, ridge
 from tidemark import session
-from tidemark.plans import bindings, checks_games, checks_model, slate as SL
+from tidemark.plans import bindings, checks_games, checks_model, checks_pool, slate as SL
 from tidemark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +184,12 @@ def test_projection_ends_without_reading_items(spark):
 def test_box_scores_deal_items_once(spark):
     """Cards and pitchers were each shuffled by game, side and slot or pitcher, then by game and side, and by game again."""
     assert not _dealt_by_more_than_a_game(spark, lambda: bindings.lineups_wide(spark, SF))
+
+
+def test_pool_pitches_are_narrow_and_dealt_by_game(spark, monkeypatch):
+    """All eighteen columns of a pitch were written, and appearances were shuffled by game, pitcher and date and by game and pitcher."""
+    written = {}
+    monkeypatch.setattr(checks_pool, "stage", lambda df, label: written.setdefault(label, session.stage(df, label)))
+    checks_pool.pool_composites(spark, SF)
+    assert len(written["pitches"].columns) == 11
+    assert not _dealt_by_more_than_a_game(spark, lambda: bullpen.appearances(written["pitches"], bindings.staffs_wide(spark, SF), stored=True))
