@@ -193,3 +193,13 @@ def test_pool_pitches_are_narrow_and_dealt_by_game(spark, monkeypatch):
     checks_pool.pool_composites(spark, SF)
     assert len(written["pitches"].columns) == 11
     assert not _dealt_by_more_than_a_game(spark, lambda: bullpen.appearances(written["pitches"], bindings.staffs_wide(spark, SF), stored=True))
+
+
+def test_no_generated_method_is_left_to_the_interpreter(spark):
+    """Match-ups of a hitter row took 58 microseconds in one interpreted method and 12 in smaller ones."""
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        session.configure_domain(spark)
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
